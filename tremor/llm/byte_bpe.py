@@ -52,7 +52,7 @@ class RankQueue:
         if not self.low[h]:
             self.top &= self.top - 1
         own = self.buckets.pop(r)
-        return r, np.unique(np.concatenate(own)) if len(own) > 1 else np.sort(own[0])
+        return r, np.unique(np.concatenate(own))
 
 
 class ByteCoder:
@@ -88,6 +88,8 @@ class ByteCoder:
 
     def merged(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each of these pre-tokens, none of them empty."""
+        if not pieces:
+            return []
         sizes = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n, last = len(data), np.cumsum(sizes)
