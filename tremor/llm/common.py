@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,11 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 def id_crc(col: Column | str = "doc_id") -> Column:
     """crc32 of a key written as text; a null key counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(None)).cast("string").cast("binary"))
+    return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")).cast("binary"))
 
 
 def fold_is(modulus: int, remainder: int) -> Column:
-    return F.coalesce(id_crc() % modulus == remainder, F.lit(False))
+    return id_crc() % modulus == remainder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def blocks(batch: pa.RecordBatch, by: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes in column by each; a row is never split."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(by)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(by)), 0).to_numpy(zero_copy_only=False)
     at = np.cumsum(sizes, dtype=np.int64) // limit
     starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
     for a, b in zip(starts, starts[1:]):

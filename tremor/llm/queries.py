@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tremor.llm import byte_bpe, token_counts
+from tremor.llm import arrow_ids, byte_bpe, language_id, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op6_arrow_ids": arrow_ids.op6_arrow_ids,
+    "op7_language_id": language_id.op7_language_id,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
