@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tremor.llm import arrow_ids, byte_bpe, language_id, token_counts
+from tremor.llm import arrow_ids, byte_bpe, contamination, language_id, merkle, near_duplicates, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_quality": quality.op3_quality,
+    "op4_fingerprints": merkle.op4_fingerprints,
+    "op5_near_duplicates": near_duplicates.op5_near_duplicates,
     "op6_arrow_ids": arrow_ids.op6_arrow_ids,
     "op7_language_id": language_id.op7_language_id,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_decontamination": contamination.op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontamination": contamination.OP10_SQL}
