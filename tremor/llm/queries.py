@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import arrow_ids, byte_bpe, contamination, language_id, merkle, near_duplicates, quality, token_counts
+from tremor.llm import arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_duplicates": near_duplicates.op5_near_duplicates,
     "op6_arrow_ids": arrow_ids.op6_arrow_ids,
     "op7_language_id": language_id.op7_language_id,
+    "op8_class_lm": class_lm.op8_class_lm,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_decontamination": contamination.op10_decontamination,
 }
