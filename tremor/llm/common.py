@@ -68,6 +68,19 @@ def blocks(batch: pa.RecordBatch, by: str, limit: int = BLOCK_BYTES) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def text_blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[list]:
+    """Runs of texts, in order, of about limit characters; a text is never split."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= limit:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizing mix of 64-bit values, element by element."""
     x = x ^ (x >> np.uint64(30))

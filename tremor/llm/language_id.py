@@ -8,16 +8,18 @@ language with the largest share decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.llm.common import blocks, doc_texts, fold_is, mix64, stored, table
+from tremor.llm.common import blocks, doc_texts, fold_is, mix64, stored, table, text_blocks
 
+BLOCK_CHARS = 1_000_000
 N, HASHES, SLOTS = 3, 3, 1 << 19
 #: An n-gram belongs to a language if it is at least this share of the language's n-grams (so a filter has at most
 #: 1 / MIN_SHARE of them) and at least RATIO of its share in the language that has most of it.
@@ -63,7 +65,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK_CHARS):
                 langs, which = np.unique(np.array(b.column("lang").to_pylist(), object).astype(str), return_inverse=True)
                 doc, gram, _ = grams(b.column("text").to_pylist())
                 for i, lang in enumerate(langs.tolist()):
@@ -105,35 +107,43 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, masks
 
 
-def predict(docs: DataFrame, langs: list[str], masks: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score (the corrected share of the text's n-grams that the language has) of each row.
+def verdict_of(spark: SparkSession, langs: list[str], masks: np.ndarray) -> Callable[[Column], Column]:
+    """lang_pred and score (the corrected share of a text's n-grams that the language has) of a text column, as a struct.
 
     A text that is null or has no letter is und with score 0; so is every text if no language was learned. If no language
     has an n-gram of the text, it gets the first language with score 0. Equal shares: the first language in order.
     """
-    bits = np.arange(len(langs), dtype=np.uint64)
-    fill = np.array([np.count_nonzero(masks >> b & np.uint64(1)) for b in bits]) / SLOTS
-    by_chance = fill**HASHES
-    shared = docs.sparkSession.sparkContext.broadcast(masks.astype(np.uint32) if len(langs) <= 32 else masks)
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fill = np.array([np.count_nonzero(masks >> np.uint64(b) & np.uint64(1)) for b in range(len(langs))]) / SLOTS
+    by_chance = (fill**HASHES)[:, None]
+    shared = spark.sparkContext.broadcast(masks.astype(np.uint32) if len(langs) <= 32 else masks)
+
+    def decide(texts: list[str]) -> pd.DataFrame:
+        doc, gram, has = grams(texts)
+        if not langs:
+            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0})
         held = shared.value
-        for batch in batches:
-            for b in blocks(batch, "text"):
-                texts = b.column("text").to_pylist()
-                doc, gram, has = grams(texts)
-                found = held[slots(gram, 0)]
-                for i in range(1, HASHES):
-                    found &= held[slots(gram, i)]
-                n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-                hits = np.stack([np.bincount(doc[(found >> held.dtype.type(i)) & held.dtype.type(1) > 0], minlength=len(texts)) for i in range(len(langs))]) if langs else np.zeros((1, len(texts)))
-                share = np.clip((hits / n - by_chance[:, None]) / (1 - by_chance[:, None]), 0, 1) if langs else hits
-                best = share.argmax(0)
-                known = has & bool(langs)
-                names = np.array([*langs, "und"], object)[np.where(known, best, len(langs))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(known, share.max(0), 0.0), pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return doc_texts(docs).mapInArrow(decide, "doc_id long, lang_pred string, score double")
+        one = held.dtype.type(1)
+        found = held[slots(gram, 0)]
+        for i in range(1, HASHES):
+            found &= held[slots(gram, i)]
+        n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+        hits = np.stack([np.bincount(doc[(found >> held.dtype.type(i)) & one > 0], minlength=len(texts)) for i in range(len(langs))])
+        share = np.clip((hits / n - by_chance) / (1 - by_chance), 0, 1)
+        names = np.array([*langs, "und"], object)[np.where(has, share.argmax(0), len(langs))]
+        return pd.DataFrame({"lang_pred": names, "score": np.where(has, share.max(0), 0.0)})
+
+    @F.pandas_udf("lang_pred string, score double")
+    def verdict(texts: pd.Series) -> pd.DataFrame:
+        parts = [decide(some) for some in text_blocks(texts.fillna("").tolist(), BLOCK_CHARS)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+
+    return verdict
+
+
+def predict(docs: DataFrame, langs: list[str], masks: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred and score of each row of docs (doc_id, text; other columns are left out), as verdict_of gives them."""
+    found = doc_texts(docs).select("doc_id", verdict_of(docs.sparkSession, langs, masks)(F.col("text")).alias("v"))
+    return found.select("doc_id", "v.lang_pred", "v.score")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

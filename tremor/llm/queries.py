@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tremor.llm import arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, quality, token_counts
+from tremor.llm import arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, quality, token_counts, wrappers
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_html_extraction": wrappers.op2_html_extraction,
     "op3_quality": quality.op3_quality,
     "op4_fingerprints": merkle.op4_fingerprints,
     "op5_near_duplicates": near_duplicates.op5_near_duplicates,
