@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -20,73 +20,79 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import blocks, doc_texts, new_path, stored, table
+from tremor.llm.common import doc_texts, new_path, stored, table, text_blocks
 
-#: Entries of a worker's memory of words, and the longest it keeps; a full memory starts anew.
-MEMORY, LONGEST_KEPT = 500_000, 48
+#: Entries of a worker's memories of words and of their parts, and the longest word it keeps; a full memory starts anew.
+MEMORY, LONGEST_KEPT = 250_000, 48
 SEQUENCE, ROWS = 2048, 256  # ids of a sequence, sequences of a record batch
+#: Texts handled at once, by characters, and words given to the library at once: its answers are large.
+BLOCK_CHARS, AT_ONCE = 500_000, 4_000
+#: Marks that end words; a run of them is a token run of its own to the tokenizer, as are the letters before it.
+MARKS = ".,!?;:|*#$%&"
 _coders: dict[str, WordCoder] = {}
 
 
 class WordCoder:
-    """Encodes texts by a tokenizer that drops white space, word by word, so that a word is encoded once."""
+    """Encodes texts by a tokenizer that drops white space and small-letters A-Z, word by word, so that the library sees a word once.
+
+    Of a word that is letters and then marks, the letters and the marks are remembered each.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
-        self.by_word = self.ids(["a b"])[0] == b"".join(self.ids(["a", "b"]))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        joined = lambda *texts: b"".join(self.ids(texts))
+        self.by_word = joined("a b") == joined("a", "b")
+        self.by_part = all(joined(f"Ab{m}.") == joined("ab", f"{m}.") for m in MARKS)
+
+    def ids(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        cut = []
+        for w in words:
+            head = w.rstrip(MARKS)
+            if self.by_part and head.isalpha() and (head.isascii() or head.lower().isalpha()):  # a capital can become letter and mark
+                cut.append((head.lower() if head.isascii() else head, w[len(head) :]))
+            else:
+                cut.append((w, ""))
+        if len(self.parts) > MEMORY:
+            self.parts.clear()
+        new = list({p for both in cut for p in both}.difference(self.parts))
+        self.parts.update(zip(new, self.ids(new)))
+        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in zip(words, cut))
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                del self.parts[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.ids(texts)
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
+        words = self.words
+        if len(words) > MEMORY:
+            words.clear()
         # str.split() also cuts at four control characters that aren't white space to the tokenizer
-        split = [[t] if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
-        new = list(set().union(*split).difference(memory))
-        memory.update(zip(new, self.ids(new)))
-        out = [b"".join(map(memory.__getitem__, words)) for words in split]
+        split = [[t] if ODD.search(t) else t.split() for t in texts]
+        new = list(set().union(*split).difference(words))
+        self.learn(new)
+        out = [b"".join(map(words.__getitem__, own)) for own in split]
         for w in new:
             if len(w) > LONGEST_KEPT:
-                del memory[w]
+                del words[w]
         return out
 
 
+ODD = re.compile("[\x1c-\x1f]")
+
+
 def coder(path: str) -> WordCoder:
     if path not in _coders:
         _coders[path] = WordCoder(path)
     return _coders[path]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and ids of each row, end mark included, as narrow() packs them."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for b in blocks(batch, "text"):
-                ids = coder(tokenizer).encode(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([narrow(x + end) for x in ids], pa.binary())], ["doc_id", "ids"])
-
-    return doc_texts(docs).mapInArrow(encode, "doc_id long, ids binary")
-
-
-def narrow(ids: bytes) -> bytes:
-    """A byte that tells the width, then the ids at that width."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if wide.max() < 65536 else b"\4" + ids
-
-
-def widened(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1)
-
-
 def store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
@@ -140,17 +146,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
         fs, base = store(folder)
         from pyspark import TaskContext
 
-        part, docs, total = TaskContext.get().partitionId(), [], 0
+        part, docs, total, end = TaskContext.get().partitionId(), [], 0, np.array([end_id], "<u4").tobytes()
         dtype = pa.uint16() if coder(path).tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else pa.uint32()
 
         def runs() -> Iterator[np.ndarray]:
             nonlocal total
             for b in batches:
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                    run = widened(ids)
-                    docs.append((doc_id, total, len(run)))
-                    total += len(run)
-                    yield run
+                doc_ids = iter(b.column("doc_id").to_pylist())
+                for texts in text_blocks(b.column("text").to_pylist(), BLOCK_CHARS):
+                    for ids, doc_id in zip(coder(path).encode(texts), doc_ids):
+                        run = np.frombuffer(ids + end, "<u4")
+                        docs.append((doc_id, total, len(run)))
+                        total += len(run)
+                        yield run
 
         name = f"{base}/part-{part:06d}"
         made = sequences(runs(), dtype, length, rows)
@@ -164,10 +172,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
 
     # dealt before encoding, since the sample that finds the ranges runs what stands above it
     dealt = doc_texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stored(encoded(dealt, path, end_id).mapInArrow(write, "part long, file string, n_docs long, n_tokens long, first long"), "id-files")
+    return stored(dealt.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, first long"), "id-files")
 
 
-def read_ids(spark: SparkSession, files: DataFrame, folder: str, fields: str, of: callable) -> DataFrame:
+def read_ids(spark: SparkSession, files: DataFrame, folder: str, fields: str, of: Callable) -> DataFrame:
     """Reads the files that write_ids lists: of(doc_id, start in the corpus, ids) of each document, as rows of fields.
 
     The start of a file is the sum of the files before it, taken from the list of files alone. A file is read a record
@@ -213,8 +221,8 @@ def read_ids(spark: SparkSession, files: DataFrame, folder: str, fields: str, of
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
-    # one file a task: the rows are few and short
-    return starts.repartition(F.col("part")).mapInArrow(read, fields)
+    # the rows are few and short; dealt out anew, so that the files are read by many tasks
+    return starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(read, fields)
 
 
 def crc_row(doc_id: int | None, start: int, ids: np.ndarray) -> tuple:
