@@ -103,7 +103,7 @@ def telemetry_to_log(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def explode_scores(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    return parsed.select(*keys, F.explode("message.inference.scores").alias("class", "score")).withColumn("percent", F.round(F.col("score") * 100, 1))
+    return parsed.select(*keys, F.explode("message.inference.scores").alias("class", "score")).withColumn("percent", F.round(F.round(F.col("score") * 100, 6), 1))
 
 
 def latest_snapshot(parsed: DataFrame, device: str, order: str) -> DataFrame:
