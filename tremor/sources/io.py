@@ -71,7 +71,7 @@ def parse_serial_lines(lines: DataFrame, label: str) -> tuple[DataFrame, DataFra
 
     A line of fewer than five fields is malformed; one whose first five aren't all numbers is a message of the system. Works on streams too.
     """
-    parts = F.transform(F.split(F.trim("value"), ","), F.trim)
+    parts = F.transform(F.split(F.trim("value"), ","), lambda p: F.trim(p))
     number = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
     kind = (
         F.when(F.col("value").isNull() | (F.trim("value") == ""), "blank").when(F.lower(F.trim("value")).startswith("timestamp"), "header").when(F.size("_parts") < 5, "malformed")
