@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
@@ -46,26 +48,42 @@ class WordCoder:
         joined = lambda *texts: b"".join(self.ids(texts))
         self.by_word = joined("a b") == joined("a", "b")
         self.by_part = all(joined(f"Ab{m}.") == joined("ab", f"{m}.") for m in MARKS)
+        self.by_letters = all(self.of_letters(plain_letters(w)) == joined(w) for w in ("a", "Hello", "unbelievably", "Éléphant", "ÑANDÚ", "straße", "Δοκιμή", "ПРИВЕТ"))
+
+    def of_letters(self, part: str) -> bytes:
+        """The ids of small letters: straight from the library's model, since nothing else of the tokenizer changes them."""
+        text = part if part.isascii() else "".join(map(BYTE_LETTERS.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        cut = []
+        parts, cut, letters, others = self.parts, [], set(), set()
+        if len(parts) > MEMORY:
+            parts.clear()
         for w in words:
             head = w.rstrip(MARKS)
-            if self.by_part and head.isalpha() and (head.isascii() or head.lower().isalpha()):  # a capital can become letter and mark
-                cut.append((head.lower() if head.isascii() else head, w[len(head) :]))
+            small = plain_letters(head) if self.by_part else None
+            if small is None:
+                head, tail = w, ""
+                others.add(w)
             else:
-                cut.append((w, ""))
-        if len(self.parts) > MEMORY:
-            self.parts.clear()
-        new = list({p for both in cut for p in both}.difference(self.parts))
-        self.parts.update(zip(new, self.ids(new)))
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in zip(words, cut))
-        for p in new:
-            if len(p) > LONGEST_KEPT:
-                del self.parts[p]
+                tail = w[len(head) :]
+                head = small if self.by_letters else head
+                (letters if self.by_letters else others).add(head)
+                if tail:
+                    others.add(tail)
+            cut.append((head, tail))
+        parts[""] = b""
+        parts.update((p, self.of_letters(p)) for p in letters.difference(parts))
+        others = list(others.difference(parts))
+        parts.update(zip(others, self.ids(others)))
+        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(words, cut))
+        for a, b in cut:
+            for p in (a, b):
+                if len(p) > LONGEST_KEPT:
+                    parts.pop(p, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -87,6 +105,26 @@ class WordCoder:
 ODD = re.compile("[\x1c-\x1f]")
 
 
+def plain_letters(word: str) -> str | None:
+    """A word of letters, in small ones, if that and its bytes are all that the tokenizer makes of it: ASCII, or Latin, Greek and Cyrillic in composed form."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word.lower()
+    small = "".join(map(str.lower, word))
+    return small if max(word) < "\u0530" and small.isalpha() and is_normalized("NFC", word) else None
+
+
+def byte_letters() -> list[str]:
+    """The character that byte-level tokenizers write for each byte: itself if it prints, else the next one from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in printing else next(others)) for b in range(256)]
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def coder(path: str) -> WordCoder:
     if path not in _coders:
         _coders[path] = WordCoder(path)
