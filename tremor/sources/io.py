@@ -57,10 +57,13 @@ def header_rows(text: DataFrame) -> DataFrame:
 
 def list_incoming(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes, rows, status and reason of every file below path: other files than CSV and files without rows FAIL."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # scans leave out files of no bytes; the reader's own index of files has them
+    names = spark.createDataFrame([(f,) for f in listed.inputFiles()], "file string")
     rows = read_samples(spark, path).groupBy(F.col("stream_id").alias("file")).agg(F.count("*").alias("rows"))
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")  # noqa: E731  the two readers write schemes differently
-    both = files.join(rows.withColumnRenamed("file", "read"), plain(F.col("file")) == plain(F.col("read")), "left").drop("read")
+    sizes = listed.select(plain(F.col("path")).alias("place"), F.col("length").alias("bytes"))
+    both = names.withColumn("place", plain(F.col("file"))).join(sizes, "place", "left").join(rows.select(plain(F.col("file")).alias("place"), "rows"), "place", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     n = F.coalesce("rows", F.lit(0))
     reason = F.when(~F.lower("file").endswith(".csv"), "not_csv_file").when(n == 0, "empty_file").otherwise("ok")
     return both.select("file", "bytes", n.alias("rows"), F.when(reason == "ok", "PASS").otherwise("FAIL").alias("status"), reason.alias("reason"))
