@@ -21,7 +21,7 @@ DIR = "/root/testdata/sf0.001"
 
 
 def key(row):
-    return tuple((v is None, v or 0) for v in row)
+    return tuple((v is None, 0 if v is None else v) for v in row)
 
 
 # Near duplicates

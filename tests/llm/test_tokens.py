@@ -28,7 +28,7 @@ TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_fr
 
 
 def key(row):
-    return tuple((v is None, v or 0) for v in row)
+    return tuple((v is None, 0 if v is None else v) for v in row)
 
 
 def test_counts_are_the_library_s(docs, texts, none):
