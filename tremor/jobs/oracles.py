@@ -224,7 +224,7 @@ SQL: dict[str, str] = {
     "segment_summary": f"WITH {SEGMENTS} SELECT label, status, count(*) AS segments FROM report GROUP BY 1, 2",
     "segment_precheck": "SELECT DISTINCT user_id AS stream_id, CASE WHEN user_id % 5 IN (1, 2, 3) THEN 'FAILED' ELSE 'OK' END AS status, CASE user_id % 5 WHEN 1 THEN 'no_label' WHEN 2 THEN 'invalid_label' WHEN 3 THEN 'no_numeric_rows' ELSE 'ok' END AS reason FROM events",
     "validate_segments": f"WITH {SEGMENTS} SELECT stream_id, segment_id, CASE WHEN samples < 16 THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN samples < 16 THEN 'too_short' ELSE 'valid' END AS reason FROM report",
-    "sliding_windows": f"WITH {WINDOWS} SELECT {WINDOW_KEYS}, local_id * 64 AS start_idx, any_value(label) AS label, {r('sum(x)', 4)} AS x, {r('sum(zf)', 4)} AS z, {r('arg_min(z, i)', 4)} AS first, {r('arg_max(z, i)', 4)} AS last FROM w GROUP BY {WINDOW_KEYS}",
+    "sliding_windows": f"WITH {WINDOWS} SELECT {WINDOW_KEYS}, local_id * 64 AS start_idx, any_value(label) AS label, {r('sum(x)')} AS x, {r('sum(zf)')} AS z, {r('arg_min(z, i)')} AS first, {r('arg_max(z, i)')} AS last FROM w GROUP BY {WINDOW_KEYS}",
     "tumbling_windows": f"WITH {line_windows(128, 128)} SELECT {WINDOW_KEYS}, local_id * 128 AS start_idx, {r('sum(x)', 4)} AS x FROM w GROUP BY {WINDOW_KEYS}",
     "window_report": f"WITH {WINDOWS} SELECT {WINDOW_KEYS}, any_value(label) AS label, min(seq) AS start_idx, max(seq) + 1 AS end_idx_exclusive, max(seq) AS end_idx_inclusive, min(seq) * 2.0::DOUBLE AS start_ms, max(seq) * 2.0::DOUBLE AS end_ms, count(*) AS size, {r('count(*) / 500')} AS duration_s FROM w GROUP BY {WINDOW_KEYS}",
     "cap_per_label": f"WITH {WINDOWS} SELECT stream_id, 0::BIGINT AS segment_id, local_id, label FROM full_ QUALIFY row_number() OVER (PARTITION BY label ORDER BY stream_id, local_id) <= 100",

@@ -207,7 +207,7 @@ def q_validate_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def q_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     w = line_windows(spark, d)
-    return rounded(w.select(*KEYS, "start_idx", "label", A.array_sum(F.col("accX_raw")).alias("x"), A.array_sum(F.col("accZ_filt")).alias("z"), F.get("accZ_raw", F.lit(0)).alias("first"), F.get("accZ_raw", F.lit(SIZE - 1)).alias("last")), 4)
+    return rounded(w.select(*KEYS, "start_idx", "label", A.array_sum(F.col("accX_raw")).alias("x"), A.array_sum(F.col("accZ_filt")).alias("z"), F.get("accZ_raw", F.lit(0)).alias("first"), F.get("accZ_raw", F.lit(SIZE - 1)).alias("last")))
 
 
 def q_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
