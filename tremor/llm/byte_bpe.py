@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tremor.llm.common import blocks, doc_texts, table
 
 #: Entries of a worker's memory of pre-tokens, and the longest it keeps; a full memory starts anew.
-MEMORY, LONGEST_KEPT = 500_000, 48
+MEMORY, LONGEST_KEPT = 250_000, 48
 _coders: dict[str, ByteCoder] = {}
 
 
@@ -206,11 +206,13 @@ def round_trip(docs: DataFrame, ranks_file: str | None = None) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, c = batch.column("ids").to_pylist(), coder(path)
-            sums = [pa.array([hashlib.sha256(f(x)).hexdigest() for x in ids], pa.string()) for f in (bytes, c.decode)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for b in blocks(batch, "text"):
+                ids = coder(path).encode(b.column("text").to_pylist())
+                sums = [pa.array([hashlib.sha256(f(x)).hexdigest() for x in ids], pa.string()) for f in (bytes, coder(path).decode)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded(docs, path).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # in one worker a task, which holds the only memory of pre-tokens
+    return doc_texts(docs).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
