@@ -76,6 +76,16 @@ def test_groups_of_odd_texts(docs, none, texts):
     assert near_duplicates.duplicate_groups(none).count() == 0
 
 
+def test_alike_pairs_of_a_crowded_bucket_are_found(spark, monkeypatch):
+    """All texts share all buckets: 60 near copies, 60 unlike texts, and small groups of alike ones among them, a chain included."""
+    monkeypatch.setattr(near_duplicates, "banded", lambda of, h, count, n_texts, bands, rows: np.zeros((n_texts, bands), np.uint64))
+    rows = [(i, edited(prose(700, 120), [i])) for i in range(60)] + [(1000 + i, prose(2000 + i, 120)) for i in range(60)]
+    rows += [(3000 + 10 * i + j, edited(prose(3000 + i, 120), [40] * j)) for i in range(6) for j in range(2)]
+    rows += [(4000 + j, edited(prose(5000, 120), list(range(10, 10 + 8 * j)))) for j in range(5)]
+    got = {r.doc_id: r.class_id for r in near_duplicates.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_registers_agree_as_the_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**63, 60).astype(np.uint64), None
@@ -117,6 +127,17 @@ def test_contamination_is_that_of_all_pairs(spark, docs, none, texts):
     assert contamination.without_contaminated(docs, table).columns == docs.columns
 
 
+def test_short_items_inside_long_documents(spark):
+    """Items of 1 to 14 shingles, and more of one, each inside its own document, an edited one, and one that is only partly there."""
+    items = [(i, prose(6000 + i, (i + 4 if i < 15 else 5))) for i in range(1, 31)]
+    rows = [(100 + i, prose(7000 + i, 400) + " " + t + " " + prose(8000 + i, 500)) for i, t in items]
+    rows += [(200, prose(9000, 400) + " " + " ".join(items[7][1].split()[:-1]) + " " + prose(9001, 400)), (201, prose(9002, 400) + " " + " ".join(items[7][1].split()[:7]) + " " + prose(9003, 400))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for some in (table, table.where("item_id <= 8")):
+        got = {(r.doc_id, r.item_id): r.containment for r in contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), some).collect()}
+        assert got == {(100 + r.item_id, r.item_id): 1.0 for r in some.collect()} | {(200, 8): 7 / 8}
+
+
 # Fingerprints
 
 

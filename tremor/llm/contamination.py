@@ -5,11 +5,14 @@ with the least value of its shingles under every permutation; larger blocks take
 of items of at most q shingles, the windows of a document are pairs of neighbouring blocks of q: any
 passage of q shingles lies whole in one, so the Jaccard similarity of item and window stays near the containment over two,
 however long the document is. An item and a window that agree in a permutation are a candidate; the share of the item's shingles that
-the whole document has decides. DataFrame functions alone.
+the whole document has decides. Items too short for the smallest windows are joined with the documents by their few shingles
+themselves. DataFrame functions alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from tremor.llm.common import stored, table
 WORDS, CONTAINED = 5, 0.8
 #: Shingles of a base block; permutations. A passage of over half its part's size misses all of 24 with a chance below 0.1 %.
 BASE, PERMUTATIONS = 16, 24
+#: Items of at most this many shingles, half the smallest part's size, are searched for by each shingle.
+SHORT = BASE // 2
 NAMES = [f"m{i}" for i in range(PERMUTATIONS)]
 
 
@@ -47,26 +52,16 @@ def signature_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(F.array(*NAMES)).alias("permutation", "least"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """doc_id, item_id and containment of each pair of a document of docs (doc_id, text) and an item of items (item_id, text)
-    that it contains: the share of the item's distinct five-word shingles that the document has is contained or more.
+def common_shingles(texts: DataFrame, of_items: DataFrame) -> DataFrame:
+    """doc_id, item_id and common, the number of distinct shingles of the item (item_id, sh) that the document (doc_id, text) has, if any."""
+    shared = shingle_rows(texts, ["doc_id"]).join(of_items, "sh").select("doc_id", "item_id", "sh").distinct()
+    return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("common"))
 
-    Words are small-lettered runs of letters and digits. An item of fewer than five words is one shingle, found in documents
-    whose whole text it is. Null or empty texts, and texts without words, contain nothing and are contained in
-    nothing. Rows that repeat a doc_id, or an item_id, count as one text each that has all their shingles. Null keys are
-    keys like others. An empty table on either side gives no rows.
-    """
-    of_items = stored(shingle_rows(items.select("item_id", F.col("text").cast("string").alias("text")), ["item_id"]).select("item_id", "sh").distinct(), "item-shingles")
-    sized = of_items.groupBy("item_id").agg(F.count("*").alias("n"), *least())
-    part = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BASE)).cast("int"))
-    signed = stored(sized.withColumn("part", part), "item-signatures")
-    parts = [r.part for r in signed.select("part").distinct().orderBy("part").collect()]  # one for each power of two
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
-    wanted = signature_rows(signed, ["part", "item_id"])
 
+def common_of_candidates(texts: DataFrame, of_items: DataFrame, signed: DataFrame, parts: list[int]) -> DataFrame:
+    """common_shingles of the pairs of a document and an item of signed (item_id, part, least hashes) of which a window and the item agree in a permutation."""
+    wanted = signature_rows(signed, ["part", "item_id"])
     # dealt by document once: all blocks and windows of a document are then grouped where they are
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     keyed = texts.withColumn("version", F.xxhash64("text"))
     blocks = shingle_rows(keyed.repartition("doc_id", "version"), ["doc_id", "version"])
     blocks = blocks.groupBy("doc_id", "version", F.floor(F.col("place") / BASE).cast("int").alias("block")).agg(*least())
@@ -83,9 +78,36 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
 
     likely = candidates.select("doc_id").distinct()
     again = texts.join(likely, texts["doc_id"].eqNullSafe(likely["doc_id"]), "left_semi")
-    shared = shingle_rows(again, ["doc_id"]).join(of_items, "sh").select("doc_id", "item_id", "sh").distinct()
-    counts = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("common"))
-    pairs = candidates.join(counts, candidates["doc_id"].eqNullSafe(counts["doc_id"]) & candidates["item_id"].eqNullSafe(counts["item_id"])).select(candidates["doc_id"], candidates["item_id"], "common")
+    counts = common_shingles(again, of_items)
+    return candidates.join(counts, candidates["doc_id"].eqNullSafe(counts["doc_id"]) & candidates["item_id"].eqNullSafe(counts["item_id"])).select(candidates["doc_id"], candidates["item_id"], "common")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """doc_id, item_id and containment of each pair of a document of docs (doc_id, text) and an item of items (item_id, text)
+    that it contains: the share of the item's distinct five-word shingles that the document has is contained or more.
+
+    Words are small-lettered runs of letters and digits. An item of fewer than five words is one shingle, found in documents
+    whose whole text it is. Null or empty texts, and texts without words, contain nothing and are contained in
+    nothing. Rows that repeat a doc_id, or an item_id, count as one text each that has all their shingles. Null keys are
+    keys like others. An empty table on either side gives no rows.
+    """
+    of_items = stored(shingle_rows(items.select("item_id", F.col("text").cast("string").alias("text")), ["item_id"]).select("item_id", "sh").distinct(), "item-shingles")
+    sized = of_items.groupBy("item_id").agg(F.count("*").alias("n"), *least())
+    part = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BASE)).cast("int"))
+    signed = stored(sized.withColumn("part", part), "item-signatures")
+    short = of_items.join(signed.where(F.col("n") <= SHORT).select(F.col("item_id").alias("item")), F.col("item_id").eqNullSafe(F.col("item")), "left_semi")
+    parts = [r.part for r in signed.where(F.col("n") > SHORT).select("part").distinct().orderBy("part").collect()]  # one for each power of two
+    has_short = not signed.where(F.col("n") <= SHORT).isEmpty()
+    if not parts and not has_short:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    counts = []
+    if parts:
+        counts.append(common_of_candidates(texts, of_items, signed.where(F.col("n") > SHORT), parts))
+    if has_short:
+        counts.append(common_shingles(texts, short))
+    pairs = reduce(DataFrame.unionByName, counts)
     shares = pairs.join(signed.select(F.col("item_id").alias("item"), "n"), F.col("item_id").eqNullSafe(F.col("item"))).select("doc_id", "item_id", (F.col("common") / F.col("n")).alias("containment"))
     return shares.where(F.col("containment") >= contained)
 

@@ -6,9 +6,10 @@ registers of its text. Two texts agree in a register with the chance of their pr
 registers bring likely pairs together. Every pair that counts is verified on the whole shingle sets.
 
 Texts with the same shingles become one class first, by a hash of the set. In a bucket of a band all classes meet
-leaders of the bucket instead of each other, so a bucket gives a few pairs for each member, however large it is. Classes that meet
-and are alike are linked; further rounds take new leaders from the members that are not yet linked with the bucket's
-leader, until no bucket has any. Then connected components give each document its group.
+leaders of the bucket instead of each other, so a bucket of copies gives a few pairs for each member, however large it is. Classes that meet
+and are alike are linked. A leader has then met all others and leaves the bucket; further rounds take new leaders, twice as many each time,
+from the members outside the largest group that the bucket has left, until all that is left of a bucket is one group. So each pair of a
+bucket has been compared, or is linked by others. Then connected components give each document its group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from tremor.llm.common import blocks, doc_texts, mix64, stored, table
 WORDS, ALIKE = 5, 0.8
 #: At a similarity of 0.8 a pair misses all of 30 bands of 5 registers with a chance of 7e-6; at 0.3 it meets with one of 7 %.
 BANDS, ROWS = 30, 5
-ROUNDS = 6
+#: Leaders of a bucket in the first round.
+LEADERS = 4
 PRIME = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -100,7 +102,7 @@ def banded(of: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int, bands
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, the hash of the shingle set (two halves) and the band keys of each row; a text without words has no keys."""
+    """doc_id, the hash of the shingle set (two halves), its size and the band keys of each row; a text without words has no keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +115,11 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     own = np.zeros(n, np.uint64)
                     np.add.at(own, of, mix64(h + np.uint64(salt * PRIME % 2**64)))
                     halves.append(pa.array(own.view(np.int64)))
-                has = np.bincount(of, minlength=n) > 0
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *halves, pa.array([k if y else None for k, y in zip(keys, has)], pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "bands"])
+                size = np.bincount(of, minlength=n)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *halves, pa.array(size), pa.array([k if y else None for k, y in zip(keys, size)], pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "size", "bands"])
 
     low = doc_texts(docs).withColumn("text", F.lower("text"))
-    return low.mapInArrow(sketch, "doc_id long, set_a long, set_b long, bands array<long>")
+    return low.mapInArrow(sketch, "doc_id long, set_a long, set_b long, size long, bands array<long>")
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -163,19 +165,27 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def leader_pairs(members: DataFrame, salts: list[int]) -> DataFrame:
-    """Distinct (a, b): each member (bucket, node, root) with leaders of its bucket that have another root.
+def with_leaders(members: DataFrame, wanted: int, salt: int) -> DataFrame:
+    """The members (bucket, node, size, root) of buckets that have several roots, and whether each leads its bucket now.
 
-    Leaders are the least nodes, and the least by a salted hash; aggregation before the shuffle keeps hot buckets small.
+    About wanted members that are not of a bucket's most common root lead it, all of them if there are no more; aggregation before the
+    shuffle keeps hot buckets small, and a hash of the node alone picks the same leaders in all bands.
     """
-    leaders = [F.min("node").alias("l0"), *(F.min_by("node", F.xxhash64("node", F.lit(s))).alias(f"l{i + 1}") for i, s in enumerate(salts))]
-    names = [f"l{i}" for i in range(len(leaders))]
-    crowded = members.groupBy("bucket").agg(*leaders, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("lo", "hi")
-    met = members.join(crowded, "bucket").select(F.col("node"), F.explode(F.array_distinct(F.array(*names))).alias("leader")).where("node <> leader")
-    return met.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    roots = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = roots.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    drawn = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 30)) / (1 << 30) < F.lit(wanted) / F.col("others")
+    return members.join(mixed, "bucket").select("bucket", "node", "size", "root", ((F.col("root") != F.col("most")) & drawn).alias("leads"))
 
 
-def duplicate_groups(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def leader_pairs(members: DataFrame, alike: float) -> DataFrame:
+    """Distinct (a, b): each member (bucket, node, size, root, leads) with the leaders of its bucket that have another root and a size that lets them be alike."""
+    leaders = members.where("leads").groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "size")).alias("leaders"))
+    met = members.join(leaders, "bucket").select("node", "root", "size", F.explode("leaders").alias("l"))
+    met = met.where((F.col("root") != F.col("l.root")) & (F.least("size", "l.size") >= F.greatest("size", "l.size") * (alike - 1e-9)))
+    return met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
+
+
+def duplicate_groups(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id (the least doc_id of its group) of each row of docs (doc_id, text).
 
     A group is connected by links: pairs of texts whose sets of five-word shingles have a Jaccard similarity of alike or
@@ -186,34 +196,34 @@ def duplicate_groups(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS,
     """
     texts = doc_texts(docs)
     sketched = stored(sketches(texts, bands, rows), "sketches")
-    classes = sketched.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
+    classes = sketched.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
     classes = stored(classes, "classes")
-    placed = classes.where("bands IS NOT NULL AND node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = placed.select(F.xxhash64("band", "key").alias("bucket"), "node")
+    placed = classes.where("bands IS NOT NULL AND node IS NOT NULL").select("node", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = placed.select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(buckets.join(crowded, "bucket"), "buckets")
     wanted = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    links, tried, roots = None, None, None
-    for step in range(rounds):
+    links, tried, roots, step = None, None, None, 0
+    while True:
         if roots is None:
             now = members.withColumn("root", F.col("node"))
         else:
             now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = leader_pairs(now, [step * 3 + 1, step * 3 + 2, step * 3 + 3])
+        now = stored(with_leaders(now, LEADERS << step, step), "members")
+        if now.isEmpty():
+            break
+        pairs = leader_pairs(now, alike)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         pairs = stored(pairs, "pairs")
+        members, step = now.where("NOT leads").select("bucket", "node", "size"), step + 1
         if pairs.isEmpty():
-            break
+            continue
         found = stored(verified(pairs, wanted, alike), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = stored(components(links), "roots")
-        elif roots is None:
-            break
     named = classes.select("set_a", "set_b", "node")
     if roots is not None:
         named = named.join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("node"))
