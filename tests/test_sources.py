@@ -8,6 +8,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tremor.jobs import queries
+from tremor.sources import adapters as ad
 from tremor.sources import io
 from tremor.streaming import live
 
@@ -67,3 +69,13 @@ def test_live_windows_do_not_depend_on_batches(spark, tmp_path, files):
         y = filtered(np.array([r[2] for r in rows if r[0] == s]), 0.9936)
         want += [(s, k, round(float(np.sqrt(np.mean(y[8 * k : 8 * k + 16] ** 2))), 9)) for k in range((100 - 16) // 8 + 1)]
     assert got == sorted(want)
+
+
+def test_long_recordings_are_streamed_whole(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_suppkey <= 4")
+    hot = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1500).withColumn("l_suppkey", F.lit(99).cast(rows.schema["l_suppkey"].dataType))
+    rows.unionByName(hot).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sizes = {r.l_suppkey: r["count"] for r in spark.read.parquet(str(tmp_path / "lineitem.parquet")).groupBy("l_suppkey").count().collect()}
+    got = {r.stream_id: r["count"] for r in queries.q_stream_windows(spark, str(tmp_path)).groupBy("stream_id").count().collect()}
+    assert sizes[99] == 1500
+    assert got == {k: (n - queries.SIZE) // ad.LINES.hop + 1 for k, n in sizes.items() if n >= queries.SIZE}

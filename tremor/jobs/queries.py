@@ -545,9 +545,12 @@ def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
     source, out, state = (shared_path(spark, n) for n in ("live-samples", "live-windows", "live-state"))
     samples = ad.line_samples(spark, d).select("stream_id", "seq", "accZ_raw")
-    for i in range(4):  # a file for each quarter of the recordings, in order
-        samples.where(F.floor(F.col("seq") / 200) == i).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("stream_id long, seq long, accZ_raw double").option("maxFilesPerTrigger", 1).parquet(source)
+    ends = samples.groupBy("stream_id").agg((F.max("seq") + 1).alias("n"))
+    quarters = samples.join(ends, "stream_id").withColumn("quarter", F.floor(F.col("seq") * 4 / F.col("n")))
+    files = spark.sparkContext.defaultParallelism
+    for i in range(4):  # files for each quarter of each recording, in order; a recording's rows of a quarter are in one file
+        quarters.where(F.col("quarter") == i).select(samples.columns).repartition(files, "stream_id").write.mode("append").parquet(source)
+    stream = spark.readStream.schema("stream_id long, seq long, accZ_raw double").option("maxFilesPerTrigger", files).parquet(source)
     query = stream_windows(stream, SIZE, ad.LINES.hop, 0.9936, 0.05).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return rounded(spark.read.parquet(out).select("stream_id", "local_id", "start_seq", "rms", "is_transient", F.get("z", F.lit(0)).alias("first"), F.size("z").alias("n")))
