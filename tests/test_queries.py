@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tremor.jobs import registry
@@ -26,7 +27,7 @@ def sql():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False, name=None)), key=lambda r: tuple((x is None, str(type(x)), x or 0) for x in r))
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from tremor.functions import labels as L
 from tremor.operators import checks, features, model, scan, segment, spectrum, validate, windows
 from tremor.sources import adapters as ad
 from tremor.sources import io
+from tremor.sources.shared import new_path
 
 KEYS = ["stream_id", "segment_id", "local_id"]
 RATE, SIZE, N = 500.0, 128, 64
@@ -42,12 +41,6 @@ def embedding_spectra(spark: SparkSession, d: str) -> DataFrame:
     return spectrum.spectra(ad.embedding_windows(spark, d), "z")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tremor-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Labels and scalars
 
 
@@ -491,14 +484,14 @@ def q_to_telemetry_json(spark: SparkSession, d: str) -> DataFrame:
 
 def q_export_log(spark: SparkSession, d: str) -> DataFrame:
     """The log written as CSV and read back."""
-    path = shared_path(spark, "log")
+    path = new_path(spark, "log")
     io.export_log_csv(io.telemetry_to_log(io.parse_telemetry(ad.telemetry_lines(spark, d)), ["event_id"]), path, "event_id")
     return rounded(spark.read.option("header", True).schema("event_id long, timestamp string, prediction string, confidence double, fan_state string, rms_x double, rms_y double, rms_z double, bp_low double, bp_mid double, bp_high double").csv(path).drop("timestamp"))
 
 
 def q_write_by_label(spark: SparkSession, d: str) -> DataFrame:
     """Windows written by class twice, cleaned first and then added to, and read back."""
-    path, w = shared_path(spark, "windows"), line_windows(spark, d).select(*KEYS, "label")
+    path, w = new_path(spark, "windows"), line_windows(spark, d).select(*KEYS, "label")
     io.write_by_label(w, path)
     io.write_by_label(w, path, clean=False)
     return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct(*KEYS).alias("windows"))
@@ -506,7 +499,7 @@ def q_write_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 def q_read_samples(spark: SparkSession, d: str) -> DataFrame:
     """Events written as CSV recordings and read back with their row order."""
-    path = shared_path(spark, "recordings")
+    path = new_path(spark, "recordings")
     rows = ad.event_samples(spark, d).withColumn("stream", F.col("stream_id"))
     rows.repartition("stream").sortWithinPartitions("stream", "seq").drop("stream_id", "seq").write.partitionBy("stream").option("header", True).csv(path)
     back = io.as_samples(io.read_samples(spark, path)).withColumn("stream_id", F.regexp_extract("stream_id", "stream=([0-9]+)", 1).cast("long"))
@@ -515,7 +508,7 @@ def q_read_samples(spark: SparkSession, d: str) -> DataFrame:
 
 def q_list_incoming(spark: SparkSession, d: str) -> DataFrame:
     """The files of recordings written from events, by class."""
-    path = shared_path(spark, "incoming")
+    path = new_path(spark, "incoming")
     rows = ad.event_samples(spark, d)
     rows.withColumn("stream", F.col("stream_id")).repartition("stream").drop("stream_id").write.partitionBy("stream").option("header", True).csv(path)
     listed = io.list_incoming(spark, path).where(F.col("file").contains("part-"))
@@ -523,7 +516,7 @@ def q_list_incoming(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_write_features(spark: SparkSession, d: str) -> DataFrame:
-    path, w = shared_path(spark, "features"), line_windows(spark, d)
+    path, w = new_path(spark, "features"), line_windows(spark, d)
     io.write_features(features.features(w, KEYS, ad.LINES, SIZE), features.feature_report(w, KEYS, SIZE, ad.LINES), path)
     report = spark.read.option("header", True).csv(f"{path}/report").groupBy().agg(F.count_if(F.col("status") == "OK").alias("ok"))
     return rounded(spark.read.parquet(f"{path}/features").agg(F.count("*").alias("n"), F.avg("RMS_X").alias("rms_x")).join(report))
@@ -533,7 +526,7 @@ def q_stream_telemetry(spark: SparkSession, d: str) -> DataFrame:
     """Payloads written as files and streamed into the log."""
     from tremor.streaming.live import stream_telemetry
 
-    source, log, state = (shared_path(spark, n) for n in ("payloads", "live-log", "live-state"))
+    source, log, state = (new_path(spark, n) for n in ("payloads", "live-log", "live-state"))
     ad.telemetry_lines(spark, d).repartition(4, "device").write.parquet(source)
     stream_telemetry(spark.readStream.schema("device long, event_id long, payload string").option("maxFilesPerTrigger", 2).parquet(source), log, state, ["device", "event_id"]).awaitTermination()
     return rounded(spark.read.parquet(log))
@@ -543,7 +536,7 @@ def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Samples streamed in four batches through live windows with filter and transient state."""
     from tremor.streaming.live import stream_windows
 
-    source, out, state = (shared_path(spark, n) for n in ("live-samples", "live-windows", "live-state"))
+    source, out, state = (new_path(spark, n) for n in ("live-samples", "live-windows", "live-state"))
     samples = ad.line_samples(spark, d).select("stream_id", "seq", "accZ_raw")
     ends = samples.groupBy("stream_id").agg((F.max("seq") + 1).alias("n"))
     quarters = samples.join(ends, "stream_id").withColumn("quarter", F.floor(F.col("seq") * 4 / F.col("n")))
