@@ -30,8 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the least doc_id."""
-    return near_duplicates.kept_of_group(docs, near_duplicates.duplicate_groups(docs))
+    """One document of each group of near duplicates: the one of the least doc_id. Null doc_ids come last, and of rows that repeat the kept one, one stays."""
+    return near_duplicates.one_of_each_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

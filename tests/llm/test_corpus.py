@@ -71,14 +71,38 @@ def test_groups_of_odd_texts(docs, none, texts):
     assert sorted((r.doc_id for r in got), key=lambda x: (x is None, x or 0)) == sorted((i for i, _ in texts), key=lambda x: (x is None, x or 0))
     by = {r.doc_id: r.class_id for r in got if r.doc_id is not None}
     assert by[200] == 100 and by[201] == 101 and by[1] == by[2] == by[3] == 0
-    kept = near_duplicates.kept_of_group(docs, near_duplicates.duplicate_groups(docs))
-    assert kept.columns == docs.columns and {200, 201, 1}.isdisjoint(r.doc_id for r in kept.collect())
+    kept = near_duplicates.one_of_each_group(docs)
+    assert kept.columns == docs.columns and kept.count() == len({r.group_key for r in got}) and {200, 201, 1}.isdisjoint(r.doc_id for r in kept.collect())
+    assert near_duplicates.one_of_each_group(none).count() == 0
     assert near_duplicates.duplicate_groups(none).count() == 0
 
 
-def test_alike_pairs_of_a_crowded_bucket_are_found(spark, monkeypatch):
+def test_rows_that_repeat_or_lack_a_key(spark):
+    """Two unlike texts under one doc_id, a copy of one of them without a doc_id, an exact repeat, and rows that have no doc_id at all."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (1, b), (None, edited(b, [3])), (None, c), (None, c), (5, edited(a, [7])), (1, a)]
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, near_version int, near_id string")
+    found = near_duplicates.grouped(docs).collect()
+    keys = {}
+    for r in found:
+        keys.setdefault(r.group_key, []).append((r.doc_id, r.class_id))
+    assert sorted((sorted(map(str, v)) for v in keys.values()), key=str) == sorted([["(1, 1)", "(1, 1)", "(5, 1)"], ["(1, 1)", "(None, 1)"], ["(None, None)", "(None, None)"]], key=str)
+    kept = near_duplicates.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("1", b), ("None", c)])
+
+
+def test_common_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, n)) for n in rng.integers(1, 6000, 40)]
+    got = near_duplicates.common_counts(sets[:15], sets[15:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]).all()
+
+
+@pytest.mark.parametrize("block", [500, 7])
+def test_alike_pairs_of_a_crowded_bucket_are_found(spark, monkeypatch, block):
     """All texts share all buckets: 60 near copies, 60 unlike texts, and small groups of alike ones among them, a chain included."""
     monkeypatch.setattr(near_duplicates, "banded", lambda of, h, count, n_texts, bands, rows: np.zeros((n_texts, bands), np.uint64))
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", block)
     rows = [(i, edited(prose(700, 120), [i])) for i in range(60)] + [(1000 + i, prose(2000 + i, 120)) for i in range(60)]
     rows += [(3000 + 10 * i + j, edited(prose(3000 + i, 120), [40] * j)) for i in range(6) for j in range(2)]
     rows += [(4000 + j, edited(prose(5000, 120), list(range(10, 10 + 8 * j)))) for j in range(5)]

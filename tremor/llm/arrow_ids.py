@@ -22,7 +22,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import doc_texts, new_path, stored, table, text_blocks
+from tremor.llm.common import doc_texts, stored, table, text_blocks
+from tremor.sources.shared import new_path
 
 #: Entries of a worker's memories of words and of their parts, and the longest word it keeps; a full memory starts anew.
 MEMORY, LONGEST_KEPT = 600_000, 48

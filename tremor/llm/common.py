@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.sources.shared import new_path, remove
+
 #: Bytes of text that a Python task handles at once, whatever the size of Arrow's batches.
 BLOCK_BYTES = 4_000_000
 
@@ -34,28 +34,28 @@ def fold_is(modulus: int, remainder: int) -> Column:
     return id_crc() % modulus == remainder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a folder of our own where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="tremor-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that stored has written, once nothing reads them any more."""
+    for t in tables:
+        if t is not None:
+            remove(t.sparkSession, t.stored_at)
+
+
+def free_name(base: str, *tables: DataFrame) -> str:
+    """A column name like base that none of the tables has, whatever the case of its letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def blocks(batch: pa.RecordBatch, by: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,11 +5,12 @@ register, and a register keeps the shingle of its earliest arrival. A shingle st
 registers of its text. Two texts agree in a register with the chance of their probability Jaccard, so bands of
 registers bring likely pairs together. Every pair that counts is verified on the whole shingle sets.
 
-Texts with the same shingles become one class first, by a hash of the set. In a bucket of a band all classes meet
-leaders of the bucket instead of each other, so a bucket of copies gives a few pairs for each member, however large it is. Classes that meet
-and are alike are linked. A leader has then met all others and leaves the bucket; further rounds take new leaders, twice as many each time,
-from the members outside the largest group that the bucket has left, until all that is left of a bucket is one group. So each pair of a
-bucket has been compared, or is linked by others. Then connected components give each document its group.
+Texts with the same shingles become one class first, by a hash of the set. In a bucket of a band the classes meet a few
+leaders of the bucket instead of each other, so a bucket of copies gives a few pairs for each member, however large it is.
+Classes that meet and are alike are linked, and connected components give their groups. Where a bucket still has several groups,
+members that neither led nor are in its largest group are held against all others of the bucket, in blocks of shingle
+sets: a task has two blocks and gives at most one link for each group in them. So each pair of a bucket has been compared, or
+its two classes are in one group already. Components of all links give each document its group.
 """
 
 from __future__ import annotations
@@ -17,17 +18,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import blocks, doc_texts, mix64, stored, table
+from tremor.llm.common import blocks, discard, doc_texts, free_name, mix64, stored, table
 
 WORDS, ALIKE = 5, 0.8
 #: At a similarity of 0.8 a pair misses all of 30 bands of 5 registers with a chance of 7e-6; at 0.3 it meets with one of 7 %.
 BANDS, ROWS = 30, 5
-#: Leaders of a bucket in the first round.
-LEADERS = 4
+#: Leaders of a bucket, about; a bucket of few members is led by all of them.
+LEADERS = 8
+#: Shingles and classes of a block of a bucket, about: what bounds the memory of a task.
+BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 500
 PRIME = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -102,7 +106,7 @@ def banded(of: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int, bands
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, the hash of the shingle set (two halves), its size and the band keys of each row; a text without words has no keys."""
+    """doc_id, version (a hash of the text), the hash of the shingle set (two halves), its size and the band keys of each row; a text without words has no keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +120,17 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     np.add.at(own, of, mix64(h + np.uint64(salt * PRIME % 2**64)))
                     halves.append(pa.array(own.view(np.int64)))
                 size = np.bincount(of, minlength=n)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *halves, pa.array(size), pa.array([k if y else None for k, y in zip(keys, size)], pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "size", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("version"), *halves, pa.array(size), pa.array([k if y else None for k, y in zip(keys, size)], pa.list_(pa.int64()))], ["doc_id", "version", "set_a", "set_b", "size", "bands"]
+                )
 
-    low = doc_texts(docs).withColumn("text", F.lower("text"))
-    return low.mapInArrow(sketch, "doc_id long, set_a long, set_b long, size long, bands array<long>")
+    low = with_version(docs).withColumn("text", F.lower("text"))
+    return low.mapInArrow(sketch, "doc_id long, version long, set_a long, set_b long, size long, bands array<long>")
+
+
+def with_version(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, which with doc_id tells rows of different texts apart."""
+    return doc_texts(docs).withColumn("version", F.xxhash64("text"))
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -142,99 +153,189 @@ def similarity(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    """The rows of pairs (a, b) whose texts (doc_id, text) are alike. b, the leader, may be a hot key: Spark splits its join."""
-    of_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = of_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The rows of pairs (a, b) whose texts (node, text) are alike. b, the leader, may be a hot key: Spark splits its join."""
+    of_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = of_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return similarity(both).where(F.col("similarity") >= alike).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (the least node it is connected with) of every node of links (a, b), by large-star and small-star steps."""
+    """node and root (the least node it is connected with) of every node of links (a, b), by large-star and small-star steps.
+
+    The least neighbours are stored before they are joined, so that Spark can split the join at a node with many neighbours.
+    """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     done = None
-    while done != (found := edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()):
-        done = tuple(found)
+    while done != (found := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())):
+        done = found
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
-
-
-def with_leaders(members: DataFrame, wanted: int, salt: int) -> DataFrame:
-    """The members (bucket, node, size, root) of buckets that have several roots, and whether each leads its bucket now.
-
-    About wanted members that are not of a bucket's most common root lead it, all of them if there are no more; aggregation before the
-    shuffle keeps hot buckets small, and a hash of the node alone picks the same leaders in all bands.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = stored(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        lower = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        discard(edges, least)
+        edges = stored(small.union(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(large, lower)
+    # every edge of a finished forest goes to a root
+    roots = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()), "roots")
+    discard(edges)
+    return roots
+
+
+def with_leaders(members: DataFrame, wanted: int) -> DataFrame:
+    """The members (bucket, node, size), and whether each leads its bucket: about wanted of them do, all of them if there are few.
+
+    Aggregation before the shuffle keeps hot buckets small, and a hash of the node alone picks the same leaders in all bands.
     """
-    roots = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = roots.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    drawn = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 30)) / (1 << 30) < F.lit(wanted) / F.col("others")
-    return members.join(mixed, "bucket").select("bucket", "node", "size", "root", ((F.col("root") != F.col("most")) & drawn).alias("leads"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30) < F.lit(wanted) / (F.col("n") - 1)
+    return members.join(sizes, "bucket").select("bucket", "node", "size", drawn.alias("leads"))
 
 
 def leader_pairs(members: DataFrame, alike: float) -> DataFrame:
-    """Distinct (a, b): each member (bucket, node, size, root, leads) with the leaders of its bucket that have another root and a size that lets them be alike."""
-    leaders = members.where("leads").groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "size")).alias("leaders"))
-    met = members.join(leaders, "bucket").select("node", "root", "size", F.explode("leaders").alias("l"))
-    met = met.where((F.col("root") != F.col("l.root")) & (F.least("size", "l.size") >= F.greatest("size", "l.size") * (alike - 1e-9)))
+    """Distinct (a, b): each member (bucket, node, size, leads) with the leaders of its bucket that have a size that lets them be alike."""
+    leaders = members.where("leads").groupBy("bucket").agg(F.collect_list(F.struct("node", "size")).alias("leaders"))
+    met = members.join(leaders, "bucket").select("node", "size", F.explode("leaders").alias("l"))
+    met = met.where((F.col("node") != F.col("l.node")) & (F.least("size", "l.size") >= F.greatest("size", "l.size") * (alike - 1e-9)))
     return met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
 
 
+def block_tasks(members: DataFrame) -> DataFrame:
+    """What is still to compare of members (bucket, node, size, root): rows (bucket, x, y, side, node, root) of tasks (bucket, x, y).
+
+    A bucket's most common root is its core, the other members are its rest. Both are dealt by a hash into blocks; every block of the
+    rest meets every block of the core and of the rest. side: x or y, or both where a block meets itself. Members of one root don't meet.
+    """
+    roots = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    rest_of = lambda c: F.sum(c) - F.max_by(c, F.struct("n", "root"))
+    parts = lambda n, shingles: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(shingles / BLOCK_SHINGLES))
+    mixed = roots.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("core"), F.max("n").alias("n"), F.max_by("shingles", F.struct("n", "root")).alias("shingles"), rest_of("n").alias("rest"), rest_of("shingles").alias("rest_shingles"))
+    mixed = mixed.where("rest > 0").select("bucket", "core", parts(F.col("n"), F.col("shingles")).alias("cores"), parts(F.col("rest"), F.col("rest_shingles")).alias("rests"))
+    placed = members.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("root") == F.col("core"), F.col("cores")).otherwise(F.col("rests"))))
+    task = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
+    # blocks of the rest are 0, 1, ..., those of the core -1, -2, ...
+    as_core = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda i: task(i, -1 - F.col("own"), "y"))
+    with_cores = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cores") - 1), lambda i: task(F.col("own"), -1 - i, "x"))
+    with_rests = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda i: F.when(i < F.col("own"), task(i, F.col("own"), "y")).when(i > F.col("own"), task(F.col("own"), i, "x")).otherwise(task(i, i, "both")))
+    tasks = F.when(F.col("root") == F.col("core"), as_core).otherwise(F.concat(with_cores, with_rests))
+    return placed.select("bucket", "node", "root", F.explode(tasks).alias("t")).select("bucket", "t.x", "t.y", "t.side", "node", "root")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x has in common with each of y."""
+    column, of = np.concatenate(x + y), np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    _, column, times = np.unique(column, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # an element of one set alone is common to none
+    column, of = np.cumsum(times > 1)[column[shared]] - 1, of[shared]
+    order = np.argsort(column, kind="stable")
+    column, of, width, found = column[order], of[order], 4096, np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (a, a + width))
+        table_ = np.zeros((len(x) + len(y), width), np.float32)
+        table_[of[i:j], column[i:j] - a] = 1
+        found += table_[: len(x)] @ table_[len(x) :].T
+    return found
+
+
+def block_links(tasks: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """Links (a, b) that connect the alike members of each task of block_tasks, at most one for each of its roots less one. sets: node and its shingles."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = (group[group["side"].isin((s, "both"))] for s in "xy")
+        root_x, root_y = x["root"].to_numpy(), y["root"].to_numpy()
+        sizes = [np.array([len(s) for s in g["shingles"]]) for g in (x, y)]
+        both = common_counts(list(x["shingles"]), list(y["shingles"]))
+        near = (both / np.maximum(sizes[0][:, None] + sizes[1][None, :] - both, 1) >= alike) & (root_x[:, None] != root_y[None, :])
+        i, j = np.nonzero(near)
+        # one pair of nodes for each pair of roots, and of these the ones that join what isn't joined yet
+        _, first = np.unique(np.stack([root_x[i], root_y[j]]), axis=1, return_index=True)
+        parent: dict = {}
+
+        def top(r: int) -> int:
+            while parent.setdefault(r, r) != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        out = []
+        for k in first:
+            p, q = top(root_x[i[k]]), top(root_y[j[k]])
+            if p != q:
+                parent[p] = q
+                out.append((x["node"].iloc[i[k]], y["node"].iloc[j[k]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return tasks.join(sets, "node").groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node and shingles, the hashes of its distinct shingles, of each row of texts (node, text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, "text", 1_000_000):
+                of, h, _ = shingles(b.column("text").cast(pa.binary()).to_pylist())
+                ends = np.cumsum(np.bincount(of, minlength=b.num_rows))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(h.view(np.int64)))], ["node", "shingles"])
+
+    return texts.select("node", F.lower("text").alias("text")).mapInArrow(make, "node long, shingles array<long>")
+
+
+def grouped(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, version, class_id and group_key of each row of docs (doc_id, text), as duplicate_groups describes them."""
+    texts = with_version(docs)
+    sketched = stored(sketches(docs, bands, rows), "sketches")
+    one = F.struct(F.col("doc_id").isNull(), "doc_id", "version", "bands")
+    classes = sketched.groupBy("set_a", "set_b").agg(F.max("size").alias("size"), F.min(one).alias("one"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "size", "one.doc_id", "one.version", "one.bands"), "classes")  # written once, so that nodes stay
+    buckets = classes.where("bands IS NOT NULL").select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+    members = stored(with_leaders(buckets, LEADERS), "members")
+    crowded = stored(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "version", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id")), "crowded")
+    keyed = texts.select("text", "version", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
+    texts_of = stored(keyed.join(crowded, ["doc_id", "no_id", "version"]).select("node", "text"), "crowded-texts")
+    pairs = stored(leader_pairs(members, alike), "pairs")
+    links = stored(verified(pairs, texts_of, alike), "links")
+    roots = components(links)
+
+    left = members.where("NOT leads").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    tasks = stored(block_tasks(left), "block-tasks")
+    if not tasks.isEmpty():
+        late = texts_of.join(tasks.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        more = stored(block_links(tasks, stored(shingle_sets(late), "shingle-sets"), alike), "links")
+        discard(roots)
+        roots = components(links.unionByName(more))
+        discard(more)
+    discard(members, crowded, texts_of, pairs, links, tasks)
+    rooted = classes.join(roots, "node", "left").select("set_a", "set_b", "doc_id", F.coalesce("root", "node").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("set_a", "set_b")).alias("least"))
+    named = rooted.drop("doc_id").join(groups, "root").select("set_a", "set_b", "class_id", F.concat(F.hex("least.set_a"), F.lit("-"), F.hex("least.set_b")).alias("group_key"))
+    return sketched.select("doc_id", "version", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "version", "class_id", "group_key")
+
+
 def duplicate_groups(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its group) of each row of docs (doc_id, text).
+    """doc_id, class_id (the least doc_id of its group) and group_key (a name of the group by its texts alone) of each row of docs (doc_id, text).
 
     A group is connected by links: pairs of texts whose sets of five-word shingles have a Jaccard similarity of alike or
     more, small-lettered words cut at white space. Texts of fewer words are one shingle; all texts without words,
-    nulls included, are one group. Rows that repeat a doc_id
-    with another text are grouped by their own text each. Rows with a null doc_id join only groups of the same shingle set, and class_id
-    is null for a group of such rows alone.
+    nulls included, are one group. Rows that repeat a doc_id with another text are grouped by their own text each, and where they fall into two
+    groups of the same class_id, group_key tells these apart. Rows with a null doc_id are grouped like others; class_id is null for a
+    group of such rows alone. An empty table gives no rows.
+    """
+    return grouped(docs, alike, bands, rows).drop("version")
+
+
+def one_of_each_group(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """One row of docs (doc_id, text and further columns) for each group: that of the least doc_id, nulls last, and of its texts the one of the least hash.
+
+    Of rows that repeat both, one stays. An empty table gives no rows.
     """
-    texts = doc_texts(docs)
-    sketched = stored(sketches(texts, bands, rows), "sketches")
-    classes = sketched.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
-    classes = stored(classes, "classes")
-    placed = classes.where("bands IS NOT NULL AND node IS NOT NULL").select("node", "size", F.posexplode("bands").alias("band", "key"))
-    buckets = placed.select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(buckets.join(crowded, "bucket"), "buckets")
-    wanted = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    links, tried, roots, step = None, None, None, 0
-    while True:
-        if roots is None:
-            now = members.withColumn("root", F.col("node"))
-        else:
-            now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = stored(with_leaders(now, LEADERS << step, step), "members")
-        if now.isEmpty():
-            break
-        pairs = leader_pairs(now, alike)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        members, step = now.where("NOT leads").select("bucket", "node", "size"), step + 1
-        if pairs.isEmpty():
-            continue
-        found = stored(verified(pairs, wanted, alike), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = stored(components(links), "roots")
-    named = classes.select("set_a", "set_b", "node")
-    if roots is not None:
-        named = named.join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("node"))
-    return sketched.select("doc_id", "set_a", "set_b").join(named.withColumnRenamed("node", "class_id"), ["set_a", "set_b"]).select("doc_id", "class_id")
-
-
-def kept_of_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group: the one of the least doc_id; of its repeated rows all the same ones as docs has."""
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    groups = grouped(docs, alike).groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "version")).alias("k")).select("k.*")
+    names = {c: free_name(f"near_{c}", docs) for c in groups.columns}
+    kept = stored(groups.withColumnsRenamed(names), "kept")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    keyed = docs.withColumns({names["no_id"]: docs["doc_id"].isNull(), names["id"]: F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), names["version"]: F.xxhash64(text)})
+    return keyed.join(kept, list(names.values()), "left_semi").dropDuplicates(list(names.values())).drop(*names.values())
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """duplicate_groups of all documents."""
     return duplicate_groups(table(spark, sf_dir, "documents"))
