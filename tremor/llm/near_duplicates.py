@@ -153,9 +153,12 @@ def similarity(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    """The rows of pairs (a, b) whose texts (node, text) are alike. b, the leader, may be a hot key: Spark splits its join."""
-    of_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = of_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The rows of pairs (a, b) whose texts (node, text) are alike. b, the leader, may be a hot key: Spark splits its join.
+
+    Both sides grow with the corpus, so neither is broadcast.
+    """
+    of_a = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = of_a.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return similarity(both).where(F.col("similarity") >= alike).select("a", "b")
 
 
@@ -194,7 +197,8 @@ def with_leaders(members: DataFrame, wanted: int) -> DataFrame:
 
 def leader_pairs(members: DataFrame, alike: float) -> DataFrame:
     """Distinct (a, b): each member (bucket, node, size, leads) with the leaders of its bucket that have a size that lets them be alike."""
-    leaders = members.where("leads").groupBy("bucket").agg(F.collect_list(F.struct("node", "size")).alias("leaders"))
+    # stored, so that Spark can split the join at a bucket of many members
+    leaders = stored(members.where("leads").groupBy("bucket").agg(F.collect_list(F.struct("node", "size")).alias("leaders")), "leaders")
     met = members.join(leaders, "bucket").select("node", "size", F.explode("leaders").alias("l"))
     met = met.where((F.col("node") != F.col("l.node")) & (F.least("size", "l.size") >= F.greatest("size", "l.size") * (alike - 1e-9)))
     return met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
@@ -291,7 +295,7 @@ def grouped(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     members = stored(with_leaders(buckets, LEADERS), "members")
     crowded = stored(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "version", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id")), "crowded")
     keyed = texts.select("text", "version", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
-    texts_of = stored(keyed.join(crowded, ["doc_id", "no_id", "version"]).select("node", "text"), "crowded-texts")
+    texts_of = stored(keyed.join(crowded.hint("merge"), ["doc_id", "no_id", "version"]).select("node", "text"), "crowded-texts")
     pairs = stored(leader_pairs(members, alike), "pairs")
     links = stored(verified(pairs, texts_of, alike), "links")
     roots = components(links)
