@@ -165,29 +165,81 @@ def test_short_items_inside_long_documents(spark):
 # Fingerprints
 
 
-def test_fingerprints(docs, none, texts):
+def brute_tree(text):
+    """The sections of a text's tree: (digest, [(digest, [leaf, ...]), ...]) each."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    paragraphs = []
+    for line in text.split("\n"):
+        leaves = [sha(s) for s in re.sub("([.!?|] )", "\\1\x1f", line).split("\x1f")]
+        paragraphs.append((sha("".join(leaves)), [x[:8] for x in leaves]))
+    cut, out = [], []
+    for k, p in enumerate(paragraphs):
+        cut.append(p)
+        if p[0][-1] in "0123" or k == len(paragraphs) - 1:
+            out.append((sha(" ".join(f"{d}({' '.join(x)})" for d, x in cut)), cut))
+            cut = []
+    return out
+
+
+def brute_print(tree):
+    body = "".join(f"{d}{{{' '.join(f'{q}({' '.join(x)})' for q, x in ps)}}}" for d, ps in tree)
+    return hashlib.sha256(body.encode()).hexdigest() + "[" + body + "]"
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    freeze = lambda tree: {(d, tuple((q, tuple(x)) for q, x in ps)) for d, ps in tree}
+    a, b, same = freeze(a), freeze(b), 0
+    same += sum(len(x) for s in a & b for _, x in s[1])
+    pa, pb = ({p for s in one for p in s[1]} for one in (a - b, b - a))
+    same += sum(len(x) for _, x in pa & pb)
+    la, lb = ({x for p in one for x in p[1]} for one in (pa - pb, pb - pa))
+    same += len(la & lb)
+    return 2 * same / (2 * same + len(la - lb) + len(lb - la))
+
+
+def test_fingerprints(spark, docs, none, texts):
     got = {}
     for r in merkle.fingerprints(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
-    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
-    prints = {}
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in texts), key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]], x[1]))
+    prints, found = {}, 0
     for (i, t), (_, following) in zip(order, [*order[1:], order[0]]):
-        t, following = t or "", following or ""
         half = len(t) // 2
-        want = hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
-        row = next(r for r in got[i] if r.edited_sha256 == want and r.n_chars == len(t))
-        assert 0 <= row.near_next <= 1 and 0 <= row.near_edited <= 1
+        edited = t[: len(t) - half] + following[:half]
+        own, other, then = map(brute_tree, (t, edited, following))
+        row = next(r for r in got[i] if r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t) and r.fingerprint == brute_print(own))
+        assert row.edited_fingerprint == brute_print(other)
+        assert abs(row.near_edited - brute_likeness(own, other)) < 1e-9 and abs(row.near_next - brute_likeness(own, then)) < 1e-9
         prints.setdefault(t, set()).add(row.fingerprint)
-    assert all(len(v) == 1 for v in prints.values()) and len({next(iter(v)) for v in prints.values()}) == len(prints)
-    assert merkle.fingerprints(none).count() == 0
+        found += 0 < row.near_edited < 1
+    assert found > 5 and all(len(v) == 1 for v in prints.values()) and len({next(iter(v)) for v in prints.values()}) == len(prints)
+    assert sum(map(len, got.values())) == len(texts) and merkle.fingerprints(none).count() == 0
+
+
+def test_roots_cover_whole_digests(spark):
+    """Leaves whose first digits agree."""
+    a, b = "item number 69710", "item number 73751"
+    x, y = (r.f for r in spark.createDataFrame([(a,), (b,)], "t string").select(merkle.fingerprint(F.col("t")).alias("f")).collect())
+    assert x[:64] != y[:64]
+
+
+def test_place_in(spark):
+    bounds = [3, 5, 8, 13, 21, 34]
+    for n in range(len(bounds) + 1):
+        got = spark.range(40).select("id", merkle.place_in(bounds[:n], F.col("id")).alias("at")).collect()
+        assert all(r["at"] == sum(b < r["id"] for b in bounds[:n]) for r in got)
 
 
 def test_edits_show_in_their_branch(spark):
     text = "\n".join(prose(i, 60) for i in range(20))
     changed = text.replace(prose(10, 60), prose(99, 60))
-    a, b = (r.f for r in spark.createDataFrame([(text,), (changed,)], "t string").select(merkle.fingerprint(F.col("t")).alias("f")).collect())
-    paragraphs = lambda f: re.findall(r"[0-9a-f]{16}(?=\()", f)
-    assert a[:64] != b[:64] and [i for i, (x, y) in enumerate(zip(paragraphs(a), paragraphs(b))) if x != y] == [10]
+    df = spark.createDataFrame([(text, changed), (text, text)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    found = [r.d for r in df.select(merkle.differing(F.col("a"), F.col("b")).alias("d")).collect()]
+    at = [(i, j) for i, (_, ps) in enumerate(brute_tree(text)) for j in range(len(ps))][10]
+    assert found[1] == [] and [(x.section, x.paragraph) for x in found[0]] == [at]
 
 
 # Language, quality and language model

@@ -1,96 +1,164 @@
 """Document fingerprints: a Merkle tree over sentences, paragraphs and sections. DataFrame functions alone.
 
-The leaves are digests of the sentences of a text; a paragraph's digest is that of its leaves, a section's that of its paragraphs,
-the root's that of its sections. A section ends after a paragraph whose digest ends in one of four sixteenths, so an edit moves no other section's bounds.
-A fingerprint is the root, then the sections with their paragraphs and leaves: roots test equality, and sections and paragraphs that
-differ show where an edit is.
+A leaf is the digest of a sentence. A paragraph's digest is that of its leaves' whole digests, a section's that of its paragraphs',
+the root's that of its sections'. A section ends after a paragraph whose digest ends in one of four sixteenths, so an edit moves no other
+section's bounds. A fingerprint is the root, then the sections with their paragraphs and shortened leaves. Roots test equality. Two
+trees are compared from above: branches with equal digests are not opened, and only in those that differ are paragraphs and
+then leaves compared, which shows where an edit is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.llm.common import doc_texts, table
 
-#: Hex digits of a leaf's digest and of an inner node's.
-LEAF, NODE = 8, 16
+#: Hex digits of a node's digest, and of a leaf as a fingerprint shows it.
+NODE, LEAF = 64, 8
 #: Divides sentences; it is put after a mark and the blank that follows it, so no two texts are divided into the same parts.
 CUT = "\x1f"
+#: Ranges of rows without doc_id, by the leading bits of their texts' hash.
+NULL_RANGES = 64
+
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
-def short_md5(col: Column, n: int) -> Column:
-    return F.substring(F.md5(col), 1, n)
+
+def digest(col: Column) -> Column:
+    return F.sha2(col, 256)
 
 
 def paragraph(text: Column) -> Column:
     """'digest(leaf leaf ...)' of a paragraph."""
-    leaves = F.array_join(F.transform(F.split(text, CUT), lambda s: short_md5(s, LEAF)), " ")
-    return F.concat(short_md5(leaves, NODE), F.lit("("), leaves, F.lit(")"))
+    shown = lambda leaves: F.array_join(F.transform(leaves, lambda d: F.substring(d, 1, LEAF)), " ")
+    return let(F.transform(F.split(text, CUT), digest), lambda leaves: F.concat(digest(F.array_join(leaves, "")), F.lit("("), shown(leaves), F.lit(")")))
 
 
-def fingerprint(text: Column) -> Column:
-    """'root[section{paragraph paragraph ...}section{...}]': equal for equal texts; the root covers every character."""
+def sections(text: Column) -> Column:
+    """The sections of a text's tree, in order: 'digest{paragraph paragraph ...}' each."""
     marked = F.regexp_replace(text, "([.!?|] )", "$1" + CUT)
     nodes = F.array_join(F.transform(F.split(marked, "\n"), paragraph), " ")
     # a paragraph ends its section if its digest ends in 0, 1, 2 or 3
-    sections = F.split(F.regexp_replace(nodes, r"(\b[0-9a-f]{15}[0-3]\([0-9a-f ]*\)) ", "$1\n"), "\n")
-    named = F.array_join(F.transform(sections, lambda s: F.concat(short_md5(s, NODE), F.lit("{"), s, F.lit("}"))), "")
-    return F.concat(F.sha2(named, 256), F.lit("["), named, F.lit("]"))
+    cut = F.split(F.regexp_replace(nodes, r"(\b[0-9a-f]{63}[0-3]\([0-9a-f ]*\)) ", "$1\n"), "\n")
+    return F.transform(cut, lambda s: F.concat(digest(s), F.lit("{"), s, F.lit("}")))
+
+
+def shown(tree: Column) -> Column:
+    """'root[section section ...]' of an array of sections: equal for equal texts, and the root covers every character."""
+    return let(F.array_join(tree, ""), lambda all_: F.concat(digest(all_), F.lit("["), all_, F.lit("]")))
+
+
+def fingerprint(text: Column) -> Column:
+    return shown(sections(text))
+
+
+def sections_of(print_: Column) -> Column:
+    """The sections of a fingerprint."""
+    return F.split(F.substr(print_, F.lit(NODE + 2), F.length(print_) - NODE - 2), r"(?<=\})")
+
+
+def inner(node: Column) -> Column:
+    """What stands between a node's brackets."""
+    return F.substr(node, F.lit(NODE + 2), F.length(node) - NODE - 2)
+
+
+def paragraphs_of(tree: Column) -> Column:
+    return F.flatten(F.transform(tree, lambda s: F.split(inner(s), r"(?<=\)) ")))
+
+
+def leaves_of(paragraphs: Column) -> Column:
+    return F.flatten(F.transform(paragraphs, lambda p: F.split(inner(p), " ")))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two trees (arrays of sections) are, 0 to 1: twice the leaves in equal branches over those and the others of both.
+
+    Equal sections count with all their leaves; in sections that differ, equal paragraphs do; in paragraphs that differ, equal leaves.
+    Branches that repeat inside one tree are compared once, so 1 means that each tree has all branches of the other.
+    """
+    leaves = lambda nodes: F.size(leaves_of(nodes))
+
+    def of_leaves(x: Column, y: Column, above: Column) -> Column:
+        return let(above + F.size(F.array_intersect(x, y)), lambda same: F.lit(2.0) * same / (2 * same + F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))))
+
+    def of_paragraphs(x: Column, y: Column, above: Column) -> Column:
+        opened = F.struct(leaves_of(F.array_except(x, y)).alias("x"), leaves_of(F.array_except(y, x)).alias("y"), (above + leaves(F.array_intersect(x, y))).alias("same"))
+        return let(opened, lambda o: of_leaves(o["x"], o["y"], o["same"]))
+
+    opened = F.struct(paragraphs_of(F.array_except(a, b)).alias("x"), paragraphs_of(F.array_except(b, a)).alias("y"), leaves(paragraphs_of(F.array_intersect(a, b))).alias("same"))
+    return F.when(a == b, 1.0).otherwise(let(opened, lambda o: of_paragraphs(o["x"], o["y"], o["same"])))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Where fingerprint a differs from b: section and paragraph (places from 0, a section's paragraphs counted in it) of each paragraph in
+    a section that b lacks which no such section of b has."""
 
+    def open_(tree: Column, other: Column) -> Column:
+        placed = F.filter(F.transform(tree, lambda s, i: F.struct(i.alias("section"), s.alias("node"))), lambda x: ~F.array_contains(other, x["node"]))
+        return F.flatten(F.transform(placed, lambda x: F.transform(F.split(inner(x["node"]), r"(?<=\)) "), lambda p, j: F.struct(x["section"].alias("section"), j.alias("paragraph"), p.alias("node")))))
 
-def leaves(print_: Column) -> Column:
-    """The distinct leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(print_, F.lit(r"[( ]([0-9a-f]{8})(?=[ )])"), F.lit(1)))
+    both = F.struct(sections_of(a).alias("a"), sections_of(b).alias("b"))
+    opened = lambda o: F.struct(open_(o["a"], o["b"]).alias("a"), F.transform(open_(o["b"], o["a"]), lambda x: x["node"]).alias("b"))
+    lacking = lambda o: F.transform(F.filter(o["a"], lambda x: ~F.array_contains(o["b"], x["node"])), lambda x: F.struct(x["section"], x["paragraph"]))
+    return let(both, lambda o: let(opened(o), lacking))
 
 
-def likeness(a: str, b: str) -> Column:
-    """1 for equal roots of these columns, else the share of their distinct leaves, given beside them, that the other one has."""
-    x, y = F.col(f"{a}_leaves"), F.col(f"{b}_leaves")
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+def place_in(bounds: list[int], value: Column) -> Column:
+    """How many of bounds, in order, are less than value, by halving."""
+    held = F.array(*map(F.lit, bounds)).cast("array<long>")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row in ascending (doc_id, text), and for the last row the first's.
+    """doc_id, text, its tree, and next_text and next_tree: those of the next row in ascending doc_id, nulls first, then hash of the text and text; for the last row the first's.
 
-    Rows are dealt in ranges of doc_id; the first row of each range is also sent to the range before it, so that
+    Rows are dealt in ranges; the first row of each range is also sent to the range before it, so that
     no range needs another. A range's first rows are found from the keys alone.
     """
     spark = docs.sparkSession
-    texts = doc_texts(docs)
+    texts = doc_texts(docs).withColumn("hash", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     cuts = texts.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000)).first()[0] or []
-    bounds = sorted(set(cuts))
-    # null keys stand before all others
-    of = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda c: c < F.col("doc_id"))))
+    shift = 64 - (NULL_RANGES - 1).bit_length()
+    of = F.when(F.col("doc_id").isNull(), (F.shiftright("hash", shift) - NULL_RANGES // 2).cast("int")).otherwise(place_in(sorted(set(cuts)), F.col("doc_id")))
     ranged = texts.withColumn("range", of)
-    firsts = [r.asDict() for r in ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id")).orderBy("range").collect()]  # a row for each range
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select("range", "k.*").orderBy("range").collect()  # a row for each range
     if not firsts:
-        return texts.withColumn("next_text", F.lit(None).cast("string"))
+        return texts.select("doc_id", "text", F.array().cast("array<string>").alias("tree"), F.lit(None).cast("string").alias("next_text"), F.array().cast("array<string>").alias("next_tree"))
     before = {f["range"]: p["range"] for p, f in zip([firsts[-1], *firsts[:-1]], firsts)}
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    ids = [f["doc_id"] for f in firsts if f["doc_id"] is not None]
-    is_first = F.col("doc_id").isin(ids) | F.col("doc_id").isNull() if firsts[0]["range"] == -1 else F.col("doc_id").isin(ids)
+    is_first = F.coalesce(F.col("doc_id").isin([f["doc_id"] for f in firsts if f["doc_id"] is not None]), F.col("hash").isin([f["hash"] for f in firsts if f["doc_id"] is None]))
     lent = ranged.where(is_first).withColumns({"home": F.lit(1), "range": to[F.col("range")]})
-    order = Window.partitionBy("range").orderBy("home", F.col("doc_id").asc_nulls_first(), "text")
-    both = ranged.withColumn("home", F.lit(0)).unionByName(lent)
-    return both.withColumn("next_text", F.lead("text").over(order)).where("home = 0").drop("home", "range")
+    order = Window.partitionBy("range").orderBy("home", F.col("doc_id").asc_nulls_first(), "hash", "text")
+    both = ranged.withColumn("home", F.lit(0)).unionByName(lent).repartition("range").withColumn("tree", sections(F.col("text")))
+    return both.withColumns({"next_text": F.lead("text").over(order), "next_tree": F.lead("tree").over(order)}).where("home = 0").drop("home", "range", "hash")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row of docs (doc_id, text).
 
     The edited text has the last half of its code points, rounded down, replaced by the first as many of the next document in ascending doc_id
-    (the last's next is the first). A null text counts as empty; an empty text has one empty leaf. Rows that repeat a doc_id
-    stand in order of their texts. One row alone is its own next. An empty table gives no rows.
+    (the last's next is the first). A null text counts as empty; an empty text has one empty leaf. Null doc_ids come first. Rows that repeat a doc_id,
+    or have none, stand in order of their texts' hashes. One row alone is its own next. An empty table gives no rows.
     """
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"))
-    rows = rows.withColumns({f"{c}_leaves": leaves(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    rows = rows.withColumn("edited", edited).drop("text", "next_text").withColumn("edited_tree", sections(F.col("edited")))
+    tree, other = F.col("tree"), F.col("edited_tree")
+    return rows.select(
+        "doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"), shown(tree).alias("fingerprint"), shown(other).alias("edited_fingerprint"), likeness(tree, other).alias("near_edited"), likeness(tree, F.col("next_tree")).alias("near_next")
+    )
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints of all documents."""
     return fingerprints(table(spark, sf_dir, "documents"))
