@@ -138,17 +138,28 @@ def test_contamination_is_that_of_all_pairs(spark, docs, none, texts):
     planted = [(1000, prose(5, 300) + " " + items[0][1] + " " + prose(6, 700)), (1001, items[1][1].upper().replace(" ", "  ")), (1002, prose(8, 2000) + "\n" + items[2][1]), (1003, "Two, words!"), (1004, edited(items[1][1], [10]))]
     rows = texts + planted
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    sets = lambda t: {tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} if words(t) else set()
+    sets = lambda t, n=5: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
     whole = {}
     for i, t in rows:
         whole.setdefault(i, set()).update(sets(t))
     want = {(i, j, round(len(s & sets(t)) / len(sets(t)), 9)) for i, s in whole.items() for j, t in items if sets(t) and len(s & sets(t)) >= 0.8 * len(sets(t))}
+    want |= {(i, j, 1.0) for i, t in rows for j, x in items if 0 < len(words(x)) < 5 and tuple(words(x)) in sets(t, len(words(x)))}
     table = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id, round(r.containment, 9)) for r in contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
     assert got == want and {(1000, 1, 1.0), (1001, 2, 1.0), (1002, 3, 1.0), (1003, 4, 1.0)} <= got
     assert contamination.contaminated(none, table).count() == 0
     assert contamination.contaminated(docs, table.limit(0)).count() == 0
     assert contamination.without_contaminated(docs, table).columns == docs.columns
+    clashing = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("hit", "HIT_", "item_id", "sh", "containment", "version")])
+    left = contamination.without_contaminated(clashing, table)
+    assert left.columns == clashing.columns and {r.doc_id for r in left.collect()} == {i for i, _ in texts} - {i for i, _, _ in want}
+
+
+def test_items_of_few_words(spark):
+    items = [(1, "one two three four"), (2, "Zebra"), (3, "seven, eight"), (4, "!!"), (5, "a b c"), (5, "b c d")]
+    rows = [(10, prose(1, 300) + " one, TWO three four " + prose(2, 300)), (11, "one two three five four zebra"), (12, "seven"), (13, "x seven eight"), (14, "b c d"), (14, "zebras")]
+    got = {tuple(r) for r in contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10, 1, 1.0), (11, 2, 1.0), (13, 3, 1.0), (14, 5, 1.0)}
 
 
 def test_short_items_inside_long_documents(spark):
@@ -258,6 +269,26 @@ def test_language_by_brute_force(spark):
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "xx" and got[5][0] == "yy" and got[6] == ("xx", 0.0)
 
 
+def test_language_against_exact_sets(spark):
+    """70 languages, more than a word of a mask: hits of the filters are those of exact sets but for chance, and each text gets its language."""
+    rng = np.random.default_rng(2)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 700)]
+    word = lambda k: "".join(rng.choice(alphabet[10 * k : 10 * k + 10], 4))
+    rows = [(i, " ".join(word(i % 70) for _ in range(40)), f"l{i % 70:02d}") for i in range(140)]
+    langs, masks = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == sorted({r[2] for r in rows}) and masks.shape == (2, language_id.SLOTS)
+    exact = {}
+    for _, t, lang in rows:
+        _, g, _ = language_id.grams([t])
+        exact.setdefault(lang, set()).update(g.tolist())
+    fresh = [(1000 + k, " ".join(word(k) for _ in range(60))) for k in range(0, 70, 7)] + [(2000, rows[3][1] + " " + rows[4][1] + " " + rows[4][1])]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(fresh, "doc_id long, text string"), langs, masks).collect()}
+    for i, t in fresh:
+        _, g, _ = language_id.grams([t])
+        shares = {lang: sum(x in own for x in g.tolist()) / len(g) for lang, own in exact.items()}
+        assert got[i].lang_pred == max(shares, key=shares.get) and abs(got[i].score - max(shares.values())) < 0.01
+
+
 def test_language_without_rows(docs, none):
     langs, masks = language_id.learn(none)
     assert langs == [] and {r.lang_pred for r in language_id.predict(docs, langs, masks).collect()} == {"und"}
@@ -277,6 +308,8 @@ def test_quality(spark, docs, none):
     got = {r.doc_id: r for r in quality.scored(table, ranking).collect()}
     assert all(got[i].predicted == int(i % 3 > 0) for i in range(90, 120)) and all((r.score >= 0.3) == (r.predicted == 1) for r in got.values())
     assert quality.scored(docs, ranking).count() == docs.count() and quality.scored(none, ranking).count() == 0
+    twice = table.unionByName(table.withColumn("text", F.upper("text")))
+    assert quality.fit(twice, labels) == quality.fit(twice.repartition(7), labels)
     flat = quality.fit(table, labels.where("quality = 1"))
     assert {round(r.score, 9) for r in quality.scored(table, flat).collect()} == {0.3}
 

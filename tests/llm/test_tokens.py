@@ -15,10 +15,11 @@ import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tremor.llm import arrow_ids, byte_bpe, token_counts
-from tremor.llm.common import new_path
+from tremor.sources.shared import new_path
 
 MODEL, RANKS, WORD = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 SP = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -85,11 +86,23 @@ def test_arrow_files_hold_all_ids(spark, docs, texts, length, rows):
     files = arrow_ids.write_ids(docs, folder, length=length, rows=rows)
     got = [tuple(r) for r in arrow_ids.read_ids(spark, files, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", arrow_ids.crc_row).collect()]
     want, start = [], 0
-    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    run = []
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1] or ""])):
         ids = HF.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
+        run += ids
     assert sorted(got, key=lambda r: r[1]) == want
+    mapped = arrow_ids.MappedIds([(r.file, r.n_tokens) for r in files.orderBy("part").collect()])
+    rng = np.random.default_rng(0)
+    for a, b in np.sort(rng.integers(0, len(run) + 1, (200, 2)), axis=1).tolist() + [[0, 0], [0, len(run)], [len(run)] * 2]:
+        assert mapped.tokens(a, b).tolist() == run[a:b]
+    kept = [ids[mask] for ids, mask in map(mapped.sequence, range(len(mapped)))]
+    assert np.concatenate(kept).tolist() == run and all(len(mapped.sequence(k)[0]) == length for k in (0, len(mapped) - 1))
+    assert not mapped.sequence(0)[0].flags.writeable and not mapped.sequence(0)[0].flags.owndata  # a view of the map
+    with pytest.raises(IndexError):
+        mapped.tokens(0, len(run) + 1)
     one = files.first()
     with pafs.LocalFileSystem().open_input_file(one.file) as f:
         reader = pa.ipc.open_file(f)

@@ -3,7 +3,8 @@
 Each part of the corpus (a range of doc_id) is one file. Its ids, end marks included, form one run that is cut
 into sequences of equal length; a row holds a sequence and its mask, which is true where the row has an id
 (only the last row of a file is padded). A second file beside it holds doc_id, start and n_tokens of each document. So
-the ids at any place of the corpus are found by arithmetic and read without a copy.
+the ids at any place of the corpus are found by arithmetic: MappedIds maps files of a mounted folder into memory and gives any sequence
+or run of ids without a copy. In other stores the files are read batch by batch.
 """
 
 from __future__ import annotations
@@ -171,11 +172,57 @@ def schema_of(dtype: pa.DataType, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
+def opened(fs: pafs.FileSystem, path: str) -> pa.NativeFile:
+    """A file to read: mapped into memory where it is local."""
+    return pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+
+
+class MappedIds:
+    """Random access to the ids of local or mounted files, in order, as write_ids lists them (file and n_tokens of each)."""
+
+    def __init__(self, files: Sequence[tuple[str, int]]):
+        self.readers = [pa.ipc.open_file(pa.memory_map(f)) for f, _ in files]
+        self.tokens_before = np.concatenate(([0], np.cumsum([n for _, n in files], dtype=np.int64)))
+        self.length = self.readers[0].schema.field("ids").type.list_size if files else 1
+        self.sequences_before = np.concatenate(([0], np.cumsum([-(-n // self.length) for _, n in files], dtype=np.int64)))
+        self.rows = [r.get_batch(0).num_rows for r in self.readers]  # all batches of a file but the last are as large as the first
+
+    def __len__(self) -> int:
+        return int(self.sequences_before[-1])
+
+    def run(self, file: int, sequence: int, column: str) -> pa.Array:
+        """The values of a file's sequence: a slice of the map."""
+        batch = self.readers[file].get_batch(sequence // self.rows[file])
+        lists = batch.column(column)
+        return lists.values.slice((lists.offset + sequence % self.rows[file]) * self.length, self.length)
+
+    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (a view of the map) and mask of the k-th sequence of all files."""
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        file = int(np.searchsorted(self.sequences_before, k, side="right")) - 1
+        k -= int(self.sequences_before[file])
+        return self.run(file, k, "ids").to_numpy(), self.run(file, k, "mask").to_numpy(zero_copy_only=False)
+
+    def tokens(self, first: int, end: int) -> np.ndarray:
+        """The ids from place first to before end of all files: a view of the map if they stand in one sequence, else joined views."""
+        if not 0 <= first <= end <= self.tokens_before[-1]:
+            raise IndexError((first, end))
+        parts, at = [], first
+        while at < end:
+            file = int(np.searchsorted(self.tokens_before, at, side="right")) - 1
+            place = at - int(self.tokens_before[file])
+            stop = min(end - at, self.length - place % self.length, int(self.tokens_before[file + 1]) - at)
+            parts.append(self.run(file, place // self.length, "ids").to_numpy()[place % self.length :][:stop])
+            at += stop
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, length: int = SEQUENCE, rows: int = ROWS) -> DataFrame:
     """Writes docs (doc_id, text) as Arrow files under folder, in ascending doc_id; gives part, file, n_docs, n_tokens and first of each.
 
-    A null or empty text gives its end mark alone. Rows of one doc_id stand in order of their texts; null doc_ids come
-    first. An empty table writes no file. Parts are ranges of doc_id of about equal size; a task holds one record batch
+    A null or empty text gives its end mark alone. Null doc_ids come first; they, and rows of one doc_id, stand in order of their texts' hashes,
+    so that many of them are dealt over several parts. An empty table writes no file. Parts are ranges of doc_id of about equal size; a task holds one record batch
     and one document. folder must be shared by all executors, in any store that pyarrow.fs opens.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -210,7 +257,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
         yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{name}.arrow", "n_docs": len(docs), "n_tokens": total, "first": docs[0][0]}])
 
     # dealt before encoding, since the sample that finds the ranges runs what stands above it
-    dealt = doc_texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = doc_texts(docs).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return stored(dealt.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, first long"), "id-files")
 
 
@@ -231,9 +279,9 @@ def read_ids(spark: SparkSession, files: DataFrame, folder: str, fields: str, of
         fs, _ = store(folder)
         for b in batches:
             for file, before in zip(b.column("file").to_pylist(), b.column("before").to_pylist()):
-                with fs.open_input_file(file.removesuffix(".arrow") + ".index.arrow") as f:
+                with opened(fs, file.removesuffix(".arrow") + ".index.arrow") as f:
                     index = pa.ipc.open_file(f).read_all()
-                with fs.open_input_file(file) as f:
+                with opened(fs, file) as f:
                     yield from read_file(pa.ipc.open_file(f), index, before)
 
     def read_file(reader: pa.RecordBatchFileReader, index: pa.Table, before: int) -> Iterator[pa.RecordBatch]:
@@ -269,6 +317,7 @@ def crc_row(doc_id: int | None, start: int, ids: np.ndarray) -> tuple:
 
 
 def op6_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written by write_ids and read back by read_ids."""
     folder = new_path(spark, "arrow-ids")
     files = write_ids(table(spark, sf_dir, "documents"), folder)
     return read_ids(spark, files, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", crc_row)

@@ -216,4 +216,5 @@ def round_trip(docs: DataFrame, ranks_file: str | None = None) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """round_trip of all documents."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -22,8 +22,11 @@ from tremor.llm.common import blocks, doc_texts, fold_is, mix64, stored, table,
 BLOCK_CHARS = 1_000_000
 N, HASHES, SLOTS = 3, 3, 1 << 19
 #: An n-gram belongs to a language if it is at least this share of the language's n-grams (so a filter has at most
-#: 1 / MIN_SHARE of them) and at least RATIO of its share in the language that has most of it.
-MIN_SHARE, RATIO, MOST_LANGUAGES = 1e-5, 0.2, 63
+#: 1 / MIN_SHARE of them, whatever the size of the corpus) and at least RATIO of its share in the language that has most of it (else foreign
+#: words and names would in time put every n-gram into every language).
+MIN_SHARE, RATIO = 1e-5, 0.2
+#: Languages of a word of a slot's mask.
+BITS = 63
 
 
 @cache
@@ -77,33 +80,29 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages of docs (text, lang; rows with a null are left out) in order, and the slots' bit masks.
+    """The languages of docs (text, lang; rows with a null are left out) in order, and the slots' bit masks, a 64-bit word for each 63 languages.
 
-    Counts cover all rows. Only languages (at most 63) and the slots, whose number is fixed, come to the driver.
+    Counts cover all rows. Only the languages and the slots, whose number is fixed, come to the driver: 4 MB for each 63 languages.
     """
     counts = stored(gram_counts(docs.where("text IS NOT NULL AND lang IS NOT NULL")), "gram-counts")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    masks = np.zeros(SLOTS, np.uint64)
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}  # a row for each language
+    masks = np.zeros((-(-len(totals) // BITS), SLOTS), np.uint64)
     if not totals:
         return [], masks
     langs = list(totals)
-    bit = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
-    total = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(float(totals[lang])))])
-    shares = counts.select(bit[F.col("lang")].alias("bit"), "gram", (F.col("n") / total[F.col("lang")]).alias("share"))
-    most = F.max("share").over(Window.partitionBy("gram"))  # at most 63 rows a gram
+    numbered = counts.sparkSession.createDataFrame([(lang, i, float(totals[lang])) for i, lang in enumerate(langs)], "lang string, bit long, total double")
+    shares = counts.join(F.broadcast(numbered), "lang").select("bit", "gram", (F.col("n") / F.col("total")).alias("share"))
+    most = F.max("share").over(Window.partitionBy("gram"))  # at most a row for each language
     held = shares.withColumn("most", most).where((F.col("share") >= MIN_SHARE) & (F.col("share") >= RATIO * F.col("most")))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gram, bits = b.column("gram").to_numpy().view(np.uint64), b.column("bit").to_numpy().astype(np.int64)
             at = np.concatenate([slots(gram, i) for i in range(HASHES)])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(np.int64(1) << bits, HASHES))], ["slot", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(bits // BITS, HASHES)), pa.array(at), pa.array(np.tile(np.int64(1) << bits % BITS, HASHES))], ["word", "slot", "mask"])
 
-    filled = held.select("gram", "bit").mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    for slot, mask in filled.collect():  # at most SLOTS rows
-        masks[slot] = mask
+    filled = held.select("gram", "bit").mapInArrow(fill, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most SLOTS rows a word
+    masks[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
     return langs, masks
 
 
@@ -113,7 +112,7 @@ def verdict_of(spark: SparkSession, langs: list[str], masks: np.ndarray) -> Call
     A text that is null or has no letter is und with score 0; so is every text if no language was learned. If no language
     has an n-gram of the text, it gets the first language with score 0. Equal shares: the first language in order.
     """
-    fill = np.array([np.count_nonzero(masks >> np.uint64(b) & np.uint64(1)) for b in range(len(langs))]) / SLOTS
+    fill = np.array([np.count_nonzero(masks[i // BITS] >> np.uint64(i % BITS) & np.uint64(1)) for i in range(len(langs))]) / SLOTS
     by_chance = (fill**HASHES)[:, None]
     shared = spark.sparkContext.broadcast(masks.astype(np.uint32) if len(langs) <= 32 else masks)
 
@@ -121,13 +120,14 @@ def verdict_of(spark: SparkSession, langs: list[str], masks: np.ndarray) -> Call
         doc, gram, has = grams(texts)
         if not langs:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0})
-        held = shared.value
-        one = held.dtype.type(1)
-        found = held[slots(gram, 0)]
-        for i in range(1, HASHES):
-            found &= held[slots(gram, i)]
+        hits, at = np.zeros((len(langs), len(texts)), np.int64), [slots(gram, i) for i in range(HASHES)]
+        for w, held in enumerate(shared.value):
+            one, found = held.dtype.type(1), held[at[0]]
+            for i in range(1, HASHES):
+                found &= held[at[i]]
+            for k in range(w * BITS, min((w + 1) * BITS, len(langs))):
+                hits[k] = np.bincount(doc[(found >> held.dtype.type(k % BITS)) & one > 0], minlength=len(texts))
         n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-        hits = np.stack([np.bincount(doc[(found >> held.dtype.type(i)) & one > 0], minlength=len(texts)) for i in range(len(langs))])
         share = np.clip((hits / n - by_chance) / (1 - by_chance), 0, 1)
         names = np.array([*langs, "und"], object)[np.where(has, share.argmax(0), len(langs))]
         return pd.DataFrame({"lang_pred": names, "score": np.where(has, share.max(0), 0.0)})
@@ -147,6 +147,7 @@ def predict(docs: DataFrame, langs: list[str], masks: np.ndarray) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict for all documents, learned from those outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     langs, masks = learn(docs.where(~fold_is(4, 2)))
     return predict(docs, langs, masks).select("doc_id", fold_is(4, 2).alias("held_out"), "lang_pred", "score")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import doc_texts, table
+from tremor.llm.common import blocks, doc_texts, table
 
 SPACE = "▁"
 #: Entries of a worker's memory of chunks, and the longest chunk it keeps; a full memory starts anew.
@@ -97,19 +97,21 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096) -
 
     A null or empty text has 0 bytes and 0 tokens. Repeated rows give repeated results, an empty
     table an empty one. Texts are counted whole, in one pass without a shuffle; memory is bounded by
-    a batch and the worker's memory of chunks.
+    a block of texts and the worker's memory of chunks.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path).count
-        for b in batches:
-            n = [of(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                n = [of(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     texts = doc_texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return texts.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts of all documents."""
     return token_counts(table(spark, sf_dir, "documents"))
