@@ -315,26 +315,82 @@ def test_quality(spark, docs, none):
 
 
 def test_language_model(spark, docs, texts, none):
-    train = spark.createDataFrame([(i, prose(i, 200)) for i in range(30)], "doc_id long, text string")
+    """Against a model built from the classes by hand: 60 words are clustered, 30 of them one at a time; the others have their last mark's class."""
+    train_texts = [prose(i, 200) for i in range(30)]
+    train = spark.createDataFrame(list(enumerate(train_texts)), "doc_id long, text string")
     counts = class_lm.word_counts(train).cache()
-    model = class_lm.learn(train, counts, head=60, clustered=30, classes=5)
+    words, n = class_lm.vocabulary(counts, 60)
+    model = class_lm.learn(class_lm.word_ids(train, words), counts, words, n, anchors=30, classes=5)
     tokens = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + [""]
-    c = Counter(w for i in range(30) for w in tokens(prose(i, 200)))
-    n, v = sum(c.values()), len(c)
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in class_lm.scored(docs, counts, model).collect()), key=key)
-    want = [(i, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in texts]
-    assert got == sorted(want, key=key)
-    # the words of each class, one unknown word in each tail class, and all transitions sum to 1
-    mass = Counter()
+    c = Counter(w for t in train_texts for w in tokens(t))
+    assert len(words) == 61 and words[0] == "" and all(c[w] == k for w, k in zip(words, n)) and min(n[1:]) >= max(c[w] for w in set(c) - set(words))
+    known = dict(zip(words, model.class_of.tolist()))
+    assert set(known.values()) <= set(range(6)) and known[""] == 0 and len(set(known.values())) > 3
+    of = lambda w: known[w] if w in known else 6 + ".,!?:;".find(w[-1]) + 1
+    mass, pairs = Counter({6 + k: 0.1 for k in range(7)}), Counter()
     for w, k in c.items():
-        mass[model.word_class.get(w, None) if w in model.word_class else class_lm.tail_class(w, model.n_clustered)] += k + 0.1
-    for j in range(model.n_clustered, model.n_clustered + len(class_lm.MARKS) + 1):
-        mass[j] += 0.1
+        mass[of(w)] += k + 0.1
+    for t in train_texts:
+        run = [0, *map(of, tokens(t))]
+        pairs.update(zip(run, run[1:]))
+    after, total = Counter(), sum(mass.values())
+    for (x, _), k in pairs.items():
+        after[x] += k
+
+    def score(t):
+        run = ["", *tokens(t)]
+        return sum(math.log10((pairs[of(x), of(w)] + 20 * mass[of(w)] / total) / (after[of(x)] + 20) * (c[w] + 0.1) / mass[of(w)]) for x, w in zip(run, run[1:]))
+
+    base, v = sum(c.values()), len(c)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in class_lm.scored(class_lm.word_ids(docs, words), counts, model).collect()), key=key)
+    want = [(i, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), base, round(sum(math.log10((c[w] + 0.1) / (base + 0.1 * (v + 1))) for w in tokens(t)), 4), round(score(t), 4)) for i, t in texts]
+    for x, y in zip(got, sorted(want, key=key)):
+        assert x[:4] == y[:4] and x[4] == pytest.approx(y[4], abs=2e-4) and x[5] == pytest.approx(y[5], abs=2e-4)
+    # one unknown word in each class of a last mark, the words of each class, and all transitions sum to 1
     for before in range(len(model.step)):
         assert abs(sum(10 ** model.step[before, j] * m for j, m in mass.items()) - 1) < 1e-9
-    assert class_lm.scored(none, counts, model).count() == 0
+    assert class_lm.scored(class_lm.word_ids(none, words), counts, model).count() == 0
     empty = class_lm.word_counts(none)
-    assert class_lm.scored(docs, empty, class_lm.learn(none, empty)).count() == len(texts)
+    words, n = class_lm.vocabulary(empty)
+    rows = class_lm.word_ids(docs, words)
+    assert class_lm.scored(rows, empty, class_lm.learn(class_lm.word_ids(none, words), empty, words, n)).count() == len(texts)
+
+
+def test_sweeps_raise_the_likelihood(spark):
+    """A language of two alternating kinds of words: words beyond the anchors join the class of their kind."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "ab"]
+    texts = [" ".join(kinds[j % 2][int(40 * rng.random() ** 2)] for j in range(60)) for _ in range(40)]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = class_lm.word_counts(train).cache()
+    words, n = class_lm.vocabulary(counts)
+    rows = class_lm.word_ids(train, words)
+    model = class_lm.learn(rows, counts, words, n, anchors=12, classes=2)
+    found = {(w[0], k) for w, k in zip(words[1:], model.class_of[1 : len(words)].tolist())}
+    assert len(found) == 2 and len({k for _, k in found}) == 2
+
+
+def test_best_class_by_hand():
+    rng = np.random.default_rng(6)
+    joint = rng.integers(1, 200, (5, 5)).astype(float)
+    counts = rng.integers(0, 4, (30, 10)) * (rng.random((30, 10)) < 0.5)
+    own = np.where(rng.random(30) < 0.5, class_lm.NONE, rng.integers(1, 4, 30)).astype(np.uint8)
+    for w in np.flatnonzero(own != class_lm.NONE):  # what a word has with each class is part of the table
+        joint[own[w]] += counts[w, :5]
+        joint[:, own[w]] += counts[w, 5:]
+    x = lambda v: v * math.log(v) if v > 0 else 0.0
+
+    def gain(w, k):
+        row, col = joint[k].copy(), joint[:, k].copy()
+        rows, cols = joint[k].sum(), joint[:, k].sum()
+        if own[w] == k:
+            row, col, rows, cols = row - counts[w, :5], col - counts[w, 5:], rows - counts[w, :5].sum(), cols - counts[w, 5:].sum()
+        parts = [(row[j], counts[w, j]) for j in range(5)] + [(col[j], counts[w, 5 + j]) for j in range(5)]
+        return sum(x(b + m) - x(b) for b, m in parts) - (x(rows + counts[w, :5].sum()) - x(rows)) - (x(cols + counts[w, 5:].sum()) - x(cols))
+
+    of, cell = np.nonzero(counts)
+    got = class_lm.best_classes(own, of, cell, counts[of, cell], joint, range(1, 4))
+    assert all(gain(w, got[w]) >= max(gain(w, k) for k in range(1, 4)) - 1e-6 for w in range(30))
 
 
 def test_exchange_finds_alternating_classes():
