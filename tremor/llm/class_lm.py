@@ -27,6 +27,8 @@ from tremor.llm.common import blocks, doc_texts, fold_is, stored, table
 
 #: Words that are clustered, into CLASSES classes; of them, the first ANCHORS by exchange of one word at a time in ANCHOR_SWEEPS sweeps, the others in SWEEPS sweeps.
 VOCABULARY, ANCHORS, CLASSES, ANCHOR_SWEEPS, SWEEPS = 250_000, 1_000, 48, 4, 2
+#: Words that came less often are not clustered: so few neighbours tell their own texts' classes, not the language's.
+LEAST = 3
 PRIOR = 0.1
 #: Weight of a class's own share in the transitions, in bigrams.
 BACKING = 20.0
@@ -86,10 +88,10 @@ class Model:
     distinct: int
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """The end, then the size most frequent words at most, and their counts."""
+def vocabulary(counts: DataFrame, size: int = VOCABULARY, least: int = LEAST) -> tuple[list[str], np.ndarray]:
+    """The end, then the words that came least times at least, the size most frequent ones at most, and their counts."""
     ends = counts.where(F.col("word") == END).first()
-    first = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    first = counts.where((F.col("word") != END) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(size).toArrow()
     return [END, *first.column("word").to_pylist()], np.concatenate(([ends.n if ends else 0], first.column("n").to_numpy()))
 
 
