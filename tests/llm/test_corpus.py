@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -423,12 +424,70 @@ def test_article_of_a_page(spark, none):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def tree(page):
+    return wrappers.bare(wrappers.parse(page)[1])
+
+
 def test_wrapper_of_aligned_pages():
-    a = wrappers.parse("<div><h1>A</h1><p>x</p></div>")[1]
-    b = wrappers.parse("<div><h1>B</h1><img><ul><li>1<li>2<li>3</ul><p>x</p><p>y</p></div>")[1]
-    assert wrappers.as_regex(wrappers.aligned(a, b)) == "<div><h1>#</h1>(<ul>(<li>#</li>)+</ul>)?(<p>#</p>)+</div>"
-    pairs = wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>")[1]
+    a = tree("<div><h1>A</h1><p>x</p></div>")
+    b = tree("<div><h1>B</h1><img><ul><li>1<li>2</ul><p>x</p><p>y</p></div>")
+    c = tree("<div><h1>C</h1><ul><li>1<li>2<li>3<li>4</ul><p>z</p></div>")
+    ab = wrappers.aligned(a, b)
+    assert wrappers.as_regex(ab) == "<div><h1>#</h1>(<ul><li>#</li><li>#</li></ul>)?(<p>#</p>)+</div>"
+    assert wrappers.as_regex(wrappers.aligned(ab, c)) == "<div><h1>#</h1>(<ul><li>#</li>(<li>#</li>)+</ul>)?(<p>#</p>)+</div>"
+    pairs = wrappers.aligned(tree("<dl><dt>a<dd>b</dl>"), tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"))
     assert wrappers.as_regex(pairs) == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
+    assert wrappers.as_regex(wrappers.aligned(pairs, tree("<dl><dt>a<dd>b</dl>"))) == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
+
+
+def accepts(items):
+    """A wrapper as an expression over pages written by as_regex."""
+    out = ""
+    for x in items:
+        if wrappers.is_text(x):
+            out += "#?"
+        else:
+            own = accepts(x[2])
+            own = f"<{re.escape(x[0])}>{own}</{wrappers.tag_of(x[0])}>" if x[0] else own
+            out += f"(?:{own}){['', '+', '?', '*'][x[1]]}"
+    return out
+
+
+def test_wrappers_accept_their_pages(spark):
+    """Every page of a host reads as its wrapper says, and each of its texts has a slot."""
+    rng = np.random.default_rng(8)
+    pages = []
+    for i in range(120):
+        inner = "".join(f"<p>{prose(i * 50 + k, 9)}</p>" for k in range(rng.integers(1, 5)))
+        more = "".join(f"<dt>t{k}<dd>{i}" for k in range(rng.integers(0, 4)))
+        page = f"<body><div class=top><div>Same</div></div>{'<div class=promo>Buy</div>' if rng.random() < 0.4 else ''}<div class=x><h1>T{i}</h1>{inner}{f'<dl>{more}</dl>' if more else ''}</div><footer>F</footer></body>"
+        pages.append((i, f"http://h{i % 3}.example/{i}", page))
+    found = {r.host: json.loads(r.wrapper) for r in wrappers.wrappers(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    assert set(found) == {"h0.example", "h1.example", "h2.example"}
+    for i, _, page in pages:
+        w = found[f"h{i % 3}.example"]
+        assert re.fullmatch(accepts(w), wrappers.as_regex(tree(page)))
+        texts, _, at = wrappers.slots_of_page(json.dumps(w), page)
+        assert len(at) == len(texts) and max(at.values()) < len(wrappers.slots(w))
+
+
+def brute_articles(pages, wrapper):
+    """Articles of one host's pages by their wrapper: the texts of slots inside its unnamed element of most text that change from page to page."""
+    taken = [wrappers.slots_of_page(json.dumps(wrapper), p) for p in pages]
+    seen = {}
+    for texts, _, at in taken:
+        for k, slot in at.items():
+            seen.setdefault(slot, set()).add(texts[k])
+    return ["\n\n".join(t for k, t in enumerate(texts) if len(seen[at[k]]) > 1) for texts, _, at in taken]
+
+
+def test_slots_and_not_paths_decide(spark):
+    """Elements of one path: a notice that never changes stands before the text that does. A union of paths can't part them."""
+    pages = [(i, f"http://h.example/{i}", f"<body><div><div>Same for all</div><div>{prose(i, 50)}</div><div>Share it</div></div></body>") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    wrapper = json.loads(wrappers.wrappers(df).first().wrapper)
+    assert [got[i] for i in range(8)] == [prose(i, 50) for i in range(8)] == brute_articles([p for _, _, p in pages], wrapper)
 
 
 def test_text_that_never_changes_is_frame(spark):
@@ -437,6 +496,14 @@ def test_text_that_never_changes_is_frame(spark):
     assert all(r.text == prose(r.page_id, 50) for r in got)
 
 
+def test_deep_pages_and_states_of_pages(spark):
+    deep = "<article>" + "<div>" * 3000 + "<p>body text</p><nav>menu text</nav><div class=sidebar><p>side</p></div>" + "</div>" * 3000 + "<p>after</p></article><p>outside</p>"
+    rows = [(1, "http://a.example", deep), (2, "http://b.example", "<body class='has-sidebar no-comments'><main class='search-results'><article class='no-sidebar with-menu'><p>kept</p><div class='site-sidebar'>gone</div></article></main></body>")]
+    rows += [(3, "http://c.example", "<div class=menu><p>all of it is noise</p></div>"), (4, "http://d.example", "<div id=heading-one><p>a b c</p></div><div id=sidebar>no</div>")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "body text\n\nafter", 2: "kept", 3: "all of it is noise", 4: "a b c"}
+
+
 # Registered queries
 
 

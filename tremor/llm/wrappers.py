@@ -1,9 +1,10 @@
 """HTML extraction by union-free wrappers, one for each host.
 
-A page is a stream of block tags and text slots. Neighbouring parts of a stream that repeat fold into a repeated group, and the
-streams of a host are aligned one after the other: parts that one side lacks become optional, parts of the same kind are
-aligned within. What is left is a union-free regular expression of the host's pages, the wrapper; with the sizes of its slots and
-whether a slot's text ever changes it tells which part is the article.
+A page is a tree of elements and text slots. The pages of a host are aligned one after the other with what is known of the host so far: parts
+of the same kind are aligned within, parts that repeat their neighbours become repeated groups, and others that one side
+lacks become optional. What is left is a union-free regular expression of the host's pages, the wrapper. Every page is then matched
+with its host's wrapper, which gives each text its slot; the sizes of the slots' texts, and whether a slot's text ever changes,
+tell which slots hold the article, and these slots' texts are taken from each page.
 
 Tasks fold the pages they read into one wrapper for each host before the shuffle, and wrappers are folded again by
 host in two steps, so the pages of a large host never meet in one task.
@@ -37,51 +38,75 @@ NOISE_WORDS = set(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs related recommended recommendations comment comments disqus reply replies respond promo promotion sponsor sponsored "
     "footer masthead topbar toolbar pagination pager widget login search".split()
 )
+#: A class that starts so says what a page has, not what an element is.
+STATES = ("has-", "no-", "with-", "without-", "is-", "not-")
+ROOT_WORDS = {"main", "articlebody"}
 RAW = re.compile(r"<(script|style|noscript|template|textarea|iframe|svg|object)\b(?:[^>]*)>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'<>]++|"[^"<>]*+"|'[^'<>]*+'|"|')*+)(?:>|\Z)""")
 NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-#: Pages with a slot before a text that never changes there counts as part of the host's frame.
-FRAME_PAGES = 5
 HEADS = set("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd figcaption".split())
+#: Levels of a page's tree. What lies deeper is noise or not by all its elements, and stands in the last level's element.
+LEVELS = 100
+
+
+def noise_word(name: str) -> bool:
+    return not name.startswith(STATES) and bool(NOISE_WORDS & set(re.split("[^a-z]+", name)))
 
 
 @lru_cache(20_000)
 def label(tag: str, attributes: str) -> str:
-    """The tag with its class, id and role, digits folded."""
-    names = [v.strip("\"'").lower() for _, v in NAMED.findall(attributes)]
-    return ".".join([tag, *re.sub(r"\d+", "0", re.sub(r"[^\w\s-]", "", " ".join(names))).split()])
+    """The tag with its classes and roles: those that tell noise or the article, and the first part of the first one. Of ids only the telling ones, since others name single elements."""
+    kept, first = [], ""
+    for kind, value in NAMED.findall(attributes):
+        for name in re.sub(r"[^\w\s-]", "", value.lower()).split():
+            if noise_word(name) or name in ROOT_WORDS:
+                kept.append(re.sub(r"\d+", "0", name))
+            elif not first and kind.lower() != "id":
+                first = re.sub(r"\d+", "0", re.split("[-_]", name)[0])
+    return ".".join([tag, *filter(None, [first]), *kept])
+
+
+def tag_of(name: str) -> str:
+    return name.partition(".")[0]
 
 
 @lru_cache(20_000)
 def is_noise(name: str) -> bool:
+    """Whether an element is no part of an article. What holds the whole page isn't judged by its classes, an article by whole ones only."""
     tag, *names = name.split(".")
-    return tag in NOISE_TAGS or bool(NOISE_WORDS & set(re.split("[^a-z]+", " ".join(names))))
+    if tag in ("html", "body", "main"):
+        return False
+    return tag in NOISE_TAGS or (bool(NOISE_WORDS & set(names)) if tag == "article" else any(map(noise_word, names)))
 
 
 @lru_cache(20_000)
 def is_root(name: str) -> bool:
     tag, *names = name.split(".")
-    return tag in ("article", "main") or "main" in names or "articlebody" in names
+    return tag in ("article", "main") or bool(ROOT_WORDS & set(names))
+
 
+def parse(page: str) -> tuple[list[str], list]:
+    """The text of each block of a page in order, character references decoded and white space folded; and its tree.
 
-def parse(page: str) -> tuple[list[tuple[str, str]], list]:
-    """(path, text) of each block of a page in order, character references decoded and white space folded; and its stream as an item list."""
+    A tree is a list of items: ["#", number of the text] or, in noise below the last level, ["!", number]; [name, mode, items] of an element. Of mode, bit 1: repeated, bit 2: optional.
+    """
     page = RAW.sub(" ", page)
     found, text, at = [], [], 0
-    names, paths, levels = [], [""], [[]]
+    names, levels, noisy = [], [[]], [False]
 
     def close_block() -> None:
         if text:
             if words := html.unescape("".join(text)).split():
-                found.append((paths[-1], " ".join(words)))
-                if not levels[-1] or levels[-1][-1] != ["#"]:
-                    levels[-1].append(["#"])
+                levels[-1].append(["!" if len(names) > LEVELS and noisy[-1] else "#", len(found)])
+                found.append(" ".join(words))
             text.clear()
 
     def pop() -> None:
-        name, inner = names.pop(), folded(levels.pop())
-        paths.pop()
-        levels[-1].append([name, 0, inner])
+        name = names.pop()
+        noisy.pop()
+        if len(names) < LEVELS:
+            inner = levels.pop()
+            levels[-1].append([name, 0, inner])
 
     for m in TAG.finditer(page):
         if m.start() > at:
@@ -97,175 +122,272 @@ def parse(page: str) -> tuple[list[tuple[str, str]], list]:
         if tag in VOID:
             continue
         if closing:
-            if any(n.partition(".")[0] == tag for n in names):
-                while names[-1].partition(".")[0] != tag:
+            if any(tag_of(n) == tag for n in names):
+                while tag_of(names[-1]) != tag:
                     pop()
                 pop()
             continue
-        if names and names[-1].partition(".")[0] == "p":
+        if names and tag_of(names[-1]) == "p":
             pop()
         if tag in ENDS:
             same, wall = ENDS[tag]
             for k in range(len(names) - 1, -1, -1):
-                open_tag = names[k].partition(".")[0]
+                open_tag = tag_of(names[k])
                 if open_tag in wall.split():
                     break
                 if open_tag in same:
                     while len(names) > k:
                         pop()
                     break
-        if len(names) < 60:  # deeper elements count as part of theirs
-            name = label(tag, m[3])
-            names.append(name)
-            paths.append(f"{paths[-1]}/{name}")
+        name = label(tag, m[3])
+        names.append(name)
+        noisy.append(noisy[-1] or is_noise(name))
+        if len(names) <= LEVELS:
             levels.append([])
     text.append(page[at:])
     close_block()
     while names:
         pop()
-    return found, folded(levels[0])
+    return found, levels[0]
 
 
-# Items of a wrapper: ["#"] is a text slot; [name, mode, items] an element, or a group of several if name is "". Of mode, bit 1: repeated, bit 2: optional.
+def is_text(item: list) -> bool:
+    return item[0] in ("#", "!")
 
 
 def key_of(item: list) -> str:
     return item[0] if item[0] else "(" + " ".join(map(key_of, item[2])) + ")"
 
 
-def one_of(a: list, b: list, mode: int = 0) -> list:
-    return a if len(a) == 1 else [a[0], a[1] | b[1] | mode, aligned(a[2], b[2])]
+def bare(items: list) -> list:
+    """A page's tree without the numbers of its texts: a wrapper of one page."""
+    return [[x[0]] if is_text(x) else [x[0], x[1], bare(x[2])] for x in items]
 
 
-def folded(items: list) -> list:
-    """Neighbours of the same kind become one repeated item, and repeats of two or three items one repeated group."""
-    for width in (1, 2, 3):
-        keys, out, i = [key_of(x) for x in items], [], 0
-        while i < len(items):
-            j = i + width
-            if keys[i : i + width] == keys[j : j + width] and len(set(keys[i : i + width])) == width and (width > 1 or items[i][0] != "#"):
-                group = items[i:j] if width > 1 else items[i]
-                while keys[j : j + width] == keys[i : i + width]:
-                    group = aligned(group, items[j : j + width]) if width > 1 else one_of(group, items[j], 1)
-                    j += width
-                out.append(["", 1, group] if width > 1 else group)
-                i = j
+def groups_of(items: list) -> list[list[str]]:
+    """The keys of the groups of several items in a wrapper's list."""
+    return [[key_of(y) for y in x[2]] for x in items if not x[0]]
+
+
+def units(items: list, groups: list[list[str]]) -> list[tuple[str, list]]:
+    """Items as (key, runs): runs that read as a group's repeats are one unit of that group, other items are units of their own."""
+    keys, out, i = [key_of(x) for x in items], [], 0
+    while i < len(items):
+        group = next((g for g in groups if keys[i : i + len(g)] == g), None)
+        if group is None:
+            out.append((keys[i], [items[i : i + 1]]))
+            i += 1
+            continue
+        held = []
+        while keys[i : i + len(group)] == group:
+            held.append(items[i : i + len(group)])
+            i += len(group)
+        out.append(("(" + " ".join(group) + ")", held))
+    return out
+
+
+def merged(a: list, b: list, mode: int = 0) -> list:
+    return a if is_text(a) else [a[0], a[1] | b[1] | mode, aligned(a[2], b[2])]
+
+
+def with_groups(items: list, groups: list[list[str]]) -> list:
+    """A wrapper's items in which runs that read as one of the groups are that group."""
+    out = []
+    for key, held in units(items, groups) if groups else []:
+        if not key.startswith("("):
+            out += held[0]
+            continue
+        for run in held:
+            group = run[0] if not run[0][0] else ["", 0, run]
+            if out and key_of(out[-1]) == key:
+                out[-1] = merged(out[-1], group, 1)
             else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return items
+                out.append(group)
+    return out if groups else items
 
 
 def aligned(a: list, b: list) -> list:
-    """The wrapper of both item lists: common parts aligned within, others optional."""
+    """The wrapper of two wrappers: common parts aligned within; others join the repeats before them, or are optional."""
     if a == b:
         return a
-    maybe = lambda items: [x if len(x) == 1 else [x[0], x[1] | 2, x[2]] for x in items]
-    x, y = [key_of(i) for i in a], [key_of(i) for i in b]
+    a, b = with_groups(a, groups_of(b)), with_groups(b, groups_of(a))
     out, i, j = [], 0, 0
-    for m, n, size in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
-        out += maybe(a[i:m]) + maybe(b[j:n]) + [one_of(p, q) for p, q in zip(a[m : m + size], b[n : n + size])]
+    for m, n, size in SequenceMatcher(None, [key_of(x) for x in a], [key_of(x) for x in b], autojunk=False).get_matching_blocks():
+        both = [a[i:m], b[j:n]]
+        if out and both[1] and key_of(both[1][0]) == key_of(out[-1]):
+            both.reverse()  # repeats of what stands before come first
+        for own in both:
+            place(out, own)
+        out += [merged(p, q) for p, q in zip(a[m : m + size], b[n : n + size])]
         i, j = m + size, n + size
-    return folded(out)
+    return out
+
+
+def place(out: list, own: list) -> None:
+    """Adds items that only one side has: to repeats of one to three items before them, or else as optional ones."""
+    k = 0
+    while k < len(own):
+        if width := repeats(out, own[k:]):
+            some = own[k : k + width]
+            if not out[-1][0] and some[0][0]:
+                out[-1] = merged(out[-1], ["", 0, some], 1)
+            elif width == 1:
+                out[-1] = merged(out[-1], some[0], 1)
+            else:
+                last = out[-width:]
+                if all(x[1] & 2 for x in last):  # all of them may be missing, as a group
+                    last, mode = [[x[0], x[1] & 1, x[2]] for x in last], 3
+                else:
+                    mode = 1
+                out[-width:] = [["", mode, aligned(last, some)]]
+            k += width
+        else:
+            x = own[k]
+            out.append(x if is_text(x) else [x[0], x[1] | 2, x[2]])
+            k += 1
+
+
+def repeats(out: list, own: list) -> int:
+    """How many of the first items of own repeat the last ones of out, or a group there; 0 if they don't."""
+    keys, last = [key_of(x) for x in own[:3]], [key_of(x) for x in out[-3:]]
+    if out and not out[-1][0]:
+        inside = [key_of(x) for x in out[-1][2]]
+        if keys[: len(inside)] == inside:
+            return len(inside)
+    for width in (1, 2, 3):
+        some = keys[:width]
+        if len(some) == width and some == last[-width:] and len(set(some)) == width and not (width == 1 and is_text(own[0])) and not any(is_text(x) for x in own[:width]):
+            return width
+    return 0
 
 
 def as_regex(items: list) -> str:
     """A wrapper in the usual notation: # text slots, (...)+ repeated, (...)? optional, (...)* both."""
     out = []
     for x in items:
-        if len(x) == 1:
+        if is_text(x):
             out.append("#")
         else:
             inner = as_regex(x[2])
-            own = f"<{x[0]}>{inner}</{x[0].partition('.')[0]}>" if x[0] else inner
+            own = f"<{x[0]}>{inner}</{tag_of(x[0])}>" if x[0] else inner
             out.append(f"({own}){' +?*'[x[1]]}" if x[1] else own)
     return "".join(out)
 
 
-def slots(items: list, path: str = "") -> Iterator[str]:
-    """The paths of a wrapper's elements, outer ones first."""
+def slots(items: list) -> list[tuple[tuple[int, ...], tuple[str, ...]]]:
+    """The text slots of a wrapper in order: the numbers and the names of the elements around each."""
+    found, count = [], [0]
+
+    def walk(items: list, nodes: tuple, names: tuple) -> None:
+        for x in items:
+            if is_text(x):
+                found.append((nodes, (*names, "nav") if x[0] == "!" else names))
+            elif x[0]:
+                count[0] += 1
+                walk(x[2], (*nodes, count[0]), (*names, x[0]))
+            else:
+                walk(x[2], nodes, names)
+
+    walk(items, (), ())
+    return found
+
+
+def numbered(items: list, count: list[int] | None = None) -> list:
+    """The wrapper with the place among slots() at each text slot."""
+    count = count or [0]
+    out = []
     for x in items:
-        if len(x) > 1:
-            inner = f"{path}/{x[0]}" if x[0] else path
-            if x[0]:
-                yield inner
-            yield from slots(x[2], inner)
+        if is_text(x):
+            out.append([x[0], count[0]])
+            count[0] += 1
+        else:
+            out.append([x[0], x[1], numbered(x[2], count)])
+    return out
+
+
+def match(wrapper: list, items: list, found: dict[int, int]) -> None:
+    """Puts the slot of each text of a page's items into found, by aligning them with a numbered wrapper; texts that the wrapper lacks stay out."""
+    if not wrapper or not items:
+        return
+    own, i = units(items, groups_of(wrapper)), 0
+    before = None
+    for m, n, size in SequenceMatcher(None, [key_of(x) for x in wrapper], [k for k, _ in own], autojunk=False).get_matching_blocks():
+        for key, held in own[i:n]:
+            if before is not None and key_of(before) == key and not is_text(before):  # one more of a repeated item
+                into(before, held, found)
+        for w, (_, held) in zip(wrapper[m : m + size], own[n : n + size]):
+            into(w, held, found)
+            before = w
+        i = n + size
+
+
+def into(w: list, held: list, found: dict[int, int]) -> None:
+    for run in held:
+        if is_text(w):
+            found[run[0][1]] = w[1]
+        else:
+            match(w[2], run[0][2] if w[0] else run, found)
 
 
-def clean(path: str) -> bool:
-    return not any(is_noise(n) for n in path.split("/")[1:])
+def clean(names: Iterable[str]) -> bool:
+    return not any(map(is_noise, names))
 
 
-def decide(items: list, chars: dict[str, int], frame: set[str]) -> tuple[list[str], list[str]]:
-    """The wrapper's article: paths of its outermost elements, and the paths inside whose text belongs to the frame.
+def decide(places: list, chars: dict[int, int], frame: set[int]) -> list[int]:
+    """The slots of the article. places: slots() of the wrapper; chars: the size of the texts in each slot; frame: slots whose text never changes.
 
-    chars: the size of the texts at each path; frame: paths whose text never changes. An article or main element that has text is taken; without
-    one, the innermost element that holds most of the text outside the frame.
+    Article or main elements that have text are taken, of nested ones articles; without one, the innermost element that holds most of the text outside the
+    frame. Noise inside is left out, and so is frame, but for headings and paragraphs in an article element.
     """
-    texts = {p: n for p, n in chars.items() if clean(p)}
-    marked = []
-    for p in slots(items):
-        if is_root(p.rpartition("/")[2]) and clean(p) and not any(within(p, m) for m in marked) and any(within(t, p) for t in texts):
-            marked.append(p)
-    inner = [m for m in marked if not m.rpartition("/")[2].startswith("main")]
-    if marked:
-        # a main element with an article in it: the article
-        nested = [p for p in slots(items) if p.rpartition("/")[2].partition(".")[0] == "article" and clean(p) and p not in marked and any(within(t, p) for t in texts)]
-        roots = inner or [p for p in nested if not any(within(p, q) and p != q for q in nested)] or marked
-        return roots, sorted(p for p in frame if any(within(p, r) for r in roots) and p.rpartition("/")[2].partition(".")[0] not in HEADS)
-    texts = {p: n for p, n in texts.items() if p not in frame and not any(x.partition(".")[0] == "header" for x in p.split("/"))}
-    total, root = sum(texts.values()), ""
+    held = [k for k in chars if clean(places[k][1])] or list(chars)
+    marked = defaultdict(int)
+    name_of = {n: name for nodes, names in places for n, name in zip(nodes, names)}
+    for k in held:
+        for n, name in zip(*places[k]):
+            if is_root(name):
+                marked[n] += chars[k]
+    articles = {n for n in marked if tag_of(name_of[n]) == "article"} or set(marked)
+    if articles:
+        inside = lambda k: any(n in articles for n in places[k][0])
+        kept = lambda k: k not in frame or tag_of((places[k][1] or ("",))[-1]) in HEADS
+        return sorted(k for k in held if inside(k) and kept(k))
+    body = [k for k in held if k not in frame and "header" not in map(tag_of, places[k][1])] or held
     weights = defaultdict(int)
-    for p, n in texts.items():
-        parts = p.split("/")
+    for k in body:
+        nodes, names = places[k]
         # a heading or paragraph of its own is no place for an article
-        for k in range(2, len(parts) + (parts[-1].partition(".")[0] not in HEADS)):
-            weights["/".join(parts[:k])] += n
-    for p in sorted(weights, key=lambda p: (p.count("/"), p)):
-        if weights[p] >= 0.6 * total and within(p, root):
-            root = p
-    return [root], sorted(p for p in {*frame, *(c for c in chars if "/header" in c)} if within(p, root))
-
-
-def within(path: str, root: str) -> bool:
-    return path == root or path.startswith(root + "/") or not root
+        for depth in range(1, len(nodes) + (not names or tag_of(names[-1]) not in HEADS)):
+            weights[nodes[:depth]] += chars[k]
+    total, root = sum(chars[k] for k in body), ()
+    for nodes in sorted(weights, key=lambda x: (len(x), x)):
+        if weights[nodes] >= 0.6 * total and nodes[: len(root)] == root:
+            root = nodes
+    return sorted(k for k in body if places[k][0][: len(root)] == root)
 
 
-def article(found: list[tuple[str, str]], roots: list[str], dropped: set[str]) -> str:
-    kept = []
-    for p, t in found:
-        root = next((r for r in roots if within(p, r)), None)
-        if root is not None and p not in dropped and clean(p[len(root) :]) and clean(root):
-            kept.append(t)
-    return "\n\n".join(kept)
+def host_of(url: str = "url") -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrapper_rows(pages: Iterable[tuple[str, str]]) -> dict:
-    """For each host: the wrapper of these pages, and for each path the pages, the characters and the least and largest digest of its text."""
-    hosts: dict = {}
-    for host, page in pages:
-        found, items = parse(page)
-        own, joined = hosts.setdefault(host, [None, {}]), defaultdict(list)
-        own[0] = items if own[0] is None else aligned(own[0], items)
-        for p, t in found:
-            joined[p].append(t)
-        merge_paths(own[1], {p: (1, sum(map(len, ts)), d := zlib.crc32("\n".join(ts).encode("utf-8", "surrogatepass")), d) for p, ts in joined.items()})
-    return hosts
+def with_host(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (null: empty) and host of each row."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of().alias("host"))
 
 
-def merge_paths(into: dict, more: dict) -> None:
-    for p, (n, chars, low, high) in more.items():
-        was = into.get(p, (0, 0, low, high))
-        into[p] = was[0] + n, was[1] + chars, min(was[2], low), max(was[3], high)
+@lru_cache(256)
+def loaded(wrapper: str) -> list:
+    return numbered(json.loads(wrapper))
 
 
-def host_of(url: str = "url") -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+def slots_of_page(wrapper: str, page: str) -> tuple[list[str], list, dict[int, int]]:
+    found, items = parse(page)
+    at: dict[int, int] = {}
+    match(loaded(wrapper), items, at)
+    return found, items, at
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (a regular expression), roots and dropped for each host of pages (url, html)."""
+    """host and wrapper (as JSON; as_regex gives the usual notation) for each host of pages (url, html)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -273,70 +395,107 @@ def wrappers(pages: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId() % 64
         held: dict = {}
         for b in batches:
-            for host, (items, paths) in wrapper_rows(zip(b.column("host").to_pylist(), b.column("html").to_pylist())).items():
-                own = held.setdefault(host, [items, {}])
-                own[0] = aligned(own[0], items)
-                merge_paths(own[1], paths)
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                items = bare(parse(page)[1])
+                held[host] = aligned(held[host], items) if host in held else items
             if len(held) > 2000:
                 yield rows_of(held, part)
                 held = {}
         yield rows_of(held, part)
 
     def rows_of(held: dict, part: int) -> pa.RecordBatch:
-        made = [(h, part, json.dumps(items), json.dumps(paths)) for h, (items, paths) in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["host", "part", "items", "paths"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array(list(map(json.dumps, held.values())), pa.string())], ["host", "part", "items"])
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        first, *others = sorted(group["items"], key=lambda x: (-len(x), x))
+        items = json.loads(first)
+        for x in others:
+            items = aligned(items, json.loads(x))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "items": [json.dumps(items)]})
 
-    def fold(group: pd.DataFrame) -> tuple[list, dict]:
-        items, paths = None, {}
-        for i, p in sorted(zip(group["items"], group["paths"])):
-            items = json.loads(i) if items is None else aligned(items, json.loads(i))
-            merge_paths(paths, json.loads(p))
-        return items, paths
+    partial = with_host(pages).select("host", "html").mapInArrow(read, "host string, part int, items string")
+    parts = partial.groupBy("host", "part").applyInPandas(fold, "host string, items string")
+    return parts.groupBy("host").applyInPandas(fold, "host string, items string").withColumnRenamed("items", "wrapper")
 
-    def fold_part(group: pd.DataFrame) -> pd.DataFrame:
-        items, paths = fold(group)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "items": [json.dumps(items)], "paths": [json.dumps(paths)]})
 
-    def fold_host(group: pd.DataFrame) -> pd.DataFrame:
-        items, paths = fold(group)
-        still = {p for p, (n, _, low, high) in paths.items() if low == high and n >= FRAME_PAGES}
-        # if no text of the host changes, its pages are copies of one and nothing is frame
-        roots, dropped = decide(items, {p: v[1] for p, v in paths.items()}, still if any(v[2] != v[3] for v in paths.values()) else set())
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [as_regex(items)], "roots": [roots], "dropped": [dropped]})
+def article_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """host, wrapper and kept (the slots of the article) for each of found (host, wrapper), from the texts of all pages (url, html)."""
+    rows = with_host(pages).select("host", "html").join(found, "host")
 
-    partial = pages.select(host_of().alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInArrow(read, "host string, part int, items string, paths string")
-    parts = partial.groupBy("host", "part").applyInPandas(fold_part, "host string, items string, paths string")
-    return parts.groupBy("host").applyInPandas(fold_host, "host string, wrapper string, roots array<string>, dropped array<string>")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
+                texts, _, at = slots_of_page(wrapper, page)
+                joined = defaultdict(list)
+                for k, slot in at.items():
+                    joined[slot].append(texts[k])
+                for slot, some in joined.items():
+                    digest = zlib.crc32("\n".join(some).encode("utf-8", "surrogatepass"))
+                    n, chars, low, high = held.get((host, slot), (0, 0, digest, digest))
+                    held[host, slot] = n + 1, chars + sum(map(len, some)), min(low, digest), max(high, digest)
+            if len(held) > 100_000:
+                yield rows_of(held)
+                held = {}
+        yield rows_of(held)
+
+    def rows_of(held: dict) -> pa.RecordBatch:
+        columns = list(zip(*[(*k, *v) for k, v in held.items()])) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 5))], ["host", "slot", "n", "chars", "low", "high"])
+
+    counted = rows.mapInArrow(read, "host string, slot long, n long, chars long, low long, high long").groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # as many entries as the wrapper has slots
+    by_host = counted.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "chars", "low", "high")).alias("slots"))
+
+    @F.pandas_udf("array<long>")
+    def kept(wrapper: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for w, s in zip(wrapper, own):
+            s = [] if s is None else list(s)
+            still = {x["slot"] for x in s if x["low"] == x["high"] and x["n"] > 1}
+            # if no text of the host changes, its pages are copies of one and nothing is frame
+            frame = still if any(x["low"] != x["high"] for x in s) else set()
+            out.append(decide(slots(json.loads(w)), {x["slot"]: x["chars"] for x in s}, frame))
+        return pd.Series(out, dtype=object)
+
+    return found.join(by_host, "host", "left").select("host", "wrapper", kept("wrapper", "slots").alias("kept"))
+
+
+def text_of(wrapper: str | None, kept: Iterable[int], page: str) -> str:
+    """The article of a page: its texts in the kept slots; if it has none there, what its own tree alone tells."""
+    texts, items, at = slots_of_page(wrapper or "[]", page)
+    own = set(kept)
+    taken = [t for k, t in enumerate(texts) if at.get(k, -1) in own]
+    if not taken and texts:
+        places, alone = slots(items), {}
+        match(numbered(items), items, alone)
+        chars = defaultdict(int)
+        for k, slot in alone.items():
+            chars[slot] += len(texts[k])
+        own = set(decide(places, chars, set()))
+        taken = [t for k, t in enumerate(texts) if alone.get(k, -1) in own]
+    return "\n\n".join(taken)
 
 
 def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html): the article's blocks, joined by two line ends.
 
-    Wrappers are inferred from all pages unless given. A page that has no text where its host's wrapper has the article is decided by its own
-    stream. Null or empty html gives the empty text; a null or odd url has the host ''. Repeated rows give repeated results.
+    Wrappers with their kept slots are inferred from all pages unless given. A page that has no text where its host's wrapper has the article is decided by its own
+    tree. Null or empty html gives the empty text; a null or odd url has the host ''. Repeated rows give repeated results; an empty table none.
     """
-    found = stored(wrappers(pages), "wrappers") if found is None else found
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of().alias("host"))
-    rows = rows.join(found.select("host", "roots", "dropped"), "host", "left").drop("host")  # one row a host: Spark broadcasts it if it is small, and splits hot hosts if not
+    if found is None:
+        found = stored(article_slots(pages, stored(wrappers(pages), "wrappers")), "article-slots")
+    rows = with_host(pages).join(found, "host", "left").drop("host")  # one row a host: Spark broadcasts it if it is small, and splits hot hosts if not
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "html"):
-                out = []
-                for page, roots, dropped in zip(*(b.column(c).to_pylist() for c in ("html", "roots", "dropped"))):
-                    seen, items = parse(page)
-                    text = article(seen, roots or [], set(dropped or ()))
-                    if not text and seen:
-                        chars = defaultdict(int)
-                        for p, t in seen:
-                            chars[p] += len(t)
-                        own, drop = decide(items, chars, set())
-                        text = article(seen, own, set(drop))
-                    out.append(text)
+                out = [text_of(w, kept if kept is not None else (), page) for page, w, kept in zip(*(b.column(c).to_pylist() for c in ("html", "wrapper", "kept")))]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract of all pages."""
     return extract(table(spark, sf_dir, "pages"))
