@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tremor.config import DEFAULT
 from tremor.functions import arrays as A
 from tremor.functions import labels as L
-from tremor.operators import features, scan, segment, spectrum, validate, windows
+from tremor.operators import checks, features, scan, segment, spectrum, validate, windows
 
 SCHEMA = "stream_id long, seq long, timestamp_ms double, accX_raw double, accY_raw double, accZ_raw double, accZ_filt double, label string"
 P = DEFAULT
@@ -145,3 +145,30 @@ def test_features_of_one_window(spark):
     assert abs(got.Kurtosis_Z - (np.mean(c**4) / np.mean(c**2) ** 2 - 3)) < 1e-9
     assert abs(got.Band_Power_Z_Low - (mag[(f >= 50) & (f < 80)] ** 2).sum()) < 1e-12
     assert abs(got.Band_Power_Z_High - (mag[(f >= 170) & (f <= 210)] ** 2).sum()) < 1e-12
+
+
+def test_long_gap_free_stream_and_text_ids(spark):
+    """One stream of 30 chunks without a gap beside one with gaps, under text ids: two-level segments, window numbers and class numbers."""
+    whole, gaps = recording(1, 3000), recording(2, 1200, "imbalanced")
+    gaps.loc[500:, "timestamp_ms"] += 50
+    gaps.loc[900:, "timestamp_ms"] += 50
+    samples = frame(spark, whole, gaps).withColumn("stream_id", F.concat(F.lit("rec/"), F.col("stream_id").cast("string"), F.lit(".csv")))
+    plain = segment.split_segments(samples).select("stream_id", "seq", "segment_id", "idx")
+    long = segment.split_long_streams(samples, chunk=100).select("stream_id", "seq", "segment_id", "idx")
+    assert sorted(map(tuple, long.collect())) == sorted(map(tuple, plain.collect()))
+    w = windows.sliding_windows(segment.split_segments(samples), 128, 64)
+    got = [(r.window_id, r.label, r.stream_id, r.segment_id, r.local_id) for r in windows.global_window_id(w).collect()]
+    order = {"healthy": 0, "imbalanced": 1}
+    assert [i for i, *_ in sorted(got)] == list(range(len(got))) and [x[1:] for x in sorted(got)] == sorted((x[1:] for x in got), key=lambda x: (order[x[0]], *x[1:]))
+    index = checks.window_index(w.select("label", "stream_id", "segment_id", "local_id"), ["stream_id", "segment_id", "local_id"]).collect()
+    for label in order:
+        own = sorted((r.window_index, r.stream_id, r.segment_id, r.local_id) for r in index if r.label == label)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+    z = whole["accZ_raw"].to_numpy()
+    want, y, before = [], 0.0, 0.0
+    for v in z:
+        y = 0.99 * (y + v - before)
+        before = v
+        want.append(y)
+    rows = scan.high_pass(samples, {"accZ_raw": "hp"}, 0.99, chunk=100).where("stream_id = 'rec/1.csv'").orderBy("seq").collect()
+    assert np.allclose([r.hp for r in rows], want)

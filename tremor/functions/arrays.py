@@ -16,6 +16,11 @@ def array_sum(x: Column, of=lambda v: v) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + of(v))
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value computed once for a row, also inside functions of elements."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def mean(x: Column) -> Column:
     return F.try_divide(array_sum(x), F.size(x))
 
@@ -25,7 +30,7 @@ def rms(x: Column) -> Column:
 
 
 def centered(x: Column) -> Column:
-    return F.transform(x, lambda v: v - mean(x))
+    return let(mean(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def crest_factor(centered: Column) -> Column:
@@ -75,7 +80,7 @@ def dominant_frequency(mag: Column, rate_hz: float, n: int) -> Column:
 
 
 def population_std(x: Column) -> Column:
-    return F.sqrt(array_sum(F.transform(x, lambda v: (v - mean(x)) * (v - mean(x)))) / F.size(x))
+    return let(mean(x), lambda m: F.sqrt(array_sum(x, lambda v: (v - m) * (v - m)) / F.size(x)))
 
 
 def weighted(mag: Column, of) -> Column:

@@ -187,6 +187,22 @@ FEATURE_SELECT = f"""bp AS (SELECT stream_id, local_id, {', '.join(f"{band('mag'
 SELECT {WINDOW_KEYS}, {r('rms_x')} AS "RMS_X", {r('rms_y')} AS "RMS_Y", {r('rms_z')} AS "RMS_Z", {r('low')} AS "Band_Power_Z_Low", {r('mid')} AS "Band_Power_Z_Mid", {r('high')} AS "Band_Power_Z_High", {r('crest')} AS "CrestFactor_Z", {r('kurt')} AS "Kurtosis_Z", label
 FROM tf JOIN bp USING (stream_id, local_id)"""
 
+LIVE_SCORES = f"""WITH RECURSIVE {LINES.replace('l AS (', 'l0 AS (', 1)},
+hp AS (
+  SELECT stream_id, seq, z, 0.9936::DOUBLE * z AS h FROM l0 WHERE seq = 0
+  UNION ALL SELECT l0.stream_id, l0.seq, l0.z, 0.9936::DOUBLE * (hp.h + l0.z - hp.z) FROM hp JOIN l0 ON l0.stream_id = hp.stream_id AND l0.seq = hp.seq + 1),
+l AS (SELECT l0.* EXCLUDE (zf), hp.h AS zf FROM l0 JOIN hp USING (stream_id, seq)),
+{WINDOWS.removeprefix(LINES + ',')}, {TIME}, {LINE_SPECTRUM}, {FEATURE_SELECT.partition('SELECT stream_id, segment_id')[0]},
+q AS (SELECT stream_id, local_id, sqrt(avg(zf * zf)) AS rms FROM w GROUP BY 1, 2),
+t AS (SELECT stream_id, local_id, rms, lag(rms) OVER (PARTITION BY stream_id ORDER BY local_id) AS before FROM q),
+ef AS (SELECT stream_id, local_id, coalesce(before > 0 AND abs(rms - before) / before > 0.05, false) AS is_transient,
+  {', '.join(f'{own} AS "{c}"' for own, c in zip(('rms_x', 'rms_y', 'rms_z', 'low', 'mid', 'high', 'crest', 'kurt'), FEATURES))}
+  FROM tf JOIN bp USING (stream_id, local_id) JOIN t USING (stream_id, local_id)),
+lg AS (SELECT *, {logits()} FROM ef),
+ex AS (SELECT *, exp(g0 - greatest(g0, g1, g2)) AS e0, exp(g1 - greatest(g0, g1, g2)) AS e1, exp(g2 - greatest(g0, g1, g2)) AS e2 FROM lg),
+pr AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM ex)
+SELECT stream_id, local_id, is_transient, {', '.join(f'{r(c)} AS "{c}"' for c in FEATURES)}, {BEST} AS prediction, {r('greatest(p0, p1, p2)')} AS confidence, 20 AS n_raw, {BEST} AS told FROM pr"""
+
 SQL: dict[str, str] = {
     "normalize_label": f"WITH {PATHS}, p AS (SELECT ' ' || upper(folder) AS raw, folder FROM paths) SELECT raw, {ALIAS_CASE.format('folder')} AS label, count(*) AS n FROM p GROUP BY 1, 2",
     "path_labels": f"""WITH {PATHS}, a AS (SELECT *, list_filter({CLASS_LIST}, lambda c: contains(stem, c)) AS named, list_distinct(list_transform(list_filter({ALIAS_LIST}, lambda c: contains(stem, c)), lambda c: {ALIAS_CASE.format('c')})) AS found FROM paths)
@@ -301,4 +317,6 @@ SQL: dict[str, str] = {
       q AS (SELECT stream_id, local_id, sqrt(avg(h * h)) AS rms, arg_min(h, seq) AS first FROM w0 GROUP BY 1, 2 HAVING count(*) = 128),
       p AS (SELECT *, lag(rms) OVER (PARTITION BY stream_id ORDER BY local_id) AS before FROM q)
       SELECT stream_id, local_id, local_id * 64 AS start_seq, {r('rms')} AS rms, coalesce(before > 0 AND abs(rms - before) / before > 0.05, false) AS is_transient, {r('first')} AS first, 128 AS n FROM p""",
+    "stream_scores": LIVE_SCORES,
 }
+SQL["stream_snapshot"] = SQL["latest_snapshot"]

@@ -460,7 +460,7 @@ def q_telemetry_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    latest = io.latest_snapshot(io.parse_telemetry(ad.telemetry_lines(spark, d)), "device", "event_id")
+    latest = io.latest_of_payloads(ad.telemetry_lines(spark, d), "device", "event_id")
     return latest.select("device", "event_id", F.col("message.inference.prediction").alias("prediction"), F.col("message.status.fan_state").alias("fan_state"))
 
 
@@ -532,18 +532,48 @@ def q_stream_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.parquet(log))
 
 
-def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Samples streamed in four batches through live windows with filter and transient state."""
-    from tremor.streaming.live import stream_windows
+def q_stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads written as files, and the latest of each device kept batch by batch."""
+    from tremor.streaming.live import snapshot, stream_snapshot
 
-    source, out, state = (new_path(spark, n) for n in ("live-samples", "live-windows", "live-state"))
-    samples = ad.line_samples(spark, d).select("stream_id", "seq", "accZ_raw")
+    source, path, state = (new_path(spark, n) for n in ("payloads", "live-snapshot", "live-state"))
+    ad.telemetry_lines(spark, d).repartition(4, "event_id").write.parquet(source)
+    stream_snapshot(spark.readStream.schema("device long, event_id long, payload string").option("maxFilesPerTrigger", 2).parquet(source), path, state, "device", "event_id").awaitTermination()
+    m = io.parse_telemetry(snapshot(spark, path))
+    return m.select("device", "event_id", F.col("message.inference.prediction").alias("prediction"), F.col("message.status.fan_state").alias("fan_state"))
+
+
+def streamed_quarters(spark: SparkSession, samples: DataFrame) -> DataFrame:
+    """A stream of samples in four batches: the quarters of each recording's real length."""
+    source, files = new_path(spark, "live-samples"), spark.sparkContext.defaultParallelism
     ends = samples.groupBy("stream_id").agg((F.max("seq") + 1).alias("n"))
     quarters = samples.join(ends, "stream_id").withColumn("quarter", F.floor(F.col("seq") * 4 / F.col("n")))
-    files = spark.sparkContext.defaultParallelism
     for i in range(4):  # files for each quarter of each recording, in order; a recording's rows of a quarter are in one file
         quarters.where(F.col("quarter") == i).select(samples.columns).repartition(files, "stream_id").write.mode("append").parquet(source)
-    stream = spark.readStream.schema("stream_id long, seq long, accZ_raw double").option("maxFilesPerTrigger", files).parquet(source)
-    query = stream_windows(stream, SIZE, ad.LINES.hop, 0.9936, 0.05).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rounded(spark.read.parquet(out).select("stream_id", "local_id", "start_seq", "rms", "is_transient", F.get("z", F.lit(0)).alias("first"), F.size("z").alias("n")))
+    return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", files).parquet(source)
+
+
+def written(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream has given when all of its source is read."""
+    out, state = new_path(spark, "live-rows"), new_path(spark, "live-state")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Samples streamed in four batches through live windows with filter and transient state."""
+    from tremor.streaming.live import stream_windows
+
+    samples = ad.line_samples(spark, d).select("stream_id", "seq", "accZ_raw")
+    rows = written(spark, stream_windows(streamed_quarters(spark, samples), SIZE, ad.LINES.hop, 0.9936, 0.05))
+    return rounded(rows.select("stream_id", "local_id", "start_seq", "rms", "is_transient", F.get("z", F.lit(0)).alias("first"), F.size("z").alias("n")))
+
+
+def q_stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of three axes streamed in four batches through live windows, features, scores and payloads."""
+    from tremor.streaming.live import stream_scores
+
+    samples = ad.line_samples(spark, d).select("stream_id", "seq", "accX_raw", "accY_raw", "accZ_raw")
+    rows = written(spark, stream_scores(streamed_quarters(spark, samples), rule_linear(features.FEATURES), SIZE, ad.LINES.hop, 0.9936, 0.05, ad.LINES))
+    message = F.from_json("payload", io.TELEMETRY)
+    return rounded(rows.select("stream_id", "local_id", "is_transient", *features.FEATURES, "prediction", "confidence", F.size(message["raw"]["ax"]).alias("n_raw"), message["inference"]["prediction"].alias("told")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.arrays import finite
+from tremor.operators.scan import running_number
 
 
 def check_features(df: DataFrame, features: list[str], expected_rows: int, dominant: str, most_hz: float = 100.0) -> DataFrame:
@@ -41,13 +42,10 @@ def class_balance(df: DataFrame) -> DataFrame:
 
 
 def window_index(df: DataFrame, order: list[str]) -> DataFrame:
-    """window_index: a running number from 0 in each class. Ranks within shares of the order come first, so a class is not one task's."""
-    share = F.floor(F.col(order[0]) / 1000).cast("long")
-    shared = df.withColumn("_share", share)
-    totals = shared.groupBy("label", "_share").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("label").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = F.row_number().over(Window.partitionBy("label", "_share").orderBy(*order)) - 1
-    return shared.withColumn("_inner", inner).join(totals.withColumn("_before", before).drop("_n"), ["label", "_share"]).withColumn("window_index", F.col("_inner") + F.col("_before")).drop("_share", "_inner", "_before")
+    """window_index: a running number from 0 in each class, in an order of columns of any type. Rows are numbered over ranges of (label, order), less the rows of the classes before."""
+    numbered = running_number(df.withColumn("_one", F.lit(1).cast("long")), ["label", *order], "_one", "_number").drop("_one")
+    first = numbered.groupBy("label").agg(F.min("_number").alias("_first"))  # a row for each class
+    return numbered.join(F.broadcast(first), numbered["label"].eqNullSafe(first["label"])).drop(first["label"]).withColumn("window_index", F.col("_number") - F.col("_first")).drop("_number", "_first")
 
 
 def clipping(df: DataFrame, axes: list[str], limit: float) -> DataFrame:

@@ -33,14 +33,29 @@ def join_spectra_windows(spectra: DataFrame, windows: DataFrame, keys: list[str]
     return spectra.join(windows, keys), spectra.join(windows, keys, "left_anti").select(*keys, F.lit("FAILED").alias("status"))
 
 
-def features(windows: DataFrame, keys: list[str], p: Sampling = DEFAULT, n: int | None = None) -> DataFrame:
-    """keys, the eight features and label of each window; everything comes from one row, so nothing is shuffled."""
+def with_features(windows: DataFrame, p: Sampling = DEFAULT, n: int | None = None) -> DataFrame:
+    """windows with mag and the eight features; everything comes from one row, so nothing is shuffled, and streams can be given too."""
     n = n or p.window
     rows = spectrum.spectra(windows)
     c = F.col("_centered")
     rows = rows.withColumn("_centered", A.centered(F.col("accZ_raw"))).withColumns(spectrum.band_columns(F.col("mag"), p.rate_hz, n))
     time = {"RMS_X": A.rms(F.col("accX_raw")), "RMS_Y": A.rms(F.col("accY_raw")), "RMS_Z": A.rms(F.col("accZ_raw")), "CrestFactor_Z": A.crest_factor(c), "Kurtosis_Z": A.kurtosis(c)}
-    return rows.withColumns(time).select(*keys, *FEATURES, "label")
+    return rows.withColumns(time).drop("_centered")
+
+
+def usable(windows: DataFrame, size: int) -> DataFrame:
+    """The windows that can have features: size samples whose three raw axes are finite."""
+    axes = ["accX_raw", "accY_raw", "accZ_raw"]
+    good: Column = F.lit(True)
+    for c in axes:
+        good = good & (F.size(c) == size) & F.forall(c, A.finite)
+    return windows.where(F.coalesce(good, F.lit(False)))
+
+
+def features(windows: DataFrame, keys: list[str], p: Sampling = DEFAULT, n: int | None = None) -> DataFrame:
+    """keys, the eight features and label of each usable window."""
+    n = n or p.window
+    return with_features(usable(windows, n), p, n).select(*keys, *FEATURES, "label")
 
 
 def feature_report(windows: DataFrame, keys: list[str], size: int, p: Sampling = DEFAULT) -> DataFrame:

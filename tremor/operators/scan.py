@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.sources.shared import new_path
+
 
 def running_sum(chunked: DataFrame, value: Column, name: str, keys: list[str]) -> DataFrame:
     """The running sum of value over keys in order of (chunk, seq): within chunks, plus the sums of the chunks before."""
@@ -31,38 +35,86 @@ def filtered(x: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
+def running_number(keys: DataFrame, order: list[str], count: str, name: str) -> DataFrame:
+    """keys with name: the sum of count over all rows before in order, which may have keys of any type.
+
+    Rows are sorted in ranges, stored with the number of their range, and summed within it; the sums of the ranges before come from a table of one row a range.
+    """
+    spark = keys.sparkSession
+    path = new_path(spark, "ranges")
+    keys.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum(count).alias("_n"))
+    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(before(Window.orderBy("_range"))), F.lit(0)).alias("_offset"))
+    inner = F.coalesce(F.sum(count).over(before(Window.partitionBy("_range").orderBy(*order))), F.lit(0))
+    return ranged.withColumn("_inner", inner).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_inner") + F.col("_offset")).drop("_range", "_inner", "_offset")
+
+
+def new_groups(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; the first row counts as a change."""
+    out = np.zeros(len(rows), bool)
+    for k in keys:
+        own, before = rows[k], rows[k].shift()
+        out |= ~((own == before) | (own.isna() & before.isna())).to_numpy(bool)
+    out[:1] = True
+    return out
+
+
 def high_pass(samples: DataFrame, columns: dict[str, str], alpha: float = 0.9936, chunk: int = 100_000, warmup: int = 0) -> DataFrame:
     """Each column of columns, high-passed under its new name, for each stream in order of seq from zero state; the first warmup rows only prime.
 
-    A stream is filtered in chunks from zero state. Row i of a chunk then lacks alpha**(i + 1) (y - x), y and x being the last output and input before
-    the chunk; these carries come from a fold over the table of chunk ends. seq must be dense.
+    A stream is filtered in chunks from zero state, many chunks one after the other in a task, and stored. Row i of a chunk then lacks alpha**(i + 1) (y - x), y and x being
+    the last output and input before the chunk; these carries come from a fold over the table of chunk ends. seq must be dense; stream_id may have any type.
     """
+    spark = samples.sparkSession
     chunked = samples.withColumn("chunk", F.floor(F.col("seq") / chunk).cast("long"))
     schema = f"{', '.join(f'`{n}` {t}' for n, t in chunked.dtypes)}, {', '.join(f'`{y}` double' for y in columns.values())}"
 
-    def local(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        for x, y in columns.items():
-            rows[y] = filtered(rows[x].to_numpy(float), alpha)
-        return rows
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, dict.fromkeys(columns, (0.0, 0.0))  # the row before, and the last input and output of its chunk
+        for rows in batches:
+            if rows.empty:
+                continue
+            goes_on = last is not None and not new_groups(pd.concat([last, rows.iloc[:1]]), ["stream_id", "chunk"])[1]
+            edges = np.append(np.flatnonzero(new_groups(rows, ["stream_id", "chunk"])), len(rows))
+            for x, y in columns.items():
+                own, out = rows[x].to_numpy(float), np.empty(len(rows))
+                for i, j in zip(edges, edges[1:]):
+                    out[i:j] = filtered(own[i:j], alpha)
+                    if i == 0 and goes_on:
+                        x0, y0 = state[x]
+                        out[i:j] += alpha ** np.arange(1, j + 1) * (y0 - x0)
+                rows[y], state[x] = out, (own[-1], out[-1])
+            last = rows.iloc[-1:]
+            yield rows
 
-    each = chunked.groupBy("stream_id", "chunk").applyInPandas(local, schema)
-    ends = each.groupBy("stream_id", "chunk").agg(F.count("*").alias("n"), *[F.max_by(c, "seq").alias(f"{c}_end") for both in columns.items() for c in both])
-    carry_schema = f"stream_id {dict(samples.dtypes)['stream_id']}, chunk long, {', '.join(f'`{y}_carry` double' for y in columns.values())}"
-
-    def carries(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        out = {"stream_id": rows["stream_id"].tolist(), "chunk": rows["chunk"].tolist()}
-        for x, y in columns.items():
-            carry, held = 0.0, []
-            for n, x_end, y_end in zip(rows["n"], rows[f"{x}_end"], rows[f"{y}_end"]):
-                held.append(carry)
-                carry = y_end + alpha**n * carry - x_end
-            out[f"{y}_carry"] = held
-        return pd.DataFrame(out)
+    def carries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, carry = None, dict.fromkeys(columns, 0.0)
+        for rows in batches:
+            if rows.empty:
+                continue
+            fresh = new_groups(rows, ["stream_id"])
+            fresh[0] = last is None or new_groups(pd.concat([last, rows.iloc[:1]]), ["stream_id"])[1]
+            last = rows.iloc[-1:]
+            decay = alpha ** rows["n"].to_numpy(float)
+            for x, y in columns.items():
+                held, now, ends = [], carry[x], (rows[f"{y}_end"] - rows[f"{x}_end"]).tolist()
+                for first, d, end in zip(fresh, decay, ends):
+                    now = 0.0 if first else now
+                    held.append(now)
+                    now = end + d * now
+                carry[x] = now
+                rows[f"{y}_carry"] = held
+            yield rows[["stream_id", "chunk", *[f"{y}_carry" for y in columns.values()]]]
 
+    path = new_path(spark, "filtered")
+    chunked.repartition("stream_id", "chunk").sortWithinPartitions("stream_id", "chunk", "seq").mapInPandas(local, schema).write.parquet(path)
+    each = spark.read.parquet(path)
+    ends = each.groupBy("stream_id", "chunk").agg(F.count("*").alias("n"), *[F.max_by(c, "seq").alias(f"{c}_end") for both in columns.items() for c in both])
     # a row for each chunk of a stream
-    carried = ends.groupBy("stream_id").applyInPandas(carries, carry_schema)
+    carry_schema = f"stream_id {dict(samples.dtypes)['stream_id']}, chunk long, {', '.join(f'`{y}_carry` double' for y in columns.values())}"
+    carried = ends.repartition("stream_id").sortWithinPartitions("stream_id", "chunk").mapInPandas(carries, carry_schema)
     place = F.col("seq") - F.col("chunk") * chunk
     whole = each.join(carried, ["stream_id", "chunk"])
     for y in columns.values():

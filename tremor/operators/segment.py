@@ -44,8 +44,14 @@ def split_long_streams(samples: DataFrame, p: Sampling = DEFAULT, chunk: int = 1
     dt = F.col("timestamp_ms") - F.coalesce(F.lag("timestamp_ms").over(within), F.col("t_before"))
     marked = chunked.join(ends, ["stream_id", "chunk"], "left").withColumn("is_break", F.coalesce((dt <= 0) | (dt > p.segment_gap_ms), F.lit(False)))
     numbered = running_sum(marked, F.col("is_break").cast("long"), "segment_id", ["stream_id"])
-    first = numbered.groupBy("stream_id", "segment_id").agg(F.min("seq").alias("first"))
-    return numbered.join(first, ["stream_id", "segment_id"]).withColumn("idx", F.col("seq") - F.col("first")).drop("first", "chunk", "t_before", "is_break")
+    # a segment begins at the last break so far: of the chunk, or else of the chunks before it
+    lasts = marked.groupBy("stream_id", "chunk").agg(F.max(F.when(F.col("is_break"), F.col("seq"))).alias("last"), F.min("seq").alias("least"))
+    before = Window.partitionBy("stream_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    start = Window.partitionBy("stream_id")
+    carried = lasts.select("stream_id", "chunk", F.coalesce(F.max("last").over(before), F.min("least").over(start)).alias("carried"))  # a row for each chunk of a stream
+    so_far = F.max(F.when(F.col("is_break"), F.col("seq"))).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    placed = numbered.join(carried, ["stream_id", "chunk"]).withColumn("idx", F.col("seq") - F.coalesce(so_far, F.col("carried")))
+    return placed.drop("carried", "chunk", "t_before", "is_break")
 
 
 def segment_report(segments: DataFrame, p: Sampling = DEFAULT) -> DataFrame:

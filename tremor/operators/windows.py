@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.config import AXES, CLASSES, DEFAULT, Sampling
+from tremor.operators.scan import running_number
 from tremor.operators.validate import no_nan
 
 KEYS = ["stream_id", "segment_id"]
@@ -84,17 +85,13 @@ def label_shortfall(windows: DataFrame, wanted: int) -> DataFrame:
 
 
 def global_window_id(windows: DataFrame) -> DataFrame:
-    """window_id from 0 over all windows in order of class, stream, segment and local_id, without sorting all in one task.
+    """window_id from 0 over all windows in order of class, stream (of any type), segment and local_id, without sorting all in one task.
 
-    Streams are counted first; a stream's offset is a running sum over the table of streams, itself summed by label and share of the id range.
+    Streams are counted first; a stream's offset is a running sum over the table of streams.
     """
     place = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label"))
     streams = windows.groupBy("label", "stream_id").agg(F.count("*").alias("n"), F.first(place).alias("place"))
-    share = F.floor(F.col("stream_id") / 1000).cast("long")
-    shares = streams.withColumn("share", share).groupBy("place", "share").agg(F.sum("n").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.orderBy("place", "share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each thousand streams
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("place", "share").orderBy("stream_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = streams.withColumn("share", share).withColumn("inner", inner).join(shares.withColumn("before", before).drop("total"), ["place", "share"]).select("label", "stream_id", (F.col("inner") + F.col("before")).alias("offset"))
+    offsets = running_number(streams, ["place", "stream_id"], "n", "offset").select("label", "stream_id", "offset")
     local = F.row_number().over(Window.partitionBy("label", "stream_id").orderBy("segment_id", "local_id")) - 1
     return windows.withColumn("local", local).join(offsets, ["label", "stream_id"]).withColumn("window_id", F.col("local") + F.col("offset")).drop("local", "offset")
 

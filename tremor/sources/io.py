@@ -91,8 +91,11 @@ fft struct<frequencies: array<double>, magnitudes: array<double>>, raw struct<ax
 
 
 def parse_telemetry(df: DataFrame, column: str = "payload") -> DataFrame:
-    """df with message: the parsed payloads that are JSON objects and have an inference; others are left out."""
-    return df.withColumn("message", F.from_json(column, TELEMETRY)).where(F.col("message.inference").isNotNull())
+    """df with message: the parsed payloads that are JSON objects and have an inference; others are left out.
+
+    The message comes out of a generator, so that a payload is parsed once however many of its fields are read.
+    """
+    return df.select("*", F.explode(F.array(F.from_json(column, TELEMETRY))).alias("message")).where(F.col("message.inference").isNotNull())
 
 
 def telemetry_to_log(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,6 +117,13 @@ def latest_snapshot(parsed: DataFrame, device: str, order: str) -> DataFrame:
     return parsed.groupBy(device).agg(F.max(order).alias(order), F.max_by(F.struct("message.*"), order).alias("message"))
 
 
+def latest_of_payloads(df: DataFrame, device: str, order: str, column: str = "payload") -> DataFrame:
+    """latest_snapshot of raw payloads: only whether a payload has an inference is read from all of them, and one payload a device is parsed whole."""
+    held = df.where(F.from_json(column, "inference struct<prediction: string>")["inference"].isNotNull())
+    last = held.groupBy(device).agg(F.max(order).alias(order), F.max_by(column, order).alias(column))
+    return parse_telemetry(last, column).drop(column)
+
+
 def history(log: DataFrame, order: str, n: int = 50) -> DataFrame:
     return log.orderBy(F.desc(order)).limit(n)
 

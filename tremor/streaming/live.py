@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tremor.config import DEFAULT, Sampling
+from tremor.operators.features import FEATURES, usable, with_features
+from tremor.operators.model import Linear, score_logreg
 from tremor.operators.scan import filtered
-from tremor.sources.io import parse_telemetry, telemetry_to_log
+from tremor.sources.io import latest_of_payloads, parse_telemetry, telemetry_to_log, to_telemetry_json
+from tremor.sources.shared import remove
 
 
 def stream_telemetry(source: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
@@ -20,38 +25,82 @@ def stream_telemetry(source: DataFrame, path: str, checkpoint: str, keys: list[s
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-WINDOW_ROWS = "stream_id long, local_id long, start_seq long, z array<double>, rms double, is_transient boolean"
 STATE = "n long, held array<double>, x double, y double, rms double, emitted long"
 
 
-def stream_windows(samples: DataFrame, size: int, hop: int, alpha: float | None = None, threshold: float = 0.5) -> DataFrame:
-    """Windows of size samples of accZ_raw of each stream_id, every hop once full, from a stream of (stream_id, seq, accZ_raw).
+def live_windows(samples: DataFrame, size: int, hop: int, axes: tuple[str, ...] = ("accX_raw", "accY_raw", "accZ_raw"), alpha: float | None = None, threshold: float = 0.5) -> DataFrame:
+    """Windows of size samples of each stream_id, every hop once full, from a stream of (stream_id, seq, axes): local_id, start_seq, an array for each axis, accZ_filt, rms and is_transient.
 
-    alpha high-passes the samples first. is_transient compares a window's RMS with the window before. The state of a stream is its last size - hop
+    accZ_filt is the last axis, high-passed if alpha is given; rms is its. is_transient compares it with the window before. The state of a stream is its last size - hop
     samples, the filter's last input and output and the last RMS, so results don't depend on how the stream is cut into batches. Rows of a batch are put in order
-    of seq.
+    of seq. stream_id may have any type.
     """
+    kind = dict(samples.dtypes)["stream_id"]
+    rows_schema = f"stream_id {kind}, local_id long, start_seq long, {', '.join(f'`{c}` array<double>' for c in (*axes, 'accZ_filt'))}, rms double, is_transient boolean"
+    names = ["stream_id", "local_id", "start_seq", *axes, "accZ_filt", "rms", "is_transient"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, held, x0, y0, rms, emitted = state.get if state.exists else (0, [], 0.0, 0.0, -1.0, 0)
         rows = pd.concat(list(batches)).sort_values("seq")
-        x = rows["accZ_raw"].to_numpy(float)
-        z = x
-        if alpha is not None and len(x):
+        fresh = np.stack([rows[c].to_numpy(float) for c in axes])
+        z = fresh[-1]
+        if alpha is not None and len(z):
             # from zero state, and then what the last input and output add
+            x = z
             z = filtered(x, alpha) + alpha ** np.arange(1, len(x) + 1) * (y0 - x0)
             x0, y0 = float(x[-1]), float(z[-1])
-        run = np.concatenate([np.asarray(held, float), z])
-        start, out = n - len(held), []
+        run = np.concatenate([np.asarray(held, float).reshape(len(axes) + 1, -1), np.vstack([fresh, z])], axis=1)
+        start, out = n - (run.shape[1] - len(z)), []
         n += len(z)
         at = emitted * hop
         while at + size <= n:
-            window = run[at - start : at - start + size]
-            now = float(np.sqrt(np.mean(window**2)))
-            out.append((key[0], emitted, at, window.tolist(), now, bool(rms > 0 and abs(now - rms) / rms > threshold)))
+            window = run[:, at - start : at - start + size]
+            now = float(np.sqrt(np.mean(window[-1] ** 2)))
+            out.append((key[0], emitted, at, *window.tolist(), now, bool(rms > 0 and abs(now - rms) / rms > threshold)))
             rms, emitted, at = now, emitted + 1, at + hop
-        state.update((n, run[max(0, min(at, n) - start) :].tolist(), x0, y0, rms, emitted))
+        state.update((n, run[:, max(0, min(at, n) - start) :].ravel().tolist(), x0, y0, rms, emitted))
         if out:
-            yield pd.DataFrame(out, columns=["stream_id", "local_id", "start_seq", "z", "rms", "is_transient"])
+            yield pd.DataFrame(out, columns=names)
+
+    return samples.select("stream_id", "seq", *axes).groupBy("stream_id").applyInPandasWithState(update, rows_schema, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_windows(samples: DataFrame, size: int, hop: int, alpha: float | None = None, threshold: float = 0.5) -> DataFrame:
+    """live_windows of accZ_raw alone: stream_id, local_id, start_seq, z (filtered), rms and is_transient."""
+    return live_windows(samples, size, hop, ("accZ_raw",), alpha, threshold).select("stream_id", "local_id", "start_seq", F.col("accZ_filt").alias("z"), "rms", "is_transient")
+
+
+def stream_scores(samples: DataFrame, model: Linear, size: int, hop: int, alpha: float | None = None, threshold: float = 0.5, p: Sampling = DEFAULT) -> DataFrame:
+    """stream_id, local_id, start_seq, is_transient, the eight features, prediction, confidence and payload (the telemetry message) of each live window.
+
+    The operators of the batch jobs, on the windows as they fill; windows with values that aren't finite are left out.
+    """
+    rows = with_features(usable(live_windows(samples, size, hop, alpha=alpha, threshold=threshold), size), p, size)
+    keys = ["stream_id", "local_id", "start_seq", "is_transient", *FEATURES, "prediction", "confidence"]
+    return to_telemetry_json(score_logreg(rows, model), keys, F.col("start_seq"), F.col("probabilities"))
+
+
+def stream_snapshot(source: DataFrame, path: str, checkpoint: str, device: str, order: str) -> StreamingQuery:
+    """Keeps the latest payload with an inference of each device of a stream (device, order, payload): each batch is merged with what stands and written as the next version below path.
+
+    snapshot reads the last whole version. A batch that is done again writes its version anew, from the version before it.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = latest_of_payloads(batch, device, order).select(device, order, F.to_json("message").alias("payload"))
+        if number:
+            latest = spark.read.parquet(f"{path}/version={number - 1}").unionByName(latest)
+        last = F.max_by(F.struct(order, "payload"), order)
+        latest.groupBy(device).agg(last.alias("last")).select(device, f"last.{order}", "last.payload").write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            remove(spark, f"{path}/version={number - 2}")
+
+    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return samples.select("stream_id", "seq", "accZ_raw").groupBy("stream_id").applyInPandasWithState(update, WINDOW_ROWS, STATE, "append", GroupStateTimeout.NoTimeout)
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version that stream_snapshot has written."""
+    every = spark.read.option("basePath", path).parquet(path)
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == last).drop("version")
