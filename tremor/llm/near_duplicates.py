@@ -215,6 +215,7 @@ def block_tasks(members: DataFrame) -> DataFrame:
     parts = lambda n, shingles: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(shingles / BLOCK_SHINGLES))
     mixed = roots.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("core"), F.max("n").alias("n"), F.max_by("shingles", F.struct("n", "root")).alias("shingles"), rest_of("n").alias("rest"), rest_of("shingles").alias("rest_shingles"))
     mixed = mixed.where("rest > 0").select("bucket", "core", parts(F.col("n"), F.col("shingles")).alias("cores"), parts(F.col("rest"), F.col("rest_shingles")).alias("rests"))
+    mixed = stored(mixed, "mixed")  # so that Spark can split the join at a bucket of many members
     placed = members.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("root") == F.col("core"), F.col("cores")).otherwise(F.col("rests"))))
     task = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
     # blocks of the rest are 0, 1, ..., those of the core -1, -2, ...
