@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.jobs import queries
+from tremor.operators import validate
 from tremor.sources import adapters as ad
 from tremor.sources import io
 from tremor.streaming import live
@@ -79,3 +80,33 @@ def test_long_recordings_are_streamed_whole(spark, tmp_path):
     got = {r.stream_id: r["count"] for r in queries.q_stream_windows(spark, str(tmp_path)).groupBy("stream_id").count().collect()}
     assert sizes[99] == 1500
     assert got == {k: (n - queries.SIZE) // ad.LINES.hop + 1 for k, n in sizes.items() if n >= queries.SIZE}
+
+
+def test_raw_files_to_report(spark, tmp_path):
+    """Files of other column orders, without a column or a label column, with a repeated header, and with the class in their name alone."""
+    names = "timestamp_ms,accX_raw,accY_raw,accZ_raw,accZ_filt,label".split(",")
+    row = lambda i, label: dict(zip(names, [str(2.0 * i), "0.1", "0.2", "1.0", "0.05", label]))
+
+    def write(name, columns, label, n=1200, again=None):
+        lines = [",".join(columns)] + [",".join(row(i, label)[c] for c in columns) for i in range(n)]
+        if again:
+            lines.insert(again, lines[0])
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+
+    write("a.csv", names, "Normal")
+    write("b.csv", names[::-1], "healthy")
+    write("c.csv", [c for c in names if c != "accY_raw"], "healthy")
+    write("d.csv", names, "healthy", again=5)
+    write("obstruction_1.csv", names[:-1], "")
+    write("e.csv", names[:-1], "")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "note.txt").write_text("no recording")
+    text = io.read_samples(spark, str(tmp_path))
+    report = validate.validate(io.as_samples(text), "real", missing=io.header_report(spark, str(tmp_path)), stem_label=io.stem_labels(text))
+    got = {r.stream_id.rsplit("/", 1)[1]: r for r in report.collect()}
+    assert set(got) == {"a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "obstruction_1.csv"}
+    assert got["a.csv"].status == "WARNING" and got["a.csv"].reasons == ["label_normalized_to_healthy"] and got["b.csv"].status == "PASS"
+    assert got["c.csv"].reasons == ["missing_required_columns: accY_raw"] and got["d.csv"].reasons[0] == "duplicated_header_rows_detected"
+    assert got["obstruction_1.csv"].label == "obstruction" and got["e.csv"].status == "FAIL"
+    listed = {r.file.rsplit("/", 1)[1]: r.reason for r in io.list_incoming(spark, str(tmp_path)).collect()}
+    assert listed["empty.csv"] == "empty_file" and listed["note.txt"] == "not_csv_file" and listed["a.csv"] == "ok"

@@ -59,10 +59,15 @@ def features(windows: DataFrame, keys: list[str], p: Sampling = DEFAULT, n: int
 
 
 def feature_report(windows: DataFrame, keys: list[str], size: int, p: Sampling = DEFAULT) -> DataFrame:
-    """keys, status (OK, WARNING or FAILED), n_bins, freq_min, freq_max and warnings as text."""
-    quality = window_quality(windows, [*keys, F.col("label")], size)
+    """keys, label, status (OK, WARNING or FAILED), n_bins, freq_min and freq_max as measured, and the warnings of the window and of its spectrum as text."""
+    n = F.size("accZ_filt")
+    freq = F.transform(F.sequence(F.lit(0), F.size("mag") - 1), lambda k: k * (F.lit(p.rate_hz) / n))
+    rows = spectrum.spectra(windows).withColumn("_freq", F.when(F.size("mag") > 0, freq))
+    found = spectrum.spectrum_warnings(F.col("_freq"), F.col("mag"), size // 2 + 1, p.rate_hz / 2)
+    extra = [F.col("label"), F.size("mag").alias("n_bins"), F.array_min("_freq").alias("freq_min"), F.array_max("_freq").alias("freq_max"), F.coalesce(found, F.array()).alias("found")]
+    quality = window_quality(rows, [*keys, *extra], size).withColumn("warnings", F.concat("warnings", "found"))
     status = F.when(~F.col("usable"), "FAILED").when(F.size("warnings") > 0, "WARNING").otherwise("OK")
-    return quality.select(*keys, "label", status.alias("status"), F.lit(size // 2 + 1).alias("n_bins"), F.lit(0.0).alias("freq_min"), F.lit(p.rate_hz / 2).alias("freq_max"), F.array_join("warnings", " | ").alias("warnings"))
+    return quality.select(*keys, "label", status.alias("status"), "n_bins", "freq_min", "freq_max", F.array_join("warnings", " | ").alias("warnings"))
 
 
 def missing_per_column(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,40 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tremor.config import CLASSES, VALUES
-from tremor.functions.labels import to_number
+from tremor.functions.labels import label_from_stem, to_number
 
 #: Texts that count as missing in recordings.
 MISSING = ("", "na", "n/a", "nan", "null", "none", "<na>", "#n/a", "-nan")
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """file and header, its first line, of every CSV file below path that has one. Only one line of a file is looked at beyond its split."""
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, value, and block and id, which give their order, of every line that isn't blank of the CSV files below path."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).where(F.trim("value") != "")
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """file and names, the columns in its first line, of every file of csv_lines. Aggregated in tasks; no list of files comes to the driver."""
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    return first.select("file", cells(F.regexp_replace("header", "^\ufeff", "")).alias("names"))
+
+
+def cells(line: Column) -> Column:
+    """The cells of a line, trimmed and without the quotes around them; cells of recordings have no commas inside."""
+    return F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV file below path as a stream: stream_id (the file), seq (its row order) and all columns as text.
 
-    Files are read in groups of the same header, since a schema is matched by position; missing columns are null. Of two columns of one name the first is taken.
+    Cells are placed by their own file's header, so files may have other columns or another order; missing columns and empty cells are null. Of two columns of one name the first is
+    taken. Only the distinct names of columns come to the driver.
     """
-    groups = headers(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).collect()  # a row for each kind of header
-    whole = None
-    for g in groups:
-        names = [c.strip().lstrip("﻿") for c in g.header.split(",")]
-        own = [c if c and c not in names[:i] else f"_{i}" for i, c in enumerate(names)]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in own])
-        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(g.files)
-        rows = rows.select("*", F.col("_metadata.file_path").alias("stream_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
-    if whole is None:
+    lines = csv_lines(spark, path)
+    own = headers(lines)
+    names = [r.name for r in own.select(F.explode("names").alias("name")).where("name <> ''").distinct().orderBy("name").collect()]
+    if not names:
         return spark.createDataFrame([], "stream_id string, seq long")
-    seq = F.row_number().over(Window.partitionBy("stream_id").orderBy("_block", "_id")).cast("long") - 1
-    return whole.withColumn("seq", seq).drop("_block", "_id")
+    seq = F.row_number().over(Window.partitionBy("file").orderBy("block", "id")).cast("long") - 2  # the header has -1
+    rows = lines.withColumn("seq", seq).where("seq >= 0").join(own, "file").withColumn("cells", cells(F.col("value")))
+    cell = lambda c: F.nullif(F.get("cells", F.array_position("names", c).cast("int") - 1), F.lit(""))
+    return rows.select(*[F.when(F.array_contains("names", c), cell(c)).alias(c) for c in names if c not in ("stream_id", "seq")], F.col("file").alias("stream_id"), "seq")
+
+
+def header_report(spark: SparkSession, path: str) -> DataFrame:
+    """stream_id, missing_columns (those that validate needs and the file lacks, joined by ', '; null if none) and repeated_header of every CSV file below path that has a line: what validate takes as missing."""
+    text = read_samples(spark, path)
+    lacking = F.array_except(F.array(*map(F.lit, VALUES)), "names")
+    found = headers(csv_lines(spark, path)).select(F.col("file").alias("stream_id"), F.when(F.size(lacking) > 0, F.array_join(lacking, ", ")).alias("missing_columns"))
+    return found.join(header_rows(text), "stream_id", "left").withColumn("repeated_header", F.coalesce("repeated_header", F.lit(False)))
+
+
+def stem_labels(text: DataFrame) -> DataFrame:
+    """stream_id and stem_label, the class in a file's name, of each stream of read_samples: what validate takes for streams without labels."""
+    return text.select("stream_id").distinct().select("stream_id", label_from_stem(F.col("stream_id")).alias("stem_label"))
 
 
 def as_samples(text: DataFrame) -> DataFrame:
@@ -56,9 +75,11 @@ def header_rows(text: DataFrame) -> DataFrame:
 
 
 def list_incoming(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes, rows, status and reason of every file below path: other files than CSV and files without rows FAIL."""
+    """file, bytes, rows, status and reason of every file below path: other files than CSV and files without rows FAIL.
+
+    Scans leave out files of no bytes; the names come from the reader's own index of files, which Spark holds in the driver for any read.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    # scans leave out files of no bytes; the reader's own index of files has them
     names = spark.createDataFrame([(f,) for f in listed.inputFiles()], "file string")
     rows = read_samples(spark, path).groupBy(F.col("stream_id").alias("file")).agg(F.count("*").alias("rows"))
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")  # noqa: E731  the two readers write schemes differently
