@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, encoded documents out.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next stage's docs. All but
-the last give the columns of docs.
+the last give the columns of docs, whatever their names. Null texts count as empty; null doc_ids are keys like others, rows that repeat are
+judged each (and near_duplicates keeps one of them); an empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ LEAST_SHARE = 0.4
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects. It learns from labelled rows of the documents at hand."""
+    """Without the documents that the quality classifier rejects. It learns from labelled rows of the documents at hand; without both labels all are kept.
+
+    An empty text has the score of no text, which decides like any other.
+    """
     ranking = quality.fit(docs, table(spark, sf_dir, "labels").where(~fold_is(5, 0)))
     return docs.where(quality.score_of(ranking)(F.col("text")) >= quality.CUT)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are in none of the learned languages."""
+    """Without the documents that are in none of the learned languages, those without a letter (empty ones too) among them. If no document has a language, none is kept."""
     langs, masks = language_id.learn(docs.where(~fold_is(4, 2)))
     verdict = language_id.verdict_of(spark, langs, masks)(F.col("text"))
     return docs.where((verdict["lang_pred"] != "und") & (verdict["score"] >= LEAST_SHARE))
@@ -35,12 +39,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that contain an item of the benchmark."""
+    """Without the documents that contain an item of the benchmark. Rows that repeat a doc_id go together; an empty benchmark takes none."""
     return contamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded again."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded again; an empty text has no tokens."""
     return byte_bpe.round_trip(docs)
 
 

@@ -533,3 +533,14 @@ def test_queries_and_pipeline(spark):
     last = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, steps[-1], DIR).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert set(last) == ids[-1] and all(r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest() for i, r in last.items())
+
+
+def test_stages_on_odd_tables(spark, docs, none):
+    """Null keys and texts, ties, repeats, clashing columns and an empty table go through every stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        assert name == "byte_bpe" or out.columns == docs.columns
+        assert out.count() <= docs.count() and (name != "byte_bpe" or out.count() == docs.count())
+        assert stage(spark, none, DIR).count() == 0
