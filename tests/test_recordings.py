@@ -104,6 +104,37 @@ def test_windows_are_whole(spark, size, hop):
     assert all(r.timestamp_ms == [2.0 * (r.start_idx + i) for i in range(size)] for r in w)
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
+def test_windows_of_a_long_segment_do_not_depend_on_chunks(spark, chunk):
+    samples = segment.split_segments(frame(spark, recording(0, 403), recording(1, 17)))
+    plain = [windows.sliding_windows(samples, 16, 4).collect(), windows.validate_segments(samples).collect()]
+    dealt = [windows.sliding_windows(samples, 16, 4, chunk).collect(), windows.validate_segments(samples, chunk=chunk).collect()]
+    for a, b in zip(plain, dealt):
+        assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_segment_checks_see_the_edges_of_chunks(spark):
+    n = DEFAULT.window
+    still, gap, mixed = (recording(i, n) for i in range(3))
+    still.loc[10, "timestamp_ms"] = still.loc[9, "timestamp_ms"]
+    gap.loc[20:, "timestamp_ms"] += 500
+    mixed.loc[30:, "label"] = "imbalanced"
+    rows = frame(spark, still, gap, mixed).withColumns({"segment_id": F.lit(0).cast("long"), "idx": F.col("seq")})
+    got = {r.stream_id: r.reason for r in windows.validate_segments(rows, chunk=10).collect()}
+    assert got == {0: "non_increasing_timestamps", 1: "large_timestamp_gaps", 2: "mixed_labels"}
+
+
+def test_segment_precheck(spark):
+    named, late, blank = recording(0, 5, " NORMAL "), recording(1, 5), recording(2, 5, None)
+    late.loc[1:, "label"] = "broken"
+    late.loc[0, "label"] = "imbalanced"
+    missing = spark.createDataFrame([(0, None), (1, None), (2, "accX_raw"), (3, None), (4, "label")], "stream_id long, missing_columns string")
+    samples = frame(spark, named, late, blank)
+    assert {r.stream_id: r.reason for r in segment.segment_precheck(samples).collect()} == {0: "ok", 1: "ok", 2: "no_label"}
+    want = {0: "ok", 1: "ok", 2: "missing_columns: accX_raw", 3: "empty_input", 4: "empty_input"}
+    assert {r.stream_id: r.reason for r in segment.segment_precheck(samples, missing).collect()} == want
+
+
 @pytest.mark.parametrize("chunk", [3, 50, 1000])
 def test_high_pass_does_not_depend_on_chunks(spark, chunk):
     df = recording(0, 333)

@@ -233,7 +233,7 @@ SQL: dict[str, str] = {
     "route": f"""WITH {LINES}, n AS (SELECT stream_id, count(*) AS samples, stream_id % 3 = 0 AS warned FROM l GROUP BY stream_id)
       SELECT flag AS accept_warnings, side, coalesce(CAST(sum(samples) AS BIGINT), 0) AS samples, count(samples) AS streams
       FROM (SELECT unnest([false, true]) AS flag), (SELECT unnest(['accepted', 'rejected']) AS side) LEFT JOIN n ON (side = 'accepted') = (flag OR NOT warned) GROUP BY 1, 2""",
-    "segment_report": f"""WITH {SEGMENTS} SELECT stream_id, segment_id, label, samples, {r('start_ms', 3)} AS start_ms, {r('end_ms', 3)} AS end_ms, status, reason,
+    "segment_report": f"""WITH {SEGMENTS} SELECT stream_id, segment_id, label, samples, {r('start_ms', 3)} AS start_ms, {r('end_ms', 3)} AS end_ms, status, reason, {r('samples / (1000 / 26e6)', 3)} AS duration_s,
         CASE WHEN status = 'KEPT' THEN CAST(count_if(status = 'KEPT') OVER (PARTITION BY stream_id ORDER BY segment_id) - 1 AS BIGINT) END AS kept_segment_id FROM report""",
     "split_long_streams": f"WITH {SEGMENTS} SELECT stream_id, segment_id, count(*) AS samples, min(seq) AS first, max(idx) AS last_idx FROM si GROUP BY 1, 2",
     "kept_samples": f"WITH {SEGMENTS} SELECT stream_id, count(*) AS n, {r('sum(x)', 4)} AS x FROM si JOIN report USING (stream_id, segment_id) WHERE status = 'KEPT' GROUP BY stream_id",
@@ -293,6 +293,8 @@ SQL: dict[str, str] = {
     "stratified_split": f"WITH {EMB_FEATURES}, {SPLIT} SELECT vec_id, label, is_test FROM sp",
     "scaled_features": f"WITH {EMB_FEATURES}, {SPLIT}, sc AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(FEATURES)) + " FROM sp WHERE NOT is_test) SELECT vec_id, " + ", ".join(f'{r(f"({c} - m{i}) / s{i}")} AS "{c}"' for i, c in enumerate(FEATURES)) + " FROM sp, sc",
     "encode_labels": f"WITH {EMB_FEATURES} SELECT label, list_position({CLASS_LIST}, label)::BIGINT - 1 AS code, label AS decoded, count(*) AS n FROM ef GROUP BY 1, 2, 3",
+    "model_table_of_scaler": f"WITH {EMB_FEATURES}, sc AS (" + " UNION ALL ".join(f"SELECT {j} AS j, '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std FROM ef" for j, c in enumerate(FEATURES)) + f""") SELECT c AS label, {r('CAST([0.1, -0.2, 0.05][i + 1] AS FLOAT)::DOUBLE')} AS bias, feature, {r('mean::FLOAT::DOUBLE')} AS mean, {r('std::FLOAT::DOUBLE')} AS std, {r('cos(5 * i + j)::FLOAT::DOUBLE')} AS weight
+      FROM sc, (SELECT unnest({CLASS_LIST}) AS c, unnest(range(3)) AS i) k""",
     "score_logreg": f"WITH {SOFTMAX} {SCORES}",
     "score_sigmoid": f"WITH {SIGMOID} {SCORES}",
     "score_mlp": f"WITH {dense()} {SCORES}",

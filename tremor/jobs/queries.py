@@ -166,7 +166,7 @@ def q_route(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_segment_report(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(segment.segment_report(event_segments(spark, d), ad.EVENTS).drop("duration_s"), 3)
+    return rounded(segment.segment_report(event_segments(spark, d), ad.EVENTS), 3)
 
 
 def q_split_long_streams(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +186,8 @@ def q_segment_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def q_segment_precheck(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("stream_id") % 5
-    label = F.when(kind == 1, F.lit(None)).when(kind == 2, "broken").otherwise(F.col("label"))
+    # the first row's label counts, by its alias
+    label = F.when(kind == 1, F.lit(None)).when(kind == 2, "broken").when((kind == 0) & (F.col("seq") > 0), "broken").when(kind == 4, " Normal ").otherwise(F.col("label"))
     samples = ad.event_samples(spark, d).withColumn("label", label).withColumn("accX_raw", F.when(kind != 3, F.col("accX_raw")))
     return segment.segment_precheck(samples)
 
@@ -420,19 +421,25 @@ def q_score_mlp(spark: SparkSession, d: str) -> DataFrame:
 def q_fit_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Trains on the training share and reports on the rest: no SQL gives an optimizer's weights."""
     split = model.stratified_split(model.clean_features(ad.embedding_features(spark, d), list(ad.FEATURES)), "vec_id")
-    fitted = model.fit_logreg(split.where("NOT is_test"), list(ad.FEATURES), iterations=200)
+    fitted = model.fit_logreg(split.where("NOT is_test"), list(ad.FEATURES))
     return rounded(model.classification_report(model.score_logreg(split.where("is_test"), fitted), list(CLASSES)), 4)
 
 
 def q_model_table(spark: SparkSession, d: str) -> DataFrame:
     split = model.stratified_split(ad.embedding_features(spark, d), "vec_id")
-    return model.model_table(spark, model.fit_logreg(split.where("NOT is_test"), list(ad.FEATURES), iterations=50))
+    return model.model_table(spark, model.fit_logreg(split.where("NOT is_test"), list(ad.FEATURES)))
+
+
+def q_model_table_of_scaler(spark: SparkSession, d: str) -> DataFrame:
+    """The parameter table of a scaler fitted to all rows, with weights by a rule."""
+    rule = rule_linear(ad.FEATURES)
+    return rounded(model.model_table(spark, model.Linear(model.fit_scaler(ad.embedding_features(spark, d), list(ad.FEATURES)), rule.weights, rule.bias, rule.labels)))
 
 
 def q_fit_mlp(spark: SparkSession, d: str) -> DataFrame:
     """Trains the dense classifier and counts its predictions on the rest."""
     split = model.stratified_split(ad.embedding_features(spark, d), "vec_id")
-    scaler, fitted, labels = model.fit_mlp(split.where("NOT is_test"), list(ad.FEATURES), iterations=60)
+    scaler, fitted, labels = model.fit_mlp(split.where("NOT is_test"), list(ad.FEATURES))
     predicted = fitted.transform(model.vectors(scaler.apply(split.where("is_test")), list(ad.FEATURES), labels))
     return predicted.groupBy(model.decode(F.col("label"), labels).alias("label"), model.decode(F.col("prediction"), labels).alias("predicted")).agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.config import CLASSES, DEFAULT, VALUES, Sampling
+from tremor.functions.labels import normalize_label
 from tremor.operators.scan import running_sum
 from tremor.operators.validate import in_order, no_nan
 
@@ -73,11 +74,18 @@ def segment_summary(report: DataFrame) -> DataFrame:
     return report.groupBy("label", "status").agg(F.count("*").alias("segments"))
 
 
-def segment_precheck(samples: DataFrame) -> DataFrame:
-    """stream_id, status and reason of streams that can't be segmented; others are OK."""
+def segment_precheck(samples: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """stream_id, status and reason of streams that can't be segmented; others are OK. A stream's label is that of its first row, aliases resolved.
+
+    missing (stream_id, missing_columns), as the reader's report of headers gives it, adds recordings that lack a column and those without a row.
+    """
     valid = F.lit(True)
     for c in VALUES:
         valid = valid & no_nan(c).isNotNull()
-    facts = samples.groupBy("stream_id").agg(F.count_if(valid).alias("numeric"), F.min("label").alias("label"))
-    reason = F.when(F.col("label").isNull(), "no_label").when(~F.col("label").isin(*CLASSES), "invalid_label").when(F.col("numeric") == 0, "no_numeric_rows").otherwise("ok")
+    facts = samples.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(valid).alias("numeric"), normalize_label(F.min_by("label", "seq")).alias("label"))
+    facts = facts.join(missing.select("stream_id", "missing_columns"), "stream_id", "full_outer") if missing is not None else facts.withColumn("missing_columns", F.lit(None).cast("string"))
+    reason = (
+        F.when(F.col("n").isNull(), "empty_input").when(F.col("missing_columns").isNotNull(), F.concat(F.lit("missing_columns: "), "missing_columns"))
+        .when(F.col("label").isNull(), "no_label").when(~F.col("label").isin(*CLASSES), "invalid_label").when(F.col("numeric") == 0, "no_numeric_rows").otherwise("ok")
+    )
     return facts.select("stream_id", F.when(reason == "ok", "OK").otherwise("FAILED").alias("status"), reason.alias("reason"))

@@ -13,19 +13,29 @@ KEYS = ["stream_id", "segment_id"]
 ARRAYS = ["timestamp_ms", *AXES]
 
 
-def validate_segments(segments: DataFrame, p: Sampling = DEFAULT) -> DataFrame:
-    """stream_id, segment_id, status and reason: whether a whole segment may be cut into windows."""
-    dt = no_nan("timestamp_ms") - F.lag(no_nan("timestamp_ms")).over(Window.partitionBy(*KEYS).orderBy("idx"))
+def validate_segments(segments: DataFrame, p: Sampling = DEFAULT, chunk: int = 1_000_000) -> DataFrame:
+    """stream_id, segment_id, status and reason: whether a whole segment may be cut into windows.
+
+    A segment is checked in chunks of rows, whose ends meet over the small table of chunks, so a long one is not one task's.
+    """
     numeric = F.lit(True)
     for c in AXES:
         numeric = numeric & no_nan(c).isNotNull()
-    own = F.lower(F.trim("label"))
-    facts = segments.withColumn("dt", dt).groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.count_if(no_nan("timestamp_ms").isNull()).alias("no_time"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.count_if(~numeric).alias("bad"), F.count_distinct(own).alias("labels"), F.min(own).alias("label")
+    own, t = F.lower(F.trim("label")), no_nan("timestamp_ms")
+    chunked = segments.withColumn("chunk", F.floor(F.col("idx") / chunk).cast("long"))
+    dt = t - F.lag(t).over(Window.partitionBy(*KEYS, "chunk").orderBy("idx"))
+    parts = chunked.withColumn("dt", dt).groupBy(*KEYS, "chunk").agg(
+        F.count("*").alias("n"), F.count_if(t.isNull()).alias("no_time"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.count_if(~numeric).alias("bad"), F.min(own).alias("label"), F.max(own).alias("last_label"),
+        F.min_by(t, "idx").alias("first_t"), F.max_by(t, "idx").alias("last_t"),
+    )
+    edges = parts.withColumn("edge", F.col("first_t") - F.lag("last_t").over(Window.partitionBy(*KEYS).orderBy("chunk")))
+    facts = edges.groupBy(*KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("n", "no_time", "bad")], F.min(F.least("min_dt", "edge")).alias("min_dt"), F.max(F.greatest("max_dt", "edge")).alias("max_dt"), F.min("label").alias("label"), F.max("last_label").alias("last_label")
     )
+    one_label = F.coalesce(F.col("label") == F.col("last_label"), F.lit(False))
     reason = (
         F.when(F.col("n") < p.window, "too_short").when(F.col("no_time") > 0, "non_numeric_timestamps").when(F.col("min_dt") <= 0, "non_increasing_timestamps").when(F.col("max_dt") > p.segment_gap_ms, "large_timestamp_gaps")
-        .when(F.col("bad") > 0, "non_numeric_sensor_values").when(F.col("labels") != 1, "mixed_labels").when(~F.col("label").isin(*CLASSES), "invalid_label").otherwise("valid")
+        .when(F.col("bad") > 0, "non_numeric_sensor_values").when(~one_label, "mixed_labels").when(~F.col("label").isin(*CLASSES), "invalid_label").otherwise("valid")
     )
     return facts.select(*KEYS, F.when(reason == "valid", "OK").otherwise("FAILED").alias("status"), reason.alias("reason"))
 
@@ -36,18 +46,24 @@ def _arrays(names: list[str]) -> list:
     return [rows[c].alias(c) for c in names]
 
 
-def sliding_windows(segments: DataFrame, size: int, hop: int) -> DataFrame:
+def sliding_windows(segments: DataFrame, size: int, hop: int, chunk: int = 4096) -> DataFrame:
     """Complete windows of size samples at 0, hop, ... of each segment: local_id, start_idx, label and an array for each column.
 
-    Samples are grouped once into blocks of hop, and a window joins its block with the next ones, so no row is doubled. size must be a multiple of hop.
+    Samples are grouped once into blocks of hop, and a window joins its block with the next ones, so no row is doubled. A long segment is dealt out by
+    chunks of blocks; the first blocks of a chunk are also lent to the one before it. size must be a multiple of hop.
     """
     if size % hop:
         raise ValueError("size must be a multiple of hop")
+    ahead = size // hop - 1
+    chunk = max(chunk, ahead)
     blocks = segments.groupBy(*KEYS, F.floor(F.col("idx") / hop).cast("long").alias("local_id")).agg(F.min_by("label", "idx").alias("label"), *_arrays(ARRAYS))
-    order = Window.partitionBy(*KEYS).orderBy("local_id")
-    joined = [F.concat(F.col(c), *[F.coalesce(F.lead(c, i).over(order), F.array().cast("array<double>")) for i in range(1, size // hop)]).alias(c) for c in ARRAYS]
-    windows = blocks.select(*KEYS, "local_id", (F.col("local_id") * hop).alias("start_idx"), "label", *joined)
-    return windows.where(F.size("timestamp_ms") == size)
+    own = F.floor(F.col("local_id") / chunk).cast("long")
+    lent = (own > 0) & (F.col("local_id") % chunk < ahead)
+    dealt = blocks.withColumn("chunk", F.explode(F.when(lent, F.array(own, own - 1)).otherwise(F.array(own))))
+    order = Window.partitionBy(*KEYS, "chunk").orderBy("local_id")
+    joined = [F.concat(F.col(c), *[F.coalesce(F.lead(c, i).over(order), F.array().cast("array<double>")) for i in range(1, ahead + 1)]).alias(c) for c in ARRAYS]
+    windows = dealt.select(*KEYS, "chunk", "local_id", (F.col("local_id") * hop).alias("start_idx"), "label", *joined)
+    return windows.where((own == F.col("chunk")) & (F.size("timestamp_ms") == size)).drop("chunk")
 
 
 def tumbling_windows(segments: DataFrame, size: int) -> DataFrame:
