@@ -60,6 +60,24 @@ def test_clean_recordings_pass_and_faults_fail(spark):
     assert real[2] == "WARNING" and real[4] == "FAIL"
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_intervals_do_not_depend_on_chunks(spark, chunk):
+    """Chunks are met at their ends, also where a time is missing there or where seq has holes."""
+    odd = fault("jump", 1).iloc[:200].copy()
+    odd.loc[[6, 7, 21], "timestamp_ms"] = math.nan
+    holes = fault("jitter", 2).iloc[:300].copy()
+    holes["seq"] = holes["seq"] * 5
+    samples = frame(spark, odd, holes)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    t = {k: df["timestamp_ms"].tolist() for k, df in (("odd", odd), ("holes", holes))}
+    got = {r.stream_id: r for r in validate.dt_profile(samples, P, chunk).collect()}
+    for i, k in ((1, "odd"), (2, "holes")):
+        dt = np.diff(np.array(t[k]))
+        dt = dt[~np.isnan(dt)]
+        assert abs(got[i].mean_dt_ms - dt.mean()) < 1e-9 and abs(got[i].std_dt_ms - dt.std(ddof=1)) < 1e-9 and (got[i].min_dt_ms, got[i].max_dt_ms) == (dt.min(), dt.max())
+    assert rows(validate.timing_faults(samples, P, chunk)) == rows(validate.timing_faults(samples, P))
+
+
 def test_odd_recordings(spark):
     one = recording(0, 1)
     bad = recording(1, 10)
@@ -188,7 +206,7 @@ def test_long_gap_free_stream_and_text_ids(spark):
     long = segment.split_long_streams(samples, chunk=100).select("stream_id", "seq", "segment_id", "idx")
     assert sorted(map(tuple, long.collect())) == sorted(map(tuple, plain.collect()))
     w = windows.sliding_windows(segment.split_segments(samples), 128, 64)
-    got = [(r.window_id, r.label, r.stream_id, r.segment_id, r.local_id) for r in windows.global_window_id(w).collect()]
+    got = [(r.window_id, r.label, r.stream_id, r.segment_id, r.local_id) for r in windows.global_window_id(w, chunk=5).collect()]
     order = {"healthy": 0, "imbalanced": 1}
     assert [i for i, *_ in sorted(got)] == list(range(len(got))) and [x[1:] for x in sorted(got)] == sorted((x[1:] for x in got), key=lambda x: (order[x[0]], *x[1:]))
     index = checks.window_index(w.select("label", "stream_id", "segment_id", "local_id"), ["stream_id", "segment_id", "local_id"]).collect()

@@ -22,6 +22,19 @@ def running_sum(chunked: DataFrame, value: Column, name: str, keys: list[str]) -
     return rows.join(offsets, [*keys, "chunk"]).withColumn(name, F.sum("_value").over(within) + F.col("_offset")).drop("_value", "_offset")
 
 
+def with_before(samples: DataFrame, value: Column, name: str, chunk: int) -> DataFrame:
+    """samples with chunk (rows of seq) and name: value in the row before of the stream in order of seq, null for its first row.
+
+    The last value of each chunk is handed to the next one over the table of chunks, so a long stream is not one task's. seq may have holes.
+    """
+    chunked = samples.withColumn("chunk", F.floor(F.col("seq") / chunk).cast("long"))
+    ends = chunked.groupBy("stream_id", "chunk").agg(F.max_by(value, "seq").alias("_last"))
+    handed = ends.select("stream_id", "chunk", F.lag("_last").over(Window.partitionBy("stream_id").orderBy("chunk")).alias("_handed"))
+    within = Window.partitionBy("stream_id", "chunk").orderBy("seq")
+    own = F.when(F.row_number().over(within) == 1, F.col("_handed")).otherwise(F.lag(value).over(within))
+    return chunked.join(handed, ["stream_id", "chunk"], "left").withColumn(name, own).drop("_handed")
+
+
 def filtered(x: np.ndarray, alpha: float) -> np.ndarray:
     """y[i] = alpha (y[i-1] + x[i] - x[i-1]) from y = x = 0 before the first, in blocks short enough that no power of alpha vanishes."""
     step = np.diff(x, prepend=0.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.config import CLASSES, DEFAULT, VALUES, Sampling
 from tremor.functions.labels import normalize_label
-from tremor.operators.scan import running_sum
+from tremor.operators.scan import running_sum, with_before
 from tremor.operators.validate import in_order, no_nan
 
 
@@ -39,11 +39,9 @@ def split_long_streams(samples: DataFrame, p: Sampling = DEFAULT, chunk: int = 1
 
     The last time of each chunk is handed to the next. Needs a dense seq.
     """
-    chunked = samples.withColumn("chunk", F.floor(F.col("seq") / chunk).cast("long"))
-    ends = chunked.groupBy("stream_id", "chunk").agg(F.max_by("timestamp_ms", "seq").alias("t_before")).withColumn("chunk", F.col("chunk") + 1)
     within = Window.partitionBy("stream_id", "chunk").orderBy("seq")
-    dt = F.col("timestamp_ms") - F.coalesce(F.lag("timestamp_ms").over(within), F.col("t_before"))
-    marked = chunked.join(ends, ["stream_id", "chunk"], "left").withColumn("is_break", F.coalesce((dt <= 0) | (dt > p.segment_gap_ms), F.lit(False)))
+    dt = F.col("timestamp_ms") - F.col("t_before")
+    marked = with_before(samples, F.col("timestamp_ms"), "t_before", chunk).withColumn("is_break", F.coalesce((dt <= 0) | (dt > p.segment_gap_ms), F.lit(False)))
     numbered = running_sum(marked, F.col("is_break").cast("long"), "segment_id", ["stream_id"])
     # a segment begins at the last break so far: of the chunk, or else of the chunks before it
     lasts = marked.groupBy("stream_id", "chunk").agg(F.max(F.when(F.col("is_break"), F.col("seq"))).alias("last"), F.min("seq").alias("least"))

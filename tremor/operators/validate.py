@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tremor.config import AXES, CLASSES, DEFAULT, VALUES, Sampling
 from tremor.functions.labels import normalize_label
+from tremor.operators.scan import with_before
+
+#: Rows of a stream that are put in order at once.
+CHUNK = 1_000_000
 
 
 def in_order() -> WindowSpec:
@@ -17,9 +21,10 @@ def no_nan(name: str) -> Column:
     return F.when(~F.isnan(name), F.col(name))
 
 
-def with_dt(samples: DataFrame) -> DataFrame:
-    """dt_ms to the sample before in row order; null for the first and where either time is missing."""
-    return samples.withColumn("dt_ms", no_nan("timestamp_ms") - F.lag(no_nan("timestamp_ms")).over(in_order()))
+def with_dt(samples: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """dt_ms to the sample before in row order; null for the first and where either time is missing. Streams are put in order by chunks of rows."""
+    t = no_nan("timestamp_ms")
+    return with_before(samples, t, "_before", chunk).withColumn("dt_ms", t - F.col("_before")).drop("_before", "chunk")
 
 
 def _count(condition: Column, name: str) -> Column:
@@ -41,9 +46,9 @@ def dt_aggregates(p: Sampling) -> list[Column]:
     ]
 
 
-def dt_profile(samples: DataFrame, p: Sampling = DEFAULT) -> DataFrame:
+def dt_profile(samples: DataFrame, p: Sampling = DEFAULT, chunk: int = CHUNK) -> DataFrame:
     """Sampling interval of each stream: mean, sample deviation, extremes, effective rate, its error and the jitter."""
-    return with_rates(with_dt(samples).groupBy("stream_id").agg(*dt_aggregates(p)[:4]), p)
+    return with_rates(with_dt(samples, chunk).groupBy("stream_id").agg(*dt_aggregates(p)[:4]), p)
 
 
 def with_rates(profile: DataFrame, p: Sampling) -> DataFrame:
@@ -61,8 +66,8 @@ def duplicate_times(samples: DataFrame) -> DataFrame:
     return times.groupBy("stream_id").agg(F.sum(F.col("n") - 1).alias("num_duplicate_timestamps"))
 
 
-def timing_faults(samples: DataFrame, p: Sampling = DEFAULT) -> DataFrame:
-    faults = with_dt(samples).groupBy("stream_id").agg(*dt_aggregates(p)[4:])
+def timing_faults(samples: DataFrame, p: Sampling = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+    faults = with_dt(samples, chunk).groupBy("stream_id").agg(*dt_aggregates(p)[4:])
     return faults.join(duplicate_times(samples), "stream_id")
 
 
@@ -100,7 +105,7 @@ def label_profile(samples: DataFrame) -> DataFrame:
     return known.select("stream_id", n.alias("n_labels"), F.when(n == 1, normalize_label(F.col("labels"))).otherwise(F.col("labels")).alias("label"), (F.coalesce(normalize_label(F.col("labels")) != F.lower("labels"), F.lit(False)) & (n == 1)).alias("renamed"))
 
 
-def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, missing: DataFrame | None = None, stem_label: DataFrame | None = None) -> DataFrame:
+def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, missing: DataFrame | None = None, stem_label: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """A row for each stream: label, the counts of each fault, reasons in a fixed order and status.
 
     mode "real" makes warnings of uneven intervals, gaps, rate and jitter. Columns that hold text should have gone through to_number. missing (stream_id, missing_columns,
@@ -108,7 +113,7 @@ def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, miss
     without labels. Streams of one sample end after their label; those with missing columns before it. Statuses: the worst of the reasons, PASS with the reason ok.
     """
     real = mode == "real"
-    dt = with_dt(samples)
+    dt = with_dt(samples, chunk)
     facts = dt.groupBy("stream_id").agg(F.count("*").alias("total_samples"), *dt_aggregates(p), *value_aggregates(p))
     facts = with_rates(facts, p).join(duplicate_times(samples), "stream_id").join(label_profile(samples), "stream_id")
     facts = facts.join(missing, "stream_id", "left") if missing is not None else facts.withColumns({"missing_columns": F.lit(None).cast("string"), "repeated_header": F.lit(False)})

@@ -82,12 +82,12 @@ def window_report(windows: DataFrame, p: Sampling = DEFAULT) -> DataFrame:
 def cap_per_label(windows: DataFrame, most: int) -> DataFrame:
     """The first most windows of each label, in order of stream, segment and local_id.
 
-    Ranks are taken of keys alone: first the first most of each label and range of streams, then of what is left, so that few classes don't mean few tasks.
+    Ranks are taken of keys alone: first the first most of each label and share of windows, then of what is left, so that few classes don't mean few tasks.
     """
     keys = windows.select("label", *KEYS, "local_id")
     order = [*KEYS, "local_id"]
-    # a salted share of streams keeps its first rows; no row of the result ranks behind most others of its share
-    partial = Window.partitionBy("label", F.pmod(F.xxhash64("stream_id"), F.lit(64))).orderBy(*order)
+    # a salted share of windows keeps its first rows; no row of the result ranks behind most others of its share
+    partial = Window.partitionBy("label", F.pmod(F.xxhash64(*order), F.lit(64))).orderBy(*order)
     first = keys.withColumn("rank", F.row_number().over(partial)).where(F.col("rank") <= most)
     kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rank") <= most).drop("rank")
     return windows.join(kept, ["label", *order], "left_semi")
@@ -100,16 +100,18 @@ def label_shortfall(windows: DataFrame, wanted: int) -> DataFrame:
     return F.broadcast(classes).join(counts, "label", "left").select("label", F.coalesce("windows", F.lit(0)).alias("windows"), F.greatest(F.lit(0), F.lit(wanted) - F.coalesce("windows", F.lit(0))).cast("long").alias("missing"))
 
 
-def global_window_id(windows: DataFrame) -> DataFrame:
-    """window_id from 0 over all windows in order of class, stream (of any type), segment and local_id, without sorting all in one task.
+def global_window_id(windows: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """window_id from 0 over all windows in order of class, stream (of any type), segment and local_id, without sorting all, or a long stream, in one task.
 
-    Streams are counted first; a stream's offset is a running sum over the table of streams.
+    Windows are counted by chunks of segments first; a chunk's offset is a running sum over the table of chunks.
     """
     place = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label"))
-    streams = windows.groupBy("label", "stream_id").agg(F.count("*").alias("n"), F.first(place).alias("place"))
-    offsets = running_number(streams, ["place", "stream_id"], "n", "offset").select("label", "stream_id", "offset")
-    local = F.row_number().over(Window.partitionBy("label", "stream_id").orderBy("segment_id", "local_id")) - 1
-    return windows.withColumn("local", local).join(offsets, ["label", "stream_id"]).withColumn("window_id", F.col("local") + F.col("offset")).drop("local", "offset")
+    part = ["label", *KEYS, "_chunk"]
+    chunked = windows.withColumn("_chunk", F.floor(F.col("local_id") / chunk).cast("long"))
+    parts = chunked.groupBy(*part).agg(F.count("*").alias("n"), F.first(place).alias("place"))
+    offsets = running_number(parts, ["place", *part[1:]], "n", "offset").select(*part, "offset")
+    local = F.row_number().over(Window.partitionBy(*part).orderBy("local_id")) - 1
+    return chunked.withColumn("local", local).join(offsets, part).withColumn("window_id", F.col("local") + F.col("offset")).drop("local", "offset", "_chunk")
 
 
 def window_summary(windows: DataFrame) -> DataFrame:
