@@ -163,6 +163,14 @@ def test_items_of_few_words(spark):
     assert got == {(10, 1, 1.0), (11, 2, 1.0), (13, 3, 1.0), (14, 5, 1.0)}
 
 
+def test_no_items_keep_the_type_of_item_id(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    for items in (spark.createDataFrame([], "item_id string, text string"), spark.createDataFrame([("a", "?!"), ("b", None), (None, "")], "item_id string, text string")):
+        found = contamination.contaminated(docs, items)
+        assert dict(found.dtypes) == {"doc_id": "bigint", "item_id": "string", "containment": "double"} and found.isEmpty()
+        assert contamination.without_contaminated(docs, items).count() == 1
+
+
 def test_short_items_inside_long_documents(spark):
     """Items of 1 to 14 shingles, and more of one, each inside its own document, an edited one, and one that is only partly there."""
     items = [(i, prose(6000 + i, (i + 4 if i < 15 else 5))) for i in range(1, 31)]

@@ -120,7 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
         shares = reduce(DataFrame.unionByName, counts).join(sizes, F.col("item_id").eqNullSafe(F.col("item"))).select("doc_id", "item_id", (F.col("common") / F.col("n")).alias("containment"))
         found.append(shares.where(F.col("containment") >= contained))
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
+        return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {dict(items.dtypes)['item_id']}, containment double")
     # an item_id may be repeated with texts of both kinds: its largest share counts
     return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
