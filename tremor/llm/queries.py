@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, quality, token_counts, wrappers
+from tremor.llm import arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, packing, quality, token_counts, wrappers
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_class_lm": class_lm.op8_class_lm,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_decontamination": contamination.op10_decontamination,
+    "op11_best_fit_packing": packing.op11_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op10_decontamination": contamination.OP10_SQL}
