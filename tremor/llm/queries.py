@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, packing, prefix_trie, quality, token_counts, wrappers
+from tremor.llm import alignment, arrow_ids, byte_bpe, class_lm, contamination, language_id, merkle, near_duplicates, packing, prefix_trie, quality, token_counts, wrappers
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_decontamination": contamination.op10_decontamination,
     "op11_best_fit_packing": packing.op11_best_fit_packing,
+    "op12_alignment": alignment.op12_alignment,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op10_decontamination": contamination.OP10_SQL}
