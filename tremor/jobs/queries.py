@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremor.config import BANDS, CLASSES
 from tremor.functions import arrays as A
 from tremor.functions import labels as L
-from tremor.operators import checks, features, model, scan, segment, spectrum, validate, windows
+from tremor.operators import checks, features, model, scan, segment, spectrum, training, validate, windows
 from tremor.sources import adapters as ad
 from tremor.sources import io
 from tremor.sources.shared import new_path
@@ -418,16 +418,26 @@ def q_score_mlp(spark: SparkSession, d: str) -> DataFrame:
     return scores(model.score_mlp(ad.embedding_features(spark, d), dense), ["vec_id"])
 
 
+def training_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    split = model.stratified_split(model.clean_features(ad.embedding_features(spark, d), list(ad.FEATURES)), "vec_id")
+    return split.where("NOT is_test"), split.where("is_test")
+
+
 def q_fit_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Trains on the training share and reports on the rest: no SQL gives an optimizer's weights."""
-    split = model.stratified_split(model.clean_features(ad.embedding_features(spark, d), list(ad.FEATURES)), "vec_id")
-    fitted = model.fit_logreg(split.where("NOT is_test"), list(ad.FEATURES))
-    return rounded(model.classification_report(model.score_logreg(split.where("is_test"), fitted), list(CLASSES)), 4)
+    train, test = training_rows(spark, d)
+    fitted = training.fit_logreg(train, list(ad.FEATURES))
+    return rounded(model.classification_report(model.score_logreg(test, fitted), list(CLASSES)), 4)
+
+
+def q_logreg_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """The objective's gradient at the weights that Newton's steps come to, for all rows: zeros."""
+    rows = model.clean_features(ad.embedding_features(spark, d), list(ad.FEATURES))
+    return rounded(training.regression_gradient(rows, training.fit_logreg(rows, list(ad.FEATURES))), 8)
 
 
 def q_model_table(spark: SparkSession, d: str) -> DataFrame:
-    split = model.stratified_split(ad.embedding_features(spark, d), "vec_id")
-    return model.model_table(spark, model.fit_logreg(split.where("NOT is_test"), list(ad.FEATURES)))
+    return model.model_table(spark, training.fit_logreg(training_rows(spark, d)[0], list(ad.FEATURES)))
 
 
 def q_model_table_of_scaler(spark: SparkSession, d: str) -> DataFrame:
@@ -438,10 +448,20 @@ def q_model_table_of_scaler(spark: SparkSession, d: str) -> DataFrame:
 
 def q_fit_mlp(spark: SparkSession, d: str) -> DataFrame:
     """Trains the dense classifier and counts its predictions on the rest."""
-    split = model.stratified_split(ad.embedding_features(spark, d), "vec_id")
-    scaler, fitted, labels = model.fit_mlp(split.where("NOT is_test"), list(ad.FEATURES))
-    predicted = fitted.transform(model.vectors(scaler.apply(split.where("is_test")), list(ad.FEATURES), labels))
-    return predicted.groupBy(model.decode(F.col("label"), labels).alias("label"), model.decode(F.col("prediction"), labels).alias("predicted")).agg(F.count("*").alias("n"))
+    train, test = training_rows(spark, d)
+    fitted, _ = training.fit_mlp(train, list(ad.FEATURES), "vec_id")
+    return model.score_mlp(test, fitted).groupBy("label", F.col("prediction").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def q_mlp_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """A network's summed gradient against differences of scored losses, layer by layer over all rows: they agree to four digits, so the gap is zero."""
+    rows = ad.embedding_features(spark, d)
+    network = model.Dense.of_rule(model.fit_scaler(rows, list(ad.FEATURES)), (8, 16, 8, 3), CLASSES)
+    told = []
+    for layer in range(3):
+        slope, differences = training.network_slope(rows, network, layer)
+        told.append(differences.select(F.lit(layer).cast("long").alias("layer"), (F.round(F.col("slope") - slope, 4) + 0.0).alias("gap"), "n"))
+    return told[0].unionByName(told[1]).unionByName(told[2])
 
 
 def q_confusion(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Training, scoring and evaluation of classifiers of machine condition."""
+"""Scaling, scoring and evaluation of classifiers of machine condition; `training` fits them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,25 +71,6 @@ class Linear:
     labels: tuple[str, ...]
 
 
-def vectors(df: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
-    return df.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in features])).alias("features"), encode(F.col("label"), labels).cast("double").alias("label"))
-
-
-def fit_logreg(train: DataFrame, features: list[str], c: float = 1.0, iterations: int = 2000) -> Linear:
-    """Multinomial logistic regression with an L2 penalty of 1 / (c n), on scaled features; two classes have two rows of weights too."""
-    scaler, labels = fit_scaler(train, features), fit_labels(train)
-    data = vectors(scaler.apply(train), features, labels)
-    fitted: Model = LogisticRegression(family="multinomial", regParam=1 / (c * data.count()), standardization=False, maxIter=iterations).fit(data)
-    return Linear(scaler, tuple(tuple(map(float, r)) for r in fitted.coefficientMatrix.toArray()), tuple(map(float, fitted.interceptVector)), tuple(labels))
-
-
-def fit_mlp(train: DataFrame, features: list[str], hidden: tuple[int, ...] = (16, 8), iterations: int = 200, seed: int = 42) -> tuple[Scaler, Model, list[str]]:
-    """A dense classifier with hidden layers of these sizes; Spark's has sigmoid units, so its weights differ from those of a ReLU network."""
-    scaler, labels = fit_scaler(train, features), fit_labels(train)
-    fitted = MultilayerPerceptronClassifier(layers=[len(features), *hidden, len(labels)], maxIter=iterations, seed=seed).fit(vectors(scaler.apply(train), features, labels))
-    return scaler, fitted, labels
-
-
 def model_table(spark: SparkSession, model: Linear) -> DataFrame:
     """The parameters in 32 bits: label, bias, feature, mean, std and weight, a row for each class and feature."""
     small = lambda v: float(np.float32(v))
