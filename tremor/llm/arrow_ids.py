@@ -29,13 +29,26 @@ from tremor.sources.shared import new_path
 #: Entries of a worker's memories of words and of their parts, and the longest word it keeps; a full memory starts anew.
 MEMORY, LONGEST_KEPT = 600_000, 48
 SEQUENCE, ROWS = 2048, 256  # ids of a sequence, sequences of a record batch
-#: Texts handled at once, by characters, and words given to the library at once: its answers are large.
-BLOCK_CHARS, AT_ONCE = 500_000, 4_000
+#: Texts handled at once, by characters.
+BLOCK_CHARS = 500_000
 #: Marks that end words; a run of them is a token run of its own to the tokenizer, as are the letters before it.
 MARKS = ".,!?;:|*#$%&"
 _coders: dict[str, WordCoder] = {}
 
 
+class Words(dict):
+    """Word to its ids; a word that isn't known is asked for once, and kept if it is short."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        self.of = of
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.of(word)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
+
+
 class WordCoder:
     """Encodes texts by a tokenizer that drops white space and small-letters A-Z, word by word, so that the library sees a word once.
 
@@ -46,8 +59,9 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-        joined = lambda *texts: b"".join(self.ids(texts))
+        self.tokenizer, self.words = Tokenizer.from_file(path), Words(self.of_word)
+        self.letters, self.others = Words(self.of_letters), Words(self.of_text)
+        joined = lambda *texts: b"".join(map(self.of_text, texts))
         self.by_word = joined("a b") == joined("a", "b")
         self.by_part = all(joined(f"Ab{m}.") == joined("ab", f"{m}.") for m in MARKS)
         self.by_letters = all(self.of_letters(plain_letters(w)) == joined(w) for w in ("a", "Hello", "unbelievably", "Éléphant", "ÑANDÚ", "straße", "Δοκιμή", "ПРИВЕТ"))
@@ -57,51 +71,25 @@ class WordCoder:
         text = part if part.isascii() else "".join(map(BYTE_LETTERS.__getitem__, part.encode()))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
-    def ids(self, texts: Sequence[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        parts, cut, letters, others = self.parts, [], set(), set()
-        if len(parts) > MEMORY:
-            parts.clear()
-        for w in words:
-            head = w.rstrip(MARKS)
-            small = plain_letters(head) if self.by_part else None
-            if small is None:
-                head, tail = w, ""
-                others.add(w)
-            else:
-                tail = w[len(head) :]
-                head = small if self.by_letters else head
-                (letters if self.by_letters else others).add(head)
-                if tail:
-                    others.add(tail)
-            cut.append((head, tail))
-        parts[""] = b""
-        parts.update((p, self.of_letters(p)) for p in letters.difference(parts))
-        others = list(others.difference(parts))
-        parts.update(zip(others, self.ids(others)))
-        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(words, cut))
-        for a, b in cut:
-            for p in (a, b):
-                if len(p) > LONGEST_KEPT:
-                    parts.pop(p, None)
+    def of_text(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of_word(self, word: str) -> bytes:
+        head = word.rstrip(MARKS)
+        small = plain_letters(head) if self.by_part else None
+        if small is None:
+            return self.of_text(word)
+        ids = self.letters[small] if self.by_letters else self.others[head]
+        return ids + self.others[word[len(head) :]] if len(head) < len(word) else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self.ids(texts)
-        words = self.words
-        if len(words) > MEMORY:
-            words.clear()
+            return list(map(self.of_text, texts))
+        for memory in (self.words, self.letters, self.others):
+            if len(memory) > MEMORY:
+                memory.clear()
         # str.split() also cuts at four control characters that aren't white space to the tokenizer
-        split = [[t] if ODD.search(t) else t.split() for t in texts]
-        new = list(set().union(*split).difference(words))
-        self.learn(new)
-        out = [b"".join(map(words.__getitem__, own)) for own in split]
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del words[w]
-        return out
+        return [b"".join(map(self.words.__getitem__, [t] if ODD.search(t) else t.split())) for t in texts]
 
 
 ODD = re.compile("[\x1c-\x1f]")
