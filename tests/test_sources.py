@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.jobs import queries
-from tremor.operators import validate
+from tremor.operators import segment, validate
 from tremor.sources import adapters as ad
-from tremor.sources import io
+from tremor.sources import io, recordings
 from tremor.streaming import live
 
 
@@ -102,11 +102,36 @@ def test_raw_files_to_report(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     (tmp_path / "note.txt").write_text("no recording")
     text = io.read_samples(spark, str(tmp_path))
-    report = validate.validate(io.as_samples(text), "real", missing=io.header_report(spark, str(tmp_path)), stem_label=io.stem_labels(text))
+    facts = io.file_facts(spark, str(tmp_path))
+    report = validate.validate(io.as_samples(text), "real", files=facts)
     got = {r.stream_id.rsplit("/", 1)[1]: r for r in report.collect()}
-    assert set(got) == {"a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "obstruction_1.csv"}
+    assert set(got) == {"a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "obstruction_1.csv", "empty.csv", "note.txt"}
+    assert got["empty.csv"].reasons == ["cannot_read_file"] and got["note.txt"].reasons == ["not_csv_file"] and got["empty.csv"].label is None
+    assert got["e.csv"].reasons == ["missing_label_column", "invalid_or_missing_label: None"] + got["e.csv"].reasons[2:] and got["obstruction_1.csv"].reasons[0] == "missing_label_column"
+    mock = {r.stream_id.rsplit("/", 1)[1]: r for r in validate.validate(io.as_samples(text), "mock", files=facts).collect()}
+    assert mock["obstruction_1.csv"].status == "FAIL" and mock["obstruction_1.csv"].reasons[0] == "missing_label_column"
+    checked = {r.stream_id.rsplit("/", 1)[1]: r.reason for r in segment.segment_precheck(io.as_samples(text), facts).collect()}
+    assert checked["e.csv"] == "missing_columns: label" and checked["c.csv"] == "missing_columns: accY_raw" and checked["empty.csv"] == "empty_input" and checked["a.csv"] == "ok"
     assert got["a.csv"].status == "WARNING" and got["a.csv"].reasons == ["label_normalized_to_healthy"] and got["b.csv"].status == "PASS"
     assert got["c.csv"].reasons == ["missing_required_columns: accY_raw"] and got["d.csv"].reasons[0] == "duplicated_header_rows_detected"
     assert got["obstruction_1.csv"].label == "obstruction" and got["e.csv"].status == "FAIL"
     listed = {r.file.rsplit("/", 1)[1]: r.reason for r in io.list_incoming(spark, str(tmp_path)).collect()}
     assert listed["empty.csv"] == "empty_file" and listed["note.txt"] == "not_csv_file" and listed["a.csv"] == "ok"
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1 << 20])
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, split):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    texts = {"a.csv": "\n\nx,y\r\n1,2\r\n\r\n3,4", "deep/b.csv": "x\n" + "".join(f"{i}\n" for i in range(40)), "deep/er/c.CSV": "x\n5", "deep/er/d.csv": "\n", "e.csv": "", "_no.csv": "x\n1", "f.txt": "x"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    files = recordings.recording_files(spark, str(tmp_path))
+    assert {r.file.removeprefix(f"file://{tmp_path}/"): r.bytes for r in files.collect()} == {n: len(t) for n, t in texts.items() if n != "_no.csv"}
+    lines = recordings.recording_lines(files.where("is_csv"), split)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "windowspecdefinition(file" in plan and "split" in plan.split("windowspecdefinition(file")[1].split("specifiedwindowframe")[0]  # over splits alone
+    got = {}
+    for r in lines.orderBy("file", "seq").collect():
+        got.setdefault(r.file.removeprefix(f"file://{tmp_path}/"), []).append((r.seq, r.header, r.value))
+    want = {n: [x.rstrip("\r") for x in t.split("\n") if x.strip()] for n, t in texts.items() if n.lower().endswith(".csv") and n != "_no.csv"}
+    assert got == {n: [(k - 1, v[0], x) for k, x in enumerate(v)] for n, v in want.items() if v}

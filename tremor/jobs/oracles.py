@@ -312,6 +312,13 @@ SQL: dict[str, str] = {
     "write_by_label": f"WITH {WINDOWS} SELECT label, 2 * count(*) AS n, count(*) AS windows FROM full_ GROUP BY label",
     "read_samples": f"WITH {E} SELECT stream_id, seq, {r('t', 3)} AS timestamp_ms, {r('x', 3)} AS \"accX_raw\", {r('zf', 3)} AS \"accZ_filt\", label FROM e",
     "list_incoming": "SELECT 'PASS' AS status, 'ok' AS reason, count(DISTINCT user_id) AS files, count(*) AS rows FROM events",
+    "validate_files": """WITH k AS (SELECT user_id, user_id % 8 AS kind FROM events)
+      SELECT kind, mode, CASE kind WHEN 0 THEN '' WHEN 1 THEN 'missing_label_column;invalid_or_missing_label: None'
+        WHEN 2 THEN CASE mode WHEN 'mock' THEN 'label_column_empty_using_filename' ELSE 'missing_label_column_and_cannot_infer_from_filename' END || ';invalid_or_missing_label: None'
+        WHEN 3 THEN 'mixed_labels_in_file;invalid_or_missing_label: healthy;obstruction' WHEN 4 THEN 'missing_required_columns: accY_raw' WHEN 5 THEN 'empty_file' WHEN 6 THEN 'not_csv_file' ELSE 'cannot_read_file' END AS reasons,
+        CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'missing_columns: label' WHEN 2 THEN 'no_label' WHEN 3 THEN 'ok' WHEN 4 THEN 'missing_columns: accY_raw' WHEN 5 THEN 'empty_input' WHEN 7 THEN 'empty_input' END AS precheck,
+        count(DISTINCT user_id) AS files, CASE WHEN kind < 5 THEN count(*) ELSE 0 END AS samples
+      FROM k, (VALUES ('mock'), ('real')) m(mode) GROUP BY kind, mode""",
     "write_features": f"WITH {WINDOWS}, q AS (SELECT stream_id, local_id, sqrt(avg(x * x)) AS rms FROM w GROUP BY stream_id, local_id) SELECT count(*) AS n, {r('avg(rms)')} AS rms_x, count(*) AS ok FROM q",
     "stream_telemetry": f"WITH {LOG} SELECT * FROM log",
     "stream_windows": f"""WITH RECURSIVE {LINES}, hp AS (

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.config import BANDS, CLASSES
+from tremor.config import BANDS, CLASSES, VALUES
 from tremor.functions import arrays as A
 from tremor.functions import labels as L
 from tremor.operators import checks, features, model, scan, segment, spectrum, training, validate, windows
@@ -542,6 +542,34 @@ def q_list_incoming(spark: SparkSession, d: str) -> DataFrame:
     return listed.groupBy("status", "reason").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
 
+#: What validation says of a file as such.
+FILE_REASONS = "^(not_csv_file|cannot_read_file|empty_file|missing_|label_column_empty|mixed_labels|invalid_or_missing_label)"
+
+
+def q_validate_files(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as eight kinds of recordings, read back and judged in both modes: whole, without a label column, without labels, with two labels, without a required column, with a header alone, as text, and blank."""
+    path, rows = new_path(spark, "odd-recordings"), ad.event_samples(spark, d).withColumn("stream", F.col("stream_id")).repartition("stream").drop("stream_id")
+    of = lambda kind: rows.where(F.col("stream") % 8 == kind)
+    once = lambda kind, text: of(kind).where("seq = 0").select("stream", F.lit(text).alias("line"))
+    labels = {0: F.col("label"), 2: F.lit(None).cast("string"), 3: F.when(F.col("seq") % 2 == 0, "healthy").otherwise("obstruction"), 4: F.col("label")}
+    kinds = {k: of(k).withColumn("label", label) for k, label in labels.items()} | {1: of(1).drop("label")}
+    for k, df in kinds.items():
+        df.sortWithinPartitions("stream", "seq").drop("seq", *["accY_raw"] * (k == 4)).write.partitionBy("stream").option("header", True).csv(f"{path}/kind={k}")
+    for k, text in ((5, ",".join([*VALUES, "label"])), (7, "")):
+        once(k, text).write.partitionBy("stream").option("sep", ";").option("emptyValue", "").csv(f"{path}/kind={k}")
+    once(6, "no recording").write.partitionBy("stream").text(f"{path}/kind=6")
+    lines = io.csv_lines(spark, path)
+    files, samples = io.file_facts(spark, path, lines), io.as_samples(io.read_samples(spark, path, lines))
+    kind = F.regexp_extract("stream_id", "kind=([0-9])", 1).cast("long").alias("kind")
+    checked = segment.segment_precheck(samples, files.where("coalesce(early_reason, '') <> 'not_csv_file'")).select("stream_id", F.col("reason").alias("precheck"))
+    told = []
+    for mode in ("mock", "real"):
+        report = validate.validate(samples, mode, ad.EVENTS, files).join(checked, "stream_id", "left")
+        reasons = F.array_join(F.filter("reasons", lambda r: r.rlike(FILE_REASONS)), ";")
+        told.append(report.groupBy(kind, F.lit(mode).alias("mode"), reasons.alias("reasons"), "precheck").agg(F.count("*").alias("files"), F.sum("total_samples").alias("samples")))
+    return told[0].unionByName(told[1])
+
+
 def q_write_features(spark: SparkSession, d: str) -> DataFrame:
     path, w = new_path(spark, "features"), line_windows(spark, d)
     io.write_features(features.features(w, KEYS, ad.LINES, SIZE), features.feature_report(w, KEYS, SIZE, ad.LINES), path)

@@ -72,18 +72,22 @@ def segment_summary(report: DataFrame) -> DataFrame:
     return report.groupBy("label", "status").agg(F.count("*").alias("segments"))
 
 
-def segment_precheck(samples: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+def segment_precheck(samples: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """stream_id, status and reason of streams that can't be segmented; others are OK. A stream's label is that of its first row, aliases resolved.
 
-    missing (stream_id, missing_columns), as the reader's report of headers gives it, adds recordings that lack a column and those without a row.
+    files (stream_id, missing_columns, and missing_label if it is known, as io.file_facts gives them) adds recordings without a row, and those that lack a column; label is one of them.
     """
     valid = F.lit(True)
     for c in VALUES:
         valid = valid & no_nan(c).isNotNull()
     facts = samples.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(valid).alias("numeric"), normalize_label(F.min_by("label", "seq")).alias("label"))
-    facts = facts.join(missing.select("stream_id", "missing_columns"), "stream_id", "full_outer") if missing is not None else facts.withColumn("missing_columns", F.lit(None).cast("string"))
+    if files is None:
+        facts = facts.withColumn("lacking", F.lit(None).cast("string"))
+    else:
+        label = F.when(F.col("missing_label"), "label") if "missing_label" in files.columns else F.lit(None).cast("string")
+        facts = facts.join(files.select("stream_id", F.nullif(F.concat_ws(", ", "missing_columns", label), F.lit("")).alias("lacking")), "stream_id", "full_outer")
     reason = (
-        F.when(F.col("n").isNull(), "empty_input").when(F.col("missing_columns").isNotNull(), F.concat(F.lit("missing_columns: "), "missing_columns"))
+        F.when(F.col("n").isNull(), "empty_input").when(F.col("lacking").isNotNull(), F.concat(F.lit("missing_columns: "), "lacking"))
         .when(F.col("label").isNull(), "no_label").when(~F.col("label").isin(*CLASSES), "invalid_label").when(F.col("numeric") == 0, "no_numeric_rows").otherwise("ok")
     )
     return facts.select("stream_id", F.when(reason == "ok", "OK").otherwise("FAILED").alias("status"), reason.alias("reason"))

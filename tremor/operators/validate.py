@@ -105,32 +105,43 @@ def label_profile(samples: DataFrame) -> DataFrame:
     return known.select("stream_id", n.alias("n_labels"), F.when(n == 1, normalize_label(F.col("labels"))).otherwise(F.col("labels")).alias("label"), (F.coalesce(normalize_label(F.col("labels")) != F.lower("labels"), F.lit(False)) & (n == 1)).alias("renamed"))
 
 
-def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, missing: DataFrame | None = None, stem_label: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """A row for each stream: label, the counts of each fault, reasons in a fixed order and status.
+#: What the reader may know of a stream's file: io.file_facts.
+FILE_FACTS = "stream_id string, early_reason string, missing_columns string, missing_label boolean, repeated_header boolean, stem_label string"
 
-    mode "real" makes warnings of uneven intervals, gaps, rate and jitter. Columns that hold text should have gone through to_number. missing (stream_id, missing_columns,
-    repeated_header) tells what the reader found wrong with a stream's header; stem_label (stream_id, stem_label) the label in its file's name, for streams
-    without labels. Streams of one sample end after their label; those with missing columns before it. Statuses: the worst of the reasons, PASS with the reason ok.
+
+def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, files: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """A row for each stream, and each file without samples: label, the counts of each fault, reasons in a fixed order and status.
+
+    mode "real" makes warnings of uneven intervals, gaps, rate and jitter. Columns that hold text should have gone through to_number. files (io.file_facts) tells what the
+    reader found: files that can't be judged have that reason alone; a file without a label column fails in both modes, with the label in its name; one whose labels are all
+    empty takes the label in its name, which warns in mode "mock" and fails in "real". Streams of one sample end after their label; those with missing columns before it.
+    Statuses: the worst of the reasons, PASS with the reason ok.
     """
     real = mode == "real"
     dt = with_dt(samples, chunk)
     facts = dt.groupBy("stream_id").agg(F.count("*").alias("total_samples"), *dt_aggregates(p), *value_aggregates(p))
     facts = with_rates(facts, p).join(duplicate_times(samples), "stream_id").join(label_profile(samples), "stream_id")
-    facts = facts.join(missing, "stream_id", "left") if missing is not None else facts.withColumns({"missing_columns": F.lit(None).cast("string"), "repeated_header": F.lit(False)})
-    facts = facts.join(stem_label, "stream_id", "left") if stem_label is not None else facts.withColumn("stem_label", F.lit(None).cast("string"))
-    facts = facts.withColumn("label", F.when(F.col("n_labels") == 0, F.col("stem_label")).otherwise(F.col("label")))
-
-    none, one, two = F.lit(None).cast("string"), F.col("missing_columns").isNull(), F.col("missing_columns").isNull() & (F.col("total_samples") >= 2)
-    soft = "WARNING" if real else "FAIL"
-    error = F.col("fs_error_ratio")
+    if files is None:
+        files = samples.sparkSession.createDataFrame([], FILE_FACTS).withColumn("stream_id", F.col("stream_id").cast(dict(samples.dtypes)["stream_id"]))
+    facts = facts.join(files.select("stream_id", "early_reason", "missing_columns", "missing_label", "repeated_header", "stem_label"), "stream_id", "full_outer")
+    counts = [c for c in facts.columns if c.startswith(("num_", "estimated_", "n_labels", "total_"))]
+    facts = facts.fillna(0, counts).withColumn("label", F.when(F.col("early_reason").isNotNull(), F.lit(None)).when(F.col("n_labels") == 0, F.col("stem_label")).otherwise(F.col("label")))
+
+    read = F.col("early_reason").isNull()
+    one = read & F.col("missing_columns").isNull()
+    two = one & (F.col("total_samples") >= 2)
+    no_column = F.coalesce("missing_label", F.lit(False))
+    empty = one & (F.col("n_labels") == 0) & ~no_column
+    label, error, soft = F.col("label"), F.col("fs_error_ratio"), "WARNING" if real else "FAIL"
     rules = [
-        ("FAIL", F.coalesce("repeated_header", F.lit(False)), F.lit("duplicated_header_rows_detected")),
-        ("FAIL", ~one, F.concat(F.lit("missing_required_columns: "), "missing_columns")),
-        ("WARNING", one & F.col("renamed"), F.concat(F.lit("label_normalized_to_"), "label")),
-        (soft if not real else "FAIL", one & (F.col("n_labels") == 0) & F.lit(real), F.lit("missing_label_column_and_cannot_infer_from_filename")),
-        ("WARNING", one & (F.col("n_labels") == 0) & F.lit(not real), F.lit("label_column_empty_using_filename")),
+        ("FAIL", ~read, F.col("early_reason")),
+        ("FAIL", read & F.coalesce("repeated_header", F.lit(False)), F.lit("duplicated_header_rows_detected")),
+        ("FAIL", read & ~one, F.concat(F.lit("missing_required_columns: "), "missing_columns")),
+        ("WARNING", one & F.coalesce("renamed", F.lit(False)), F.concat(F.lit("label_normalized_to_"), label)),
+        ("FAIL", empty, F.lit("missing_label_column_and_cannot_infer_from_filename")) if real else ("WARNING", empty, F.lit("label_column_empty_using_filename")),
         ("FAIL", one & (F.col("n_labels") > 1), F.lit("mixed_labels_in_file")),
-        ("FAIL", one & ~F.coalesce(F.col("label").isin(*CLASSES), F.lit(False)), F.concat(F.lit("invalid_or_missing_label: "), F.coalesce("label", F.lit("None")))),
+        ("FAIL", one & no_column, F.lit("missing_label_column")),
+        ("FAIL", one & ~F.coalesce(label.isin(*CLASSES), F.lit(False)), F.concat(F.lit("invalid_or_missing_label: "), F.coalesce(label, F.lit("None")))),
         ("FAIL", one & (F.col("total_samples") < 2), F.lit("not_enough_samples")),
         ("FAIL", two & (F.col("num_nan_rows") > 0), F.lit("nan_or_non_numeric_values_detected")),
         ("FAIL", two & (F.col("num_inf_rows") > 0), F.lit("inf_values_detected")),
@@ -146,7 +157,7 @@ def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, miss
     found = facts.withColumn("found", F.array_compact(F.array(*[F.when(when, F.struct(F.lit(severity).alias("severity"), text.alias("text"))) for severity, when, text in rules])))
     worst = F.when(F.exists("found", lambda x: x["severity"] == "FAIL"), "FAIL").when(F.size("found") > 0, "WARNING").otherwise("PASS")
     reasons = F.when(F.size("found") == 0, F.array(F.lit("ok"))).otherwise(F.transform("found", lambda x: x["text"]))
-    return found.withColumns({"status": worst, "reasons": reasons}).drop("found", "renamed", "missing_columns", "repeated_header", "stem_label")
+    return found.withColumns({"status": worst, "reasons": reasons}).drop("found", "renamed", "early_reason", "missing_columns", "missing_label", "repeated_header", "stem_label")
 
 
 def report_rows(report: DataFrame) -> DataFrame:

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.config import CLASSES, VALUES
 from tremor.functions.labels import label_from_stem, to_number
+from tremor.sources.recordings import recording_files, recording_lines
 
 #: Texts that count as missing in recordings.
 MISSING = ("", "na", "n/a", "nan", "null", "none", "<na>", "#n/a", "-nan")
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, value, and block and id, which give their order, of every line that isn't blank of the CSV files below path."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).where(F.trim("value") != "")
+    """file, seq, header and value of every line of the CSV files below path that isn't blank; a file's first line is its header and has seq -1. One scan."""
+    return recording_lines(recording_files(spark, path).where("is_csv"))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """file and names, the columns in its first line, of every file of csv_lines. Aggregated in tasks; no list of files comes to the driver."""
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
-    return first.select("file", cells(F.regexp_replace("header", "^\ufeff", "")).alias("names"))
+def names_of(header: Column) -> Column:
+    return cells(F.regexp_replace(header, "^\ufeff", ""))
 
 
 def cells(line: Column) -> Column:
@@ -29,34 +27,42 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV file below path as a stream: stream_id (the file), seq (its row order) and all columns as text.
+def read_samples(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """Every CSV file below path as a stream: stream_id (the file), seq (its row order) and all columns as text. lines: csv_lines of it, if they are read already.
 
     Cells are placed by their own file's header, so files may have other columns or another order; missing columns and empty cells are null. Of two columns of one name the first is
     taken. Only the distinct names of columns come to the driver.
     """
-    lines = csv_lines(spark, path)
-    own = headers(lines)
-    names = [r.name for r in own.select(F.explode("names").alias("name")).where("name <> ''").distinct().orderBy("name").collect()]
+    lines = csv_lines(spark, path) if lines is None else lines
+    names = [r.name for r in lines.where("seq = -1").select(F.explode(names_of(F.col("header"))).alias("name")).where("name <> ''").distinct().orderBy("name").collect()]
     if not names:
         return spark.createDataFrame([], "stream_id string, seq long")
-    seq = F.row_number().over(Window.partitionBy("file").orderBy("block", "id")).cast("long") - 2  # the header has -1
-    rows = lines.withColumn("seq", seq).where("seq >= 0").join(own, "file").withColumn("cells", cells(F.col("value")))
-    cell = lambda c: F.nullif(F.get("cells", F.array_position("names", c).cast("int") - 1), F.lit(""))
-    return rows.select(*[F.when(F.array_contains("names", c), cell(c)).alias(c) for c in names if c not in ("stream_id", "seq")], F.col("file").alias("stream_id"), "seq")
+    rows = lines.where("seq >= 0").select("seq", F.col("file").alias("_file"), names_of(F.col("header")).alias("_names"), cells(F.col("value")).alias("_cells"))
+    cell = lambda c: F.nullif(F.get("_cells", F.array_position("_names", c).cast("int") - 1), F.lit(""))
+    return rows.select(*[F.when(F.array_contains("_names", c), cell(c)).alias(c) for c in names if c not in ("stream_id", "seq")], F.col("_file").alias("stream_id"), "seq")
 
 
-def header_report(spark: SparkSession, path: str) -> DataFrame:
-    """stream_id, missing_columns (those that validate needs and the file lacks, joined by ', '; null if none) and repeated_header of every CSV file below path that has a line: what validate takes as missing."""
-    text = read_samples(spark, path)
-    lacking = F.array_except(F.array(*map(F.lit, VALUES)), "names")
-    found = headers(csv_lines(spark, path)).select(F.col("file").alias("stream_id"), F.when(F.size(lacking) > 0, F.array_join(lacking, ", ")).alias("missing_columns"))
-    return found.join(header_rows(text), "stream_id", "left").withColumn("repeated_header", F.coalesce("repeated_header", F.lit(False)))
+def file_facts(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """A row for every file below path: stream_id (the file), bytes, rows, early_reason (why it can't be judged at all: not_csv_file, cannot_read_file, empty_file; else null), missing_columns (those
+    of VALUES that it lacks, joined by ', '), missing_label (it has no label column), repeated_header (a row has a cell that is its own column's name) and stem_label (the class in its name).
 
-
-def stem_labels(text: DataFrame) -> DataFrame:
-    """stream_id and stem_label, the class in a file's name, of each stream of read_samples: what validate takes for streams without labels."""
-    return text.select("stream_id").distinct().select("stream_id", label_from_stem(F.col("stream_id")).alias("stem_label"))
+    Inventory and lines meet in an outer join, so empty files and other files than CSV are rows too.
+    """
+    files = recording_files(spark, path)
+    lines = recording_lines(files.where("is_csv")) if lines is None else lines
+    names, own = names_of(F.col("header")), cells(F.col("value"))
+    again = F.exists(F.zip_with(names, own, lambda n, c: F.coalesce((n == c) & (n != ""), F.lit(False))), lambda x: x)
+    told = lines.groupBy("file").agg(F.count_if(F.col("seq") >= 0).alias("rows"), F.bool_or(again & (F.col("seq") >= 0)).alias("repeated_header"), F.any_value("header").alias("header"))
+    held = names_of(F.col("header"))
+    lacking = F.array_except(F.array(*map(F.lit, VALUES)), held)
+    told = told.select("file", "rows", "repeated_header", F.when(F.size(lacking) > 0, F.array_join(lacking, ", ")).alias("missing_columns"), (~F.array_contains(held, "label")).alias("missing_label"))
+    n = F.coalesce("rows", F.lit(0))
+    early = F.when(~F.col("is_csv"), "not_csv_file").when(F.col("missing_label").isNull(), "cannot_read_file").when(n == 0, "empty_file")
+    both = files.join(told, "file", "left")
+    return both.select(
+        F.col("file").alias("stream_id"), "bytes", n.alias("rows"), early.alias("early_reason"), "missing_columns", F.coalesce("missing_label", F.lit(False)).alias("missing_label"),
+        F.coalesce("repeated_header", F.lit(False)).alias("repeated_header"), label_from_stem(F.col("file")).alias("stem_label"),
+    )
 
 
 def as_samples(text: DataFrame) -> DataFrame:
@@ -75,19 +81,10 @@ def header_rows(text: DataFrame) -> DataFrame:
 
 
 def list_incoming(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes, rows, status and reason of every file below path: other files than CSV and files without rows FAIL.
-
-    Scans leave out files of no bytes; the names come from the reader's own index of files, which Spark holds in the driver for any read.
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    names = spark.createDataFrame([(f,) for f in listed.inputFiles()], "file string")
-    rows = read_samples(spark, path).groupBy(F.col("stream_id").alias("file")).agg(F.count("*").alias("rows"))
-    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")  # noqa: E731  the two readers write schemes differently
-    sizes = listed.select(plain(F.col("path")).alias("place"), F.col("length").alias("bytes"))
-    both = names.withColumn("place", plain(F.col("file"))).join(sizes, "place", "left").join(rows.select(plain(F.col("file")).alias("place"), "rows"), "place", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
-    n = F.coalesce("rows", F.lit(0))
-    reason = F.when(~F.lower("file").endswith(".csv"), "not_csv_file").when(n == 0, "empty_file").otherwise("ok")
-    return both.select("file", "bytes", n.alias("rows"), F.when(reason == "ok", "PASS").otherwise("FAIL").alias("status"), reason.alias("reason"))
+    """file, bytes, rows, status and reason of every file below path: other files than CSV and files without rows FAIL."""
+    facts = file_facts(spark, path)
+    reason = F.when(F.col("early_reason") == "cannot_read_file", "empty_file").otherwise(F.coalesce("early_reason", F.lit("ok")))
+    return facts.select(F.col("stream_id").alias("file"), "bytes", "rows", F.when(reason == "ok", "PASS").otherwise("FAIL").alias("status"), reason.alias("reason"))
 
 
 def parse_serial_lines(lines: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
