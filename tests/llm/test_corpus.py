@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -67,6 +68,21 @@ def test_groups_are_those_of_all_pairs(spark):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("times", [5, 50, 500])
+def test_pairs_whose_repeats_differ_are_found(spark, times):
+    """100 pairs of texts at a similarity of about 0.96, of which one repeats its first 20 words: weights tell them apart, what counts as alike doesn't."""
+    rng = random.Random(times)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(100):
+        own = [rng.choice(words) for _ in range(400)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:20] * times, *own]))]
+    rows += [(1000 + k, " ".join([*rows[0][1].split()[40 * k : 40 * k + 20] * times, *rows[0][1].split()])) for k in range(6)]  # both repeat, other lines
+    got = {r.doc_id: r.class_id for r in near_duplicates.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    assert all(got[2 * k + 1] == 2 * k for k in range(100))
+
+
 def test_groups_of_odd_texts(docs, none, texts):
     got = near_duplicates.duplicate_groups(docs).collect()
     assert sorted((r.doc_id for r in got), key=lambda x: (x is None, x or 0)) == sorted((i for i, _ in texts), key=lambda x: (x is None, x or 0))

@@ -3,7 +3,8 @@
 Every shingle of a text sends arrivals of a Poisson process whose rate is its weight; each arrival falls into a random
 register, and a register keeps the shingle of its earliest arrival. A shingle stops when its next arrival is later than all
 registers of its text. Two texts agree in a register with the chance of their probability Jaccard, so bands of
-registers bring likely pairs together. Every pair that counts is verified on the whole shingle sets.
+registers bring likely pairs together. Texts that repeat a shingle are sketched a second time with weights of 1, which is how alike is measured.
+Every pair that counts is verified on the whole shingle sets.
 
 Texts with the same shingles become one class first, by a hash of the set. In a bucket of a band the classes meet a few
 leaders of the bucket instead of each other, so a bucket of copies gives a few pairs for each member, however large it is.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tremor.llm.common import blocks, discard, doc_texts, free_name, mix64, stored, table
 
 WORDS, ALIKE = 5, 0.8
-#: At a similarity of 0.8 a pair misses all of 30 bands of 5 registers with a chance of 7e-6; at 0.3 it meets with one of 7 %.
+#: At a similarity of 0.8 a pair misses all of 30 bands of 5 registers of weight 1 with a chance of 7e-6; at 0.3 it meets with one of 7 %.
 BANDS, ROWS = 30, 5
 #: Leaders of a bucket, about; a bucket of few members is led by all of them.
 LEADERS = 8
@@ -97,23 +98,39 @@ def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int,
     return owner.reshape(n_texts, registers)
 
 
-def banded(of: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int, bands: int, rows: int) -> np.ndarray:
-    found = signatures(of, h, 1 + np.log(count), n_texts, bands * rows).reshape(n_texts, bands, rows)
+def banded(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, bands: int, rows: int) -> np.ndarray:
+    """A key of each text for each band."""
+    found = signatures(of, h, weight, n_texts, bands * rows).reshape(n_texts, bands, rows)
     key = np.zeros((n_texts, bands), np.uint64)
     for i in range(rows):
         key = mix64(key * np.uint64(PRIME) + found[:, :, i] + np.uint64(i))
     return key
 
 
+def buckets_of(of: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int, bands: int, rows: int) -> list[np.ndarray]:
+    """The buckets of each text by its weighted shingles, and by shingles of weight 1 where it repeats any.
+
+    What counts as alike doesn't weigh shingles, so a pair whose repeats differ may agree in few weighted registers. Without repeats both weights are the same, so
+    any alike pair meets in buckets of weight 1.
+    """
+    with_band = lambda keys: mix64(keys * np.uint64(PRIME) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+    keys = list(with_band(banded(of, h, 1 + np.log(count), n_texts, bands, rows)))
+    again = np.unique(of[count > 1])
+    own = np.isin(of, again)
+    for i, more in zip(again, with_band(banded(np.searchsorted(again, of[own]), h[own], np.ones(own.sum()), len(again), bands, rows))):
+        keys[i] = np.unique(np.concatenate((keys[i], more)))
+    return keys
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, version (a hash of the text), the hash of the shingle set (two halves), its size and the band keys of each row; a text without words has no keys."""
+    """doc_id, version (a hash of the text), the hash of the shingle set (two halves), its size and the buckets of each row; a text without words has no buckets."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "text", 1_000_000):
                 n = b.num_rows
                 of, h, count = shingles(b.column("text").cast(pa.binary()).to_pylist())
-                keys = banded(of, h, count, n, bands, rows).view(np.int64)
+                keys = buckets_of(of, h, count, n, bands, rows)
                 halves = []
                 for salt in (1, 2):
                     own = np.zeros(n, np.uint64)
@@ -121,11 +138,11 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     halves.append(pa.array(own.view(np.int64)))
                 size = np.bincount(of, minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("version"), *halves, pa.array(size), pa.array([k if y else None for k, y in zip(keys, size)], pa.list_(pa.int64()))], ["doc_id", "version", "set_a", "set_b", "size", "bands"]
+                    [b.column("doc_id"), b.column("version"), *halves, pa.array(size), pa.array([k if y else None for k, y in zip(keys, size)], pa.list_(pa.int64()))], ["doc_id", "version", "set_a", "set_b", "size", "buckets"]
                 )
 
     low = with_version(docs).withColumn("text", F.lower("text"))
-    return low.mapInArrow(sketch, "doc_id long, version long, set_a long, set_b long, size long, bands array<long>")
+    return low.mapInArrow(sketch, "doc_id long, version long, set_a long, set_b long, size long, buckets array<long>")
 
 
 def with_version(docs: DataFrame) -> DataFrame:
@@ -289,10 +306,10 @@ def grouped(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     """doc_id, version, class_id and group_key of each row of docs (doc_id, text), as duplicate_groups describes them."""
     texts = with_version(docs)
     sketched = stored(sketches(docs, bands, rows), "sketches")
-    one = F.struct(F.col("doc_id").isNull(), "doc_id", "version", "bands")
+    one = F.struct(F.col("doc_id").isNull(), "doc_id", "version", "buckets")
     classes = sketched.groupBy("set_a", "set_b").agg(F.max("size").alias("size"), F.min(one).alias("one"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "size", "one.doc_id", "one.version", "one.bands"), "classes")  # written once, so that nodes stay
-    buckets = classes.where("bands IS NOT NULL").select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "size", "one.doc_id", "one.version", "one.buckets"), "classes")  # written once, so that nodes stay
+    buckets = classes.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "node", "size")
     members = stored(with_leaders(buckets, LEADERS), "members")
     crowded = stored(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "version", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id")), "crowded")
     keyed = texts.select("text", "version", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
