@@ -221,3 +221,28 @@ def test_long_gap_free_stream_and_text_ids(spark):
         want.append(y)
     rows = scan.high_pass(samples, {"accZ_raw": "hp"}, 0.99, chunk=100).where("stream_id = 'rec/1.csv'").orderBy("seq").collect()
     assert np.allclose([r.hp for r in rows], want)
+
+
+def test_spectra_are_checked_as_measured(spark):
+    """Two labels, no label, and spectra of other bins or another rate than the window's."""
+    samples = frame(spark, recording(1, 3000)).withColumn("label", F.when(F.col("seq").between(600, 900), F.lit("imbalanced")).when(F.col("seq") >= 2000, F.lit(None).cast("string")).otherwise(F.col("label")))
+    w = spectrum.spectra(windows.sliding_windows(segment.split_segments(samples), 512, 256))
+    got = {r.start_idx: r for r in spectrum.fft_report(w, ["start_idx"], 512, 500.0).collect()}
+    assert got[0].reason == "valid" and (got[0].n_bins, got[0].max_frequency_hz, got[0].resolution_hz) == (257, 250.0, 500 / 512)
+    assert got[256].reason == got[512].reason == got[768].reason == "mixed_labels" and got[1024].reason == "valid" and got[256].n_bins is None
+    assert got[2048].reason == "mixed_labels"  # no label at all
+    short = {r.start_idx: r for r in spectrum.fft_report(w.withColumn("mag", F.slice("mag", 1, 200)), ["start_idx"], 512, 500.0).collect()}
+    assert short[0].reason == "invalid_bins" and short[0].n_bins == 200
+
+
+def test_ingest_repeats_nothing(spark, tmp_path):
+    samples = frame(spark, recording(1, 3000))
+    more = samples.unionByName(samples.withColumn("stream_id", F.col("stream_id") + 100))
+    report = lambda s: validate.validate(s, "real")
+    ids = [validate.ingest(s, report(s), str(tmp_path)) for s in (samples, samples.repartition(3), more, more)]
+    assert ids[0] == ids[1] != ids[2] == ids[3]
+    stored = spark.read.parquet(f"{tmp_path}/samples")
+    assert stored.count() == more.count() and spark.read.parquet(f"{tmp_path}/streams").count() == stored.select("stream_id").distinct().count()
+    changed = samples.withColumn("accX_raw", F.col("accX_raw") + 1)
+    validate.ingest(changed, report(changed), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/samples").count() == more.count() + samples.count()

@@ -233,6 +233,8 @@ SQL: dict[str, str] = {
     "route": f"""WITH {LINES}, n AS (SELECT stream_id, count(*) AS samples, stream_id % 3 = 0 AS warned FROM l GROUP BY stream_id)
       SELECT flag AS accept_warnings, side, coalesce(CAST(sum(samples) AS BIGINT), 0) AS samples, count(samples) AS streams
       FROM (SELECT unnest([false, true]) AS flag), (SELECT unnest(['accepted', 'rejected']) AS side) LEFT JOIN n ON (side = 'accepted') = (flag OR NOT warned) GROUP BY 1, 2""",
+    "ingest": f"""WITH {LINES}, n AS (SELECT stream_id, count(*) AS samples FROM l GROUP BY stream_id)
+      SELECT CASE WHEN stream_id % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS side, CAST(sum(samples) AS BIGINT) AS samples, count(*) AS streams, count(DISTINCT stream_id % 2) AS ingests FROM n GROUP BY 1""",
     "segment_report": f"""WITH {SEGMENTS} SELECT stream_id, segment_id, label, samples, {r('start_ms', 3)} AS start_ms, {r('end_ms', 3)} AS end_ms, status, reason, {r('samples / (1000 / 26e6)', 3)} AS duration_s,
         CASE WHEN status = 'KEPT' THEN CAST(count_if(status = 'KEPT') OVER (PARTITION BY stream_id ORDER BY segment_id) - 1 AS BIGINT) END AS kept_segment_id FROM report""",
     "split_long_streams": f"WITH {SEGMENTS} SELECT stream_id, segment_id, count(*) AS samples, min(seq) AS first, max(idx) AS last_idx FROM si GROUP BY 1, 2",
@@ -248,9 +250,9 @@ SQL: dict[str, str] = {
     "global_window_id": f"WITH {WINDOWS} SELECT stream_id, 0::BIGINT AS segment_id, local_id, label, row_number() OVER (ORDER BY list_position({CLASS_LIST}, label), stream_id, local_id) - 1 AS window_id FROM full_",
     "window_summary": f"WITH {WINDOWS} SELECT label, count(*) AS windows FROM full_ GROUP BY label",
     "spectrum": f"WITH {EMB} SELECT vec_id, k::INTEGER AS bin, {r('mag', 8)} AS magnitude, {r('f', 8)} AS frequency_hz FROM mags",
-    "fft_report": f"""WITH {WINDOWS}, o AS (SELECT stream_id, 0::BIGINT AS segment_id, local_id, CASE WHEN stream_id % 10 = 0 THEN 'unknown' ELSE label END AS label FROM full_),
-      q AS (SELECT *, CASE WHEN local_id = 3 THEN 'invalid_window_size' WHEN label = 'unknown' THEN 'invalid_label' ELSE 'valid' END AS reason FROM o)
-      SELECT {WINDOW_KEYS}, label, CASE WHEN reason = 'valid' THEN 'OK' ELSE 'FAIL' END AS status, reason, 65 AS n_bins, false AS dc_removed FROM q""",
+    "fft_report": f"""WITH {WINDOWS}, o AS (SELECT stream_id, 0::BIGINT AS segment_id, local_id, CASE WHEN stream_id % 10 = 0 THEN 'unknown' WHEN stream_id % 7 = 0 THEN CASE WHEN local_id < 2 THEN 'healthy' ELSE 'obstruction' END ELSE label END AS label FROM full_),
+      q AS (SELECT *, CASE WHEN local_id = 3 THEN 'invalid_window_size' WHEN stream_id % 7 = 0 AND local_id < 2 THEN 'mixed_labels' WHEN label = 'unknown' THEN 'invalid_label' ELSE 'valid' END AS reason FROM o)
+      SELECT {WINDOW_KEYS}, label, CASE WHEN reason = 'valid' THEN 'OK' ELSE 'FAIL' END AS status, reason, CASE WHEN reason = 'valid' THEN 65::INTEGER END AS n_bins, CASE WHEN reason = 'valid' THEN 250.0::DOUBLE END AS max_frequency_hz, CASE WHEN reason = 'valid' THEN 3.90625::DOUBLE END AS resolution_hz, false AS dc_removed FROM q""",
     "spectrum_warnings": """SELECT vec_id, CASE vec_id % 5 WHEN 1 THEN 'length_mismatch' WHEN 2 THEN 'negative_magnitude' WHEN 3 THEN 'nan_found' WHEN 4 THEN 'invalid_bins | length_mismatch | unexpected_maximum_frequency' ELSE '' END AS warnings FROM embeddings""",
     "spectral_table": f"""WITH {EMB}, c AS (SELECT vec_id, sum(f * mag) / sum(mag) AS c FROM mags GROUP BY vec_id)
       SELECT vec_id, {r('arg_max(f, mag)')} AS dominant_frequency, {r('max(mag)')} AS max_magnitude, {r('avg(mag)')} AS mean_magnitude, {r('stddev_pop(mag)')} AS std_magnitude, {r('sum(mag * mag)')} AS total_energy, {r('any_value(c)')} AS spectral_centroid,

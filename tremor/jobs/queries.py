@@ -162,6 +162,16 @@ def q_route(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def q_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings of even suppliers brought in twice, then those of all: what is stored, by side."""
+    path = new_path(spark, "ingested")
+    samples = ad.line_samples(spark, d).withColumn("accX_raw", F.when((F.col("stream_id") % 3 == 0) & (F.col("seq") == 5), F.lit(5000.0)).otherwise(F.col("accX_raw")))
+    report = validate.validate(samples, "real", ad.LINES)
+    for some in (samples.where("stream_id % 2 = 0"), samples.where("stream_id % 2 = 0"), samples):
+        validate.ingest(some, report, path)
+    return spark.read.parquet(f"{path}/samples").groupBy("side").agg(F.count("*").alias("samples"), F.count_distinct("stream_id").alias("streams"), F.count_distinct("ingest").alias("ingests"))
+
+
 # Segments
 
 
@@ -237,9 +247,11 @@ def q_spectrum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fft_report(spark: SparkSession, d: str) -> DataFrame:
-    w = line_windows(spark, d)
+    """Windows of every seventh recording change their label at sample 100; some windows are cut short, and some labels unknown."""
+    samples = ad.line_samples(spark, d).withColumn("label", F.when(F.col("stream_id") % 7 != 0, F.col("label")).when(F.col("seq") < 100, "healthy").otherwise("obstruction"))
+    w = windows.sliding_windows(segment.split_segments(samples, ad.LINES), SIZE, ad.LINES.hop)
     odd = w.withColumn("accZ_filt", F.when(F.col("local_id") == 3, F.slice("accZ_filt", 1, 100)).otherwise(F.col("accZ_filt"))).withColumn("label", F.when(F.col("stream_id") % 10 == 0, "unknown").otherwise(F.col("label")))
-    return spectrum.fft_report(odd, KEYS, SIZE)
+    return spectrum.fft_report(spectrum.spectra(odd), KEYS, SIZE, RATE)
 
 
 def q_spectrum_warnings(spark: SparkSession, d: str) -> DataFrame:

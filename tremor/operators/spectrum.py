@@ -57,14 +57,24 @@ def spectrum_warnings(freq: Column, mag: Column, bins: int, most_hz: float) -> C
     ))
 
 
-def fft_report(windows: DataFrame, keys: list[str], size: int, signal: str = "accZ_filt") -> DataFrame:
-    """keys, label, status and reason: whether a window can be transformed."""
-    x = F.col(signal)
-    reason = (
-        F.when(x.isNull() | (F.size(x) != size), "invalid_window_size").when(F.col("label").isNull() | ~F.col("label").isin(*CLASSES), "invalid_label")
-        .when(F.exists(x, lambda v: v.isNull() | F.isnan(v)), "non_numeric_values").otherwise("valid")
+def fft_report(spectra: DataFrame, keys: list[str], size: int, rate_hz: float, signal: str = "accZ_filt", mag: str = "mag") -> DataFrame:
+    """keys, label, status and reason: whether a window was one to transform, and whether its spectrum has the bins and the top frequency that its size and rate ask for.
+
+    n_bins, max_frequency_hz and resolution_hz are those of the spectrum at hand; null where the window was none to transform. A window without any label counts as mixed.
+    """
+    x, m = F.col(signal), F.col(mag)
+    bins, top = F.size(m), (F.size(m) - 1) * (F.lit(float(rate_hz)) / F.size(x))
+    early = (
+        F.when(x.isNull() | (F.size(x) != size), "invalid_window_size").when(F.col("mixed_labels") | F.col("label").isNull(), "mixed_labels").when(~F.col("label").isin(*CLASSES), "invalid_label")
+        .when(F.exists(x, lambda v: v.isNull() | F.isnan(v)), "non_numeric_values")
+    )
+    near = F.abs(top - rate_hz / 2) <= 1e-8 + 1e-5 * rate_hz / 2
+    reason = F.coalesce(early, F.when(m.isNull() | (bins != size // 2 + 1), "invalid_bins").when(~near, "invalid_max_frequency"), F.lit("valid"))
+    own = lambda c, name: F.when(early.isNull() & m.isNotNull(), c).alias(name)
+    return spectra.select(
+        *keys, "label", F.when(reason == "valid", "OK").otherwise("FAIL").alias("status"), reason.alias("reason"), own(bins, "n_bins"), own(top, "max_frequency_hz"),
+        own(F.lit(float(rate_hz)) / F.size(x), "resolution_hz"), F.lit(False).alias("dc_removed"),
     )
-    return windows.select(*keys, "label", F.when(reason == "valid", "OK").otherwise("FAIL").alias("status"), reason.alias("reason"), F.lit(size // 2 + 1).alias("n_bins"), F.lit(False).alias("dc_removed"))
 
 
 def band_share(mag: Column, rate_hz: float, n: int) -> dict[str, Column]:

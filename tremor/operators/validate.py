@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremor.config import AXES, CLASSES, DEFAULT, VALUES, Sampling
 from tremor.functions.labels import normalize_label
 from tremor.operators.scan import with_before
+from tremor.sources.shared import exists, written
 
 #: Rows of a stream that are put in order at once.
 CHUNK = 1_000_000
@@ -186,6 +187,27 @@ def route(samples: DataFrame, report: DataFrame, accept_warnings: bool = False)
     return accepted, samples.join(report.where(good).select("stream_id"), "stream_id", "left_anti")
 
 
+def ingest(samples: DataFrame, report: DataFrame, path: str, accept_warnings: bool = False) -> str:
+    """Writes accepted and rejected streams below path in one pass, by side and by ingest: the id of this batch, from the digests of its streams. Gives the id.
+
+    A run that is repeated, or taken up after a loss, replaces its own folders, so it adds nothing; streams of the same rows that another batch has brought are left out. What was
+    written is read back from path/samples, and path/streams lists stream_id, digest, status, side and ingest.
+    """
+    spark = samples.sparkSession
+    row = F.xxhash64(*sorted(samples.columns)).cast("decimal(38,0)")  # a sum of hashes doesn't depend on the order of rows
+    content = samples.groupBy("stream_id").agg(F.sum(row).alias("_sum"), F.count("*").alias("_n")).select("stream_id", F.sha2(F.concat_ws(":", "_sum", "_n"), 256).alias("digest"))
+    good = F.col("status").isin("PASS", "WARNING") if accept_warnings else F.col("status") == "PASS"
+    sided = content.join(report.select("stream_id", "status"), "stream_id").select("stream_id", "digest", "status", F.when(good, "accepted").otherwise("rejected").alias("side"))
+    total = sided.agg(F.sum(F.xxhash64("stream_id", "digest", "side").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).select(F.sha2(F.concat_ws(":", "s", "n"), 256).alias("id"))
+    batch = total.first().id[:16]
+    if exists(spark, f"{path}/streams"):
+        sided = sided.join(spark.read.parquet(f"{path}/streams").where(F.col("ingest") != batch).select("stream_id", "digest"), ["stream_id", "digest"], "left_anti")
+    fresh = written(sided.withColumn("ingest", F.lit(batch)), "ingest")
+    for name, rows in (("samples", samples.join(fresh.select("stream_id", "side", "ingest"), "stream_id")), ("streams", fresh)):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("side", "ingest").parquet(f"{path}/{name}")
+    return batch
+
+
 def rewrite_labels(samples: DataFrame, inferred: Column) -> tuple[DataFrame, DataFrame]:
     """Samples with the inferred label, and for each stream whether any label differed from it."""
     marked = samples.withColumn("inferred", inferred)

@@ -47,7 +47,7 @@ def _arrays(names: list[str]) -> list:
 
 
 def sliding_windows(segments: DataFrame, size: int, hop: int, chunk: int = 4096) -> DataFrame:
-    """Complete windows of size samples at 0, hop, ... of each segment: local_id, start_idx, label and an array for each column.
+    """Complete windows of size samples at 0, hop, ... of each segment: local_id, start_idx, label (the first sample's), mixed_labels (it holds two labels) and an array for each column.
 
     Samples are grouped once into blocks of hop, and a window joins its block with the next ones, so no row is doubled. A long segment is dealt out by
     chunks of blocks; the first blocks of a chunk are also lent to the one before it. size must be a multiple of hop.
@@ -56,13 +56,16 @@ def sliding_windows(segments: DataFrame, size: int, hop: int, chunk: int = 4096)
         raise ValueError("size must be a multiple of hop")
     ahead = size // hop - 1
     chunk = max(chunk, ahead)
-    blocks = segments.groupBy(*KEYS, F.floor(F.col("idx") / hop).cast("long").alias("local_id")).agg(F.min_by("label", "idx").alias("label"), *_arrays(ARRAYS))
+    blocks = segments.groupBy(*KEYS, F.floor(F.col("idx") / hop).cast("long").alias("local_id")).agg(F.min_by("label", "idx").alias("label"), F.min("label").alias("_least"), F.max("label").alias("_most"), *_arrays(ARRAYS))
     own = F.floor(F.col("local_id") / chunk).cast("long")
     lent = (own > 0) & (F.col("local_id") % chunk < ahead)
     dealt = blocks.withColumn("chunk", F.explode(F.when(lent, F.array(own, own - 1)).otherwise(F.array(own))))
     order = Window.partitionBy(*KEYS, "chunk").orderBy("local_id")
     joined = [F.concat(F.col(c), *[F.coalesce(F.lead(c, i).over(order), F.array().cast("array<double>")) for i in range(1, ahead + 1)]).alias(c) for c in ARRAYS]
-    windows = dealt.select(*KEYS, "chunk", "local_id", (F.col("local_id") * hop).alias("start_idx"), "label", *joined)
+    # the least and the greatest label of a block tell those of its windows
+    over = lambda f, c: f(F.col(c), *[F.lead(c, i).over(order) for i in range(1, ahead + 1)]) if ahead else F.col(c)
+    mixed = F.coalesce(over(F.least, "_least") != over(F.greatest, "_most"), F.lit(False))
+    windows = dealt.select(*KEYS, "chunk", "local_id", (F.col("local_id") * hop).alias("start_idx"), "label", mixed.alias("mixed_labels"), *joined)
     return windows.where((own == F.col("chunk")) & (F.size("timestamp_ms") == size)).drop("chunk")
 
 
