@@ -528,6 +528,57 @@ def test_deep_pages_and_states_of_pages(spark):
     assert got == {1: "body text\n\nafter", 2: "kept", 3: "all of it is noise", 4: "a b c"}
 
 
+def texts_of(spark, pages, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_copies_and_shared_quotations_are_no_frame(spark):
+    """Six articles, two views and five copies of another one, and a quotation that two articles share: all of it is text, whatever repeats."""
+    page = lambda i, more="": f"<body><nav>Home</nav><article><h1>T{i}</h1><div>{prose(i, 60)}</div>{more}</article><footer>F</footer></body>"
+    quoted = f"<div>{prose(77, 25)}</div>"
+    pages = [page(i, quoted if i < 2 else "") for i in range(6)]
+    shown = f"<article><h1>Z</h1><section><div>{prose(50, 80)}</div><div>{prose(51, 40)}</div></section></article>"
+    pages += [f"<body><nav>Home</nav>{shown}</body>", f"<body class=print>{shown}<p>printed</p></body>"] + [f"<body><nav>Home</nav>{shown}</body>"] * 5
+    want = [f"T{i}\n\n{prose(i, 60)}" + (f"\n\n{prose(77, 25)}" if i < 2 else "") for i in range(6)] + [f"Z\n\n{prose(50, 80)}\n\n{prose(51, 40)}"] * 7
+    assert texts_of(spark, pages) == want
+
+
+def test_the_wrapper_knows_more_than_the_page(spark):
+    """An unnamed box inside the article that is the same on all pages: a page's own tree can't tell it from text, its host's pages do."""
+    pages = [f"<article><h1>T{i}</h1><p>{prose(i, 50)}</p><div>Join the club today and read on</div><p>{prose(100 + i, 30)}</p></article>" for i in range(7)]
+    got, want = texts_of(spark, pages), [f"T{i}\n\n{prose(i, 50)}\n\n{prose(100 + i, 30)}" for i in range(7)]
+    assert got == want
+    alone = [wrappers.text_of("[]", (), p) for p in pages]
+    assert all("Join the club" in t for t in alone) and alone != want
+
+
+def test_frame_never_takes_most_of_a_page(spark):
+    """A page whose article is what most pages have as a box keeps it."""
+    box = f"<div>{prose(5, 60)}</div>"
+    pages = [f"<article><h1>T{i}</h1><p>{prose(i, 150)}</p>{box}</article>" for i in range(6)] + [f"<article><h1>Only</h1>{box}</article>"]
+    got = texts_of(spark, pages)
+    assert got[-1] == f"Only\n\n{prose(5, 60)}" and got[0] == f"T0\n\n{prose(0, 150)}"
+
+
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ("<div class='menu-recipe'>{0}</div>", True), ("<div class='search-engine-history'>{0}</div>", True), ("<div id='responses'>{0}</div>", False), ("<div class='comment-list'>{0}</div>", False),
+        ("<div class='cookie-banner'>{0}</div>", False), ("<div class='related-articles'>{0}</div>", False), ("<div class='with-sidebar'>{0}</div>", True), ("<section class='social-history'>{0}</section>", True),
+    ],
+)
+def test_names_of_elements(spark, inner, kept):
+    pages = [f"<article><h1>T{i}</h1><p>{prose(i, 40)}</p>{inner.format(prose(100 + i, 20))}</article>" for i in range(4)]
+    assert texts_of(spark, pages) == [f"T{i}\n\n{prose(i, 40)}" + (f"\n\n{prose(100 + i, 20)}" if kept else "") for i in range(4)]
+
+
+def test_site_header_in_main(spark):
+    pages = [f"<main><header><div>Site {i}</div></header><header><h1>T{i}</h1></header><p>{prose(i, 40)}</p></main>" for i in range(4)]
+    assert texts_of(spark, pages) == [f"T{i}\n\n{prose(i, 40)}" for i in range(4)]
+
+
 # Registered queries
 
 

@@ -35,9 +35,18 @@ ENDS = {"li": (("li",), "ul ol menu"), "dt": (("dt", "dd"), "dl"), "dd": (("dt",
 NOISE_TAGS = set("head nav footer aside form button select option dialog menu object canvas".split())
 NOISE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs related recommended recommendations comment comments disqus reply replies respond promo promotion sponsor sponsored "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs related recommended recommendations comment comments disqus reply replies respond response responses promo promotion sponsor sponsored "
     "footer masthead topbar toolbar pagination pager widget login search".split()
 )
+#: Words that say what shape an element has: beside a noise word they leave its meaning as it is (cookie-bar), others don't (menu-recipe).
+SHAPES = set(
+    "area article articles bar block body bottom box btn button buttons card col column container content form group header holder icons inner item items large layer left link links list main module outer page panel "
+    "post posts primary right row section secondary site slot small stories thread title top unit wrap wrapper zone".split()
+)
+#: A host's slot whose text never changes is frame if so many unlike pages have it, and such a share of the host's unlike pages.
+LEAST_PAGES, FRAME_SHARE = 3, 0.5
+#: Digests of a slot's unlike pages that are kept, the least ones: up to so many are counted exactly, more are estimated.
+PAGE_DIGESTS = 32
 #: A class that starts so says what a page has, not what an element is.
 STATES = ("has-", "no-", "with-", "without-", "is-", "not-")
 ROOT_WORDS = {"main", "articlebody"}
@@ -50,19 +59,22 @@ LEVELS = 100
 
 
 def noise_word(name: str) -> bool:
-    return not name.startswith(STATES) and bool(NOISE_WORDS & set(re.split("[^a-z]+", name)))
+    """Whether a class or id is one of the noise words, alone or with others of them and words of shape."""
+    words = {w for w in re.split("[^a-z]+", name) if len(w) > 1}
+    return not name.startswith(STATES) and bool(NOISE_WORDS & words) and words <= NOISE_WORDS | SHAPES
 
 
 @lru_cache(20_000)
 def label(tag: str, attributes: str) -> str:
-    """The tag with its classes and roles: those that tell noise or the article, and the first part of the first one. Of ids only the telling ones, since others name single elements."""
+    """The tag with its classes and roles: those that tell noise or the article, and the first part of the first one (all of it, if that part alone would tell noise). Of ids only the telling ones, since others name single elements."""
     kept, first = [], ""
     for kind, value in NAMED.findall(attributes):
         for name in re.sub(r"[^\w\s-]", "", value.lower()).split():
             if noise_word(name) or name in ROOT_WORDS:
                 kept.append(re.sub(r"\d+", "0", name))
             elif not first and kind.lower() != "id":
-                first = re.sub(r"\d+", "0", re.split("[-_]", name)[0])
+                part = re.split("[-_]", name)[0]
+                first = re.sub(r"\d+", "0", name if noise_word(part) else part)
     return ".".join([tag, *filter(None, [first]), *kept])
 
 
@@ -333,6 +345,14 @@ def clean(names: Iterable[str]) -> bool:
     return not any(map(is_noise, names))
 
 
+def site_header(place: tuple, mains: set[int]) -> bool:
+    """Whether a slot is in a header element of a main part, and no heading."""
+    nodes, names = place
+    first = next((i for i, n in enumerate(nodes) if n in mains), len(nodes))
+    inner = [tag_of(n) for n in names[first + 1 :]]
+    return "header" in inner and not any(re.fullmatch("h[1-6]", t) for t in inner)
+
+
 def decide(places: list, chars: dict[int, int], frame: set[int]) -> list[int]:
     """The slots of the article. places: slots() of the wrapper; chars: the size of the texts in each slot; frame: slots whose text never changes.
 
@@ -350,7 +370,8 @@ def decide(places: list, chars: dict[int, int], frame: set[int]) -> list[int]:
     if articles:
         inside = lambda k: any(n in articles for n in places[k][0])
         kept = lambda k: k not in frame or tag_of((places[k][1] or ("",))[-1]) in HEADS
-        return sorted(k for k in held if inside(k) and kept(k))
+        mains = {n for n in articles if tag_of(name_of[n]) != "article"}
+        return sorted(k for k in held if inside(k) and kept(k) and not (mains and site_header(places[k], mains)))
     body = [k for k in held if k not in frame and "header" not in map(tag_of, places[k][1])] or held
     weights = defaultdict(int)
     for k in body:
@@ -418,8 +439,22 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(fold, "host string, items string").withColumnRenamed("items", "wrapper")
 
 
+def page_digest(texts: list[str]) -> int:
+    """A digest of a page's three longest texts: views and copies of one article count as one page, even where a notice is long."""
+    return zlib.crc32("\n".join(sorted(texts, key=lambda t: (-len(t), t))[:3]).encode("utf-8", "surrogatepass"))
+
+
+def unlike_pages(digests: list[int]) -> float:
+    """How many pages the least PAGE_DIGESTS of their digests stand for."""
+    return len(digests) if len(digests) < PAGE_DIGESTS else (PAGE_DIGESTS - 1) * 2**32 / max(digests[-1], 1)
+
+
 def article_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """host, wrapper and kept (the slots of the article) for each of found (host, wrapper), from the texts of all pages (url, html)."""
+    """host, wrapper, kept (the slots of the article) and whole (those it would have without the frame) for each of found (host, wrapper), from the texts of all pages (url, html).
+
+    Frame is a slot whose text never changes, on three unlike pages at least and half of the host's unlike pages: a quotation that two articles share is none, nor is an
+    article that has a print view, or copies.
+    """
     rows = with_host(pages).select("host", "html").join(found, "host")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,13 +462,17 @@ def article_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
                 texts, _, at = slots_of_page(wrapper, page)
+                own = page_digest(texts)
                 joined = defaultdict(list)
                 for k, slot in at.items():
                     joined[slot].append(texts[k])
+                joined[-1] = []  # stands for the host
                 for slot, some in joined.items():
                     digest = zlib.crc32("\n".join(some).encode("utf-8", "surrogatepass"))
-                    n, chars, low, high = held.get((host, slot), (0, 0, digest, digest))
-                    held[host, slot] = n + 1, chars + sum(map(len, some)), min(low, digest), max(high, digest)
+                    chars, low, high, seen = held.get((host, slot), (0, digest, digest, ()))
+                    if own not in seen and (len(seen) < PAGE_DIGESTS or own < seen[-1]):
+                        seen = tuple(sorted((*seen, own)))[:PAGE_DIGESTS]
+                    held[host, slot] = chars + sum(map(len, some)), min(low, digest), max(high, digest), seen
             if len(held) > 100_000:
                 yield rows_of(held)
                 held = {}
@@ -441,31 +480,38 @@ def article_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
 
     def rows_of(held: dict) -> pa.RecordBatch:
         columns = list(zip(*[(*k, *v) for k, v in held.items()])) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 5))], ["host", "slot", "n", "chars", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())))], ["host", "slot", "chars", "low", "high", "pages"])
 
-    counted = rows.mapInArrow(read, "host string, slot long, n long, chars long, low long, high long").groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # as many digests as tasks have kept, at most
+    least = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("pages")))), 1, PAGE_DIGESTS).alias("pages")
+    counted = rows.mapInArrow(read, "host string, slot long, chars long, low long, high long, pages array<long>").groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"), least)
     # as many entries as the wrapper has slots
-    by_host = counted.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "chars", "low", "high")).alias("slots"))
+    by_host = counted.groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "low", "high", "pages")).alias("slots"))
 
-    @F.pandas_udf("array<long>")
-    def kept(wrapper: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("kept array<long>, whole array<long>")
+    def chosen(wrapper: pd.Series, own: pd.Series) -> pd.DataFrame:
+        kept, whole = [], []
         for w, s in zip(wrapper, own):
-            s = [] if s is None else list(s)
-            still = {x["slot"] for x in s if x["low"] == x["high"] and x["n"] > 1}
-            # if no text of the host changes, its pages are copies of one and nothing is frame
-            frame = still if any(x["low"] != x["high"] for x in s) else set()
-            out.append(decide(slots(json.loads(w)), {x["slot"]: x["chars"] for x in s}, frame))
-        return pd.Series(out, dtype=object)
+            s = {x["slot"]: x for x in ([] if s is None else s)}
+            n = {k: unlike_pages(list(x["pages"])) for k, x in s.items()}
+            frame = {k for k, x in s.items() if k >= 0 and x["low"] == x["high"] and n[k] >= max(LEAST_PAGES, FRAME_SHARE * n[-1])}
+            places, chars = slots(json.loads(w)), {k: x["chars"] for k, x in s.items() if k >= 0}
+            kept.append(decide(places, chars, frame))
+            whole.append(decide(places, chars, set()) if frame else kept[-1])
+        return pd.DataFrame({"kept": kept, "whole": whole}, dtype=object)
 
-    return found.join(by_host, "host", "left").select("host", "wrapper", kept("wrapper", "slots").alias("kept"))
+    return found.join(by_host, "host", "left").withColumn("chosen", chosen("wrapper", "slots")).select("host", "wrapper", "chosen.kept", "chosen.whole")
 
 
-def text_of(wrapper: str | None, kept: Iterable[int], page: str) -> str:
-    """The article of a page: its texts in the kept slots; if it has none there, what its own tree alone tells."""
+def text_of(wrapper: str | None, kept: Iterable[int], page: str, whole: Iterable[int] = ()) -> str:
+    """The article of a page: its texts in the kept slots. If that leaves less than half of what it has in the whole ones, frame was none to this page, and they are taken; if it has
+    no text there, what its own tree alone tells."""
     texts, items, at = slots_of_page(wrapper or "[]", page)
     own = set(kept)
     taken = [t for k, t in enumerate(texts) if at.get(k, -1) in own]
+    if own != (also := set(whole) or own):
+        all_ = [t for k, t in enumerate(texts) if at.get(k, -1) in also]
+        taken = all_ if 2 * sum(map(len, taken)) < sum(map(len, all_)) else taken
     if not taken and texts:
         places, alone = slots(items), {}
         match(numbered(items), items, alone)
@@ -490,7 +536,7 @@ def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "html"):
-                out = [text_of(w, kept if kept is not None else (), page) for page, w, kept in zip(*(b.column(c).to_pylist() for c in ("html", "wrapper", "kept")))]
+                out = [text_of(w, kept or (), page, whole or ()) for page, w, kept, whole in zip(*(b.column(c).to_pylist() for c in ("html", "wrapper", "kept", "whole")))]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
