@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,68 @@ def test_live_windows_do_not_depend_on_batches(spark, tmp_path, files):
     assert got == sorted(want)
 
 
+def streamed(spark, rows, base, name, checkpoint, **more):
+    """What live_windows gives for rows (stream_id, seq, accZ_raw) that are added to the source, from a checkpoint on."""
+    df = spark.createDataFrame(rows, "stream_id long, seq long, accZ_raw double")
+    df.coalesce(1).write.mode("append").parquet(f"{base}/{name}-in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{base}/{name}-in")
+    found = live.live_windows(stream, 16, 8, ("accZ_raw",), 0.9936, **more)
+    found.writeStream.format("parquet").option("path", f"{base}/{name}-out").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.stream_id, r.local_id, round(r.rms, 9), r.is_transient) for r in spark.read.parquet(f"{base}/{name}-out").collect())
+
+
+def test_live_state_outlives_queries(spark, tmp_path):
+    """One query; one that is stopped and started; and a new one that begins with the state of another: the same windows."""
+    base, rows = str(tmp_path), [(s, i, float((i * 37 + s) % 11)) for s in range(3) for i in range(100)]
+    first, rest = [r for r in rows if r[1] < 45], [r for r in rows if r[1] >= 45]
+    whole = streamed(spark, rows, base, "a", f"{base}/a-state")
+    begun = streamed(spark, first, base, "b", f"{base}/b-state")
+    state = live.live_state(spark, f"{base}/b-state")
+    assert {(r.stream_id, r.n, r.emitted) for r in state.collect()} == {(s, 45, 4) for s in range(3)}
+    state.write.parquet(f"{base}/kept")
+    assert streamed(spark, rest, base, "b", f"{base}/b-state") == whole
+    assert sorted(begun + streamed(spark, rest, base, "c", f"{base}/c-state", initial=spark.read.parquet(f"{base}/kept"))) == whole
+
+
+def test_silent_streams_are_dropped(spark, tmp_path):
+    base = str(tmp_path)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        streamed(spark, [(s, i, 1.0) for s in (1, 2) for i in range(10)], base, "a", f"{base}/state", silent_ms=1500)
+        assert {r.stream_id for r in live.live_state(spark, f"{base}/state").collect()} == {1, 2}
+        time.sleep(2)
+        streamed(spark, [(2, i, 1.0) for i in range(10, 12)], base, "a", f"{base}/state", silent_ms=600_000)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert 1 not in {r.stream_id for r in live.live_state(spark, f"{base}/state").collect()}
+
+
+def test_snapshots_rewrite_touched_buckets_alone(spark, tmp_path):
+    base = str(tmp_path)
+    message = lambda k: json.dumps({"inference": {"prediction": f"p{k}", "confidence": 0.5}})
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "device long, event_id long, payload string")
+        df.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        live.stream_snapshot(stream, f"{base}/out", f"{base}/state", "device", "event_id", buckets=16, kept=2).awaitTermination()
+        return {r.device: (r.event_id, json.loads(r.payload)["inference"]["prediction"]) for r in live.snapshot(spark, f"{base}/out").collect()}
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(f"{base}/out/data") for f in names if f.startswith("part-")}
+
+    assert feed([(1, 1, "{broken")]) == {}
+    assert feed([(d, d, message(d)) for d in range(200)]) == {d: (d, f"p{d}") for d in range(200)}
+    before = files()
+    assert len(before) == 16
+    got = feed([(7, 1000, message(1000)), (7, 3, message(3)), (8, 2000, "{broken")])
+    assert got == {d: (d, f"p{d}") for d in range(200)} | {7: (1000, "p1000")}
+    assert len(files() - before) == 1 and len(before - files()) == 0  # one bucket written; the version before stands whole
+    assert live.snapshot(spark, f"{base}/out", 1).where("device = 7").first().event_id == 7
+    feed([(9, 1001, message(1))])
+    assert len(live.manifests(spark, f"{base}/out")) == 2 and len(before - files()) == 1 and live.snapshot(spark, f"{base}/out", 2).count() == 200
+
+
 def test_long_recordings_are_streamed_whole(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_suppkey <= 4")
     hot = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1500).withColumn("l_suppkey", F.lit(99).cast(rows.schema["l_suppkey"].dataType))

@@ -29,6 +29,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def folders(spark: SparkSession, path: str, before: str) -> list[int]:
+    """The numbers in the names (before and a number) of a folder's finished folders: those that hold a _SUCCESS mark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    return sorted(int(n.removeprefix(before)) for n in names if n.startswith(before) and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whichever store it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
