@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.jobs import queries
-from tremor.operators import segment, validate
+from tremor.operators import features, segment, validate
 from tremor.sources import adapters as ad
 from tremor.sources import io, recordings
 from tremor.streaming import live
@@ -198,3 +198,15 @@ def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, split):
         got.setdefault(r.file.removeprefix(f"file://{tmp_path}/"), []).append((r.seq, r.header, r.value))
     want = {n: [x.rstrip("\r") for x in t.split("\n") if x.strip()] for n, t in texts.items() if n.lower().endswith(".csv") and n != "_no.csv"}
     assert got == {n: [(k - 1, v[0], x) for k, x in enumerate(v)] for n, v in want.items() if v}
+
+
+def test_bucketed_tables_join_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        spectra, windows = queries.bucketed_windows(spark, "/root/testdata/sf0.001")
+        both, lost = features.join_spectra_windows(spectra, windows, queries.KEYS)
+        plan = both._jdf.queryExecution().executedPlan().toString() + lost._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert both.count() + lost.count() == spectra.count() and lost.count() == spectra.where("local_id = 2").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -333,3 +333,5 @@ SQL: dict[str, str] = {
     "stream_scores": LIVE_SCORES,
 }
 SQL["stream_snapshot"] = SQL["latest_snapshot"]
+# the same rows from tables that are dealt otherwise
+SQL["join_bucketed"], SQL["kept_bucketed"] = SQL["join_spectra_windows"], SQL["kept_samples"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tremor.operators import checks, features, model, scan, segment, spectrum, t
 from tremor.sources import adapters as ad
 from tremor.sources import io
 from tremor.sources.shared import new_path
+from tremor.sources.tables import write_bucketed
 
 KEYS = ["stream_id", "segment_id", "local_id"]
 RATE, SIZE, N = 500.0, 128, 64
@@ -330,6 +332,29 @@ def q_join_spectra_windows(spark: SparkSession, d: str) -> DataFrame:
     return both.select(*KEYS, F.lit("OK").alias("status")).unionByName(lost)
 
 
+def bucketed_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Spectra and windows (of all but the second hop) as tables bucketed by window."""
+    w, name = line_windows(spark, d), f"w{uuid.uuid4().hex}"
+    spectra = write_bucketed(spectrum.spectra(w).select(*KEYS, "mag"), f"{name}_spectra", new_path(spark, "spectra"), KEYS)
+    return spectra, write_bucketed(w.where("local_id <> 2").select(*KEYS, "label"), f"{name}_windows", new_path(spark, "windows"), KEYS, partition="label")
+
+
+def q_join_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """join_spectra_windows on bucketed tables, windows in folders of their class."""
+    both, lost = features.join_spectra_windows(*bucketed_windows(spark, d), KEYS)
+    return both.select(*KEYS, F.lit("OK").alias("status")).unionByName(lost)
+
+
+def q_kept_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """kept_samples on bucketed tables: samples and report dealt by segment."""
+    segments, name = event_segments(spark, d), f"s{uuid.uuid4().hex}"
+    keys = KEYS[:2]
+    samples = write_bucketed(segments, f"{name}_samples", new_path(spark, "samples"), keys)
+    report = write_bucketed(segment.segment_report(samples, ad.EVENTS), f"{name}_report", new_path(spark, "report"), keys)
+    kept = segment.kept_samples(samples, report)
+    return rounded(kept.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("accX_raw").alias("x")), 4)
+
+
 def q_feature_summary(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_summary(features.features(line_windows(spark, d), KEYS, ad.LINES, SIZE))
 
