@@ -225,14 +225,21 @@ def brute_print(tree):
 def brute_likeness(a, b):
     if a == b:
         return 1.0
-    freeze = lambda tree: {(d, tuple((q, tuple(x)) for q, x in ps)) for d, ps in tree}
-    a, b, same = freeze(a), freeze(b), 0
-    same += sum(len(x) for s in a & b for _, x in s[1])
-    pa, pb = ({p for s in one for p in s[1]} for one in (a - b, b - a))
-    same += sum(len(x) for _, x in pa & pb)
-    la, lb = ({x for p in one for x in p[1]} for one in (pa - pb, pb - pa))
-    same += len(la & lb)
-    return 2 * same / (2 * same + len(la - lb) + len(lb - la))
+    a, b = (Counter((d, tuple((q, tuple(x)) for q, x in ps)) for d, ps in tree) for tree in (a, b))
+    same = sum(n * len(x) for s, n in (a & b).items() for _, x in s[1])
+    pa, pb = (Counter(p for s in one.elements() for p in s[1]) for one in (a - b, b - a))
+    same += sum(n * len(x) for (_, x), n in (pa & pb).items())
+    la, lb = (Counter(x for p in one.elements() for x in p[1]) for one in (pa - pb, pb - pa))
+    same += (la & lb).total()
+    return 2 * same / (2 * same + (la - lb).total() + (lb - la).total())
+
+
+def test_repeats_are_matched_one_to_one(spark):
+    pairs = [("a. b. ", "a. a. b. "), ("x\n" * 5, "x\n" * 3), ("", "a. "), ("a. b. c. ", "c. b. a. "), ("\n".join(prose(i % 3, 20) for i in range(30)), "\n".join(prose(i % 3, 20) for i in range(21)) + " more. one")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle.likeness(merkle.sections(F.col("a")), merkle.sections(F.col("b"))).alias("l"))
+    got = {(r.a, r.b): r.l for r in df.collect()}
+    assert all(abs(got[p] - brute_likeness(*map(brute_tree, p))) < 1e-9 for p in pairs)
+    assert got[pairs[0]] < 1 and got[pairs[1]] < 1
 
 
 def test_fingerprints(spark, docs, none, texts):

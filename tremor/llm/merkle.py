@@ -75,23 +75,36 @@ def leaves_of(paragraphs: Column) -> Column:
     return F.flatten(F.transform(paragraphs, lambda p: F.split(inner(p), " ")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """How alike two trees (arrays of sections) are, 0 to 1: twice the leaves in equal branches over those and the others of both.
+def tally(nodes: Column) -> Column:
+    """Each distinct node and how often it comes, as a map: the nodes are sorted, and a run of equal ones ends where the next one starts."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(starts, lambda p: F.map_from_arrays(F.transform(p, lambda i: F.get(s, i)), F.transform(p, lambda i, j: F.coalesce(F.get(p, j + 1), F.size(s)) - i)))
+
+    return let(F.sort_array(nodes), of)
 
-    Equal sections count with all their leaves; in sections that differ, equal paragraphs do; in paragraphs that differ, equal leaves.
-    Branches that repeat inside one tree are compared once, so 1 means that each tree has all branches of the other.
-    """
-    leaves = lambda nodes: F.size(leaves_of(nodes))
 
-    def of_leaves(x: Column, y: Column, above: Column) -> Column:
-        return let(above + F.size(F.array_intersect(x, y)), lambda same: F.lit(2.0) * same / (2 * same + F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))))
+def matched(x: Column, y: Column, leaves: Callable[[Column], Column]) -> Column:
+    """Two arrays of nodes matched one to one: same (leaves of the matched ones, on one side), and x and y, the nodes that are left over, as often as they are."""
+    both = F.map_entries(F.map_zip_with(tally(x), tally(y), lambda k, m, n: F.struct(F.coalesce(m, F.lit(0)).alias("m"), F.coalesce(n, F.lit(0)).alias("n"))))
+    rest = lambda e, m, n: F.flatten(F.transform(e, lambda v: F.array_repeat(v["key"], F.greatest(v["value"][m] - v["value"][n], F.lit(0)))))
+    shared = lambda v: F.least(v["value"]["m"], v["value"]["n"])
+    same = lambda e: F.aggregate(e, F.lit(0), lambda total, v: total + F.when(shared(v) > 0, shared(v) * leaves(v["key"])).otherwise(0))
+    return let(both, lambda e: F.struct(same(e).alias("same"), rest(e, "m", "n").alias("x"), rest(e, "n", "m").alias("y")))
 
-    def of_paragraphs(x: Column, y: Column, above: Column) -> Column:
-        opened = F.struct(leaves_of(F.array_except(x, y)).alias("x"), leaves_of(F.array_except(y, x)).alias("y"), (above + leaves(F.array_intersect(x, y))).alias("same"))
-        return let(opened, lambda o: of_leaves(o["x"], o["y"], o["same"]))
 
-    opened = F.struct(paragraphs_of(F.array_except(a, b)).alias("x"), paragraphs_of(F.array_except(b, a)).alias("y"), leaves(paragraphs_of(F.array_intersect(a, b))).alias("same"))
-    return F.when(a == b, 1.0).otherwise(let(opened, lambda o: of_paragraphs(o["x"], o["y"], o["same"])))
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two trees (arrays of sections) are, 0 to 1: twice the leaves in equal branches over those and the others of both.
+
+    Equal sections count with all their leaves; in sections that are left over, equal paragraphs do; in paragraphs that are left over, equal leaves. A branch is
+    matched as often as both have it, so a repeat that one tree lacks counts as a difference.
+    """
+    of_paragraph = lambda p: F.size(F.split(inner(p), " "))
+    of_section = lambda s: F.size(leaves_of(paragraphs_of(F.array(s))))
+    last = lambda c, d: let(matched(leaves_of(d["x"]), leaves_of(d["y"]), lambda _: F.lit(1)), lambda e: let(c["same"] + d["same"] + e["same"], lambda same: F.lit(2.0) * same / (2 * same + F.size(e["x"]) + F.size(e["y"]))))
+    middle = lambda c: let(matched(paragraphs_of(c["x"]), paragraphs_of(c["y"]), of_paragraph), lambda d: last(c, d))
+    return F.when(a == b, 1.0).otherwise(let(matched(a, b, of_section), middle))
 
 
 def differing(a: Column, b: Column) -> Column:
