@@ -198,6 +198,33 @@ def test_short_items_inside_long_documents(spark):
         assert got == {(100 + r.item_id, r.item_id): 1.0 for r in some.collect()} | {(200, 8): 7 / 8}
 
 
+def test_the_fit_is_that_of_plain_logistic_regression(spark):
+    """The same pairs, drawn apart from the library, and Newton steps on their differences: the library's weights come as low and rank the texts alike."""
+    rng = np.random.default_rng(12)
+    rows = [(i, prose(i, 30 + i % 40) if i % 3 else " ".join("#|*7"[int(k)] * 3 for k in rng.integers(0, 4, 30)) + prose(i, 12), int(i % 3 > 0 and i % 11 > 0)) for i in range(150)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    found = quality.fit(docs, labels)
+    order = {r.doc_id: k for k, r in enumerate(docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect())}
+    sides = [sorted((r for r in rows if r[2] == q), key=lambda r: order[r[0]]) for q in (0, 1)]
+    rare = min((0, 1), key=lambda q: len(sides[q]))
+    few, many = sides[rare], sides[1 - rare]
+    each = max(quality.PAIRS, -(-len(many) // len(few)))
+    met = [(a, (a * each + k) % len(many)) for a in range(len(few)) for k in range(each)]
+    ups = spark.createDataFrame(met, "a int, at int").select("a", "at", (F.xxhash64("a", F.col("at")) % 2 == 0).alias("up")).collect()
+    x = quality.features([t.encode() for _, t, _ in few + many])
+    pairs = np.array([x[r.a] - x[len(few) + r["at"]] for r in ups]) * (1 if rare == 1 else -1)
+    pairs *= np.array([1 if r.up else -1 for r in ups])[:, None]
+    y = np.array([r.up for r in ups], float)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (pairs @ w)).mean() + 5e-5 * w @ w
+    w = np.zeros(pairs.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(pairs @ w)))
+        w -= np.linalg.solve((pairs * (p * (1 - p))[:, None]).T @ pairs / len(y) + 1e-4 * np.eye(len(w)), pairs.T @ (p - y) / len(y) + 1e-4 * w)
+    own = np.array(found.weights)
+    assert loss(w) <= loss(own) + 1e-9 and loss(own) <= loss(w) + 0.01
+    assert np.corrcoef(x @ own, x @ w)[0, 1] > 0.98
+
+
 # Fingerprints
 
 
