@@ -415,7 +415,7 @@ def test_language_model(spark, docs, texts, none):
     assert class_lm.scored(rows, empty, class_lm.learn(class_lm.word_ids(none, words), empty, words, n)).count() == len(texts)
 
 
-def test_sweeps_raise_the_likelihood(spark):
+def test_sweeps_find_kinds_of_words(spark):
     """A language of two alternating kinds of words: words beyond the anchors join the class of their kind."""
     rng = np.random.default_rng(4)
     kinds = [[f"{k}{i}" for i in range(40)] for k in "ab"]
@@ -429,6 +429,46 @@ def test_sweeps_raise_the_likelihood(spark):
     assert len(found) == 2 and len({k for _, k in found}) == 2
 
 
+def brute_likelihood(texts, words, class_of):
+    """Of the class bigrams of texts whose words are all in the vocabulary, an end before and after each."""
+    place = {w: i for i, w in enumerate(words)}
+    pairs = Counter()
+    for t in texts:
+        c = [0, *(int(class_of[place[w]]) for w in t.split()), 0]
+        pairs.update(zip(c, c[1:]))
+    before, after = Counter(), Counter()
+    for (x, y), k in pairs.items():
+        before[x] += k
+        after[y] += k
+    return sum(sum(k * math.log(k) for k in side.values()) * sign for side, sign in ((pairs, 1), (before, -1), (after, -1)))
+
+
+def test_sweeps_are_kept_only_if_the_likelihood_rises(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kinds = [[f"{k}{i}" for i in range(25)] for k in "abcd"]
+    texts = [" ".join(kinds[(j + int(rng.random() < 0.2)) % 4][int(25 * rng.random() ** 2)] for j in range(50)) for _ in range(60)]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = class_lm.word_counts(train).cache()
+    words, n = class_lm.vocabulary(counts, least=1)
+    rows = class_lm.word_ids(train, words).cache()
+    found = [class_lm.learn(rows, counts, words, n, anchors=15, classes=4, sweeps=k) for k in (1, 2, 5)]
+    told = [brute_likelihood(texts, words, m.class_of) for m in found]
+    assert told[0] < told[1] <= told[2]
+    joint = class_lm.bigram_table(rows, found[2].class_of, int(found[2].class_of.max()) + 1)
+    assert abs(class_lm.likelihood(joint) - told[2]) < 1e-6
+    plain, calls = class_lm.sweep, []
+
+    def spoiled(rows, class_of, joint, first, end, allowed):
+        calls.append(first)
+        out = plain(rows, class_of, joint, first, end, allowed)
+        if len(calls) > 1:
+            out[1:end] = 1 + np.arange(end - 1) % 4
+        return out
+
+    monkeypatch.setattr(class_lm, "sweep", spoiled)
+    assert (class_lm.learn(rows, counts, words, n, anchors=15, classes=4, sweeps=5).class_of == found[0].class_of).all() and calls == [16, 1]
+
+
 def test_best_class_by_hand():
     rng = np.random.default_rng(6)
     joint = rng.integers(1, 200, (5, 5)).astype(float)

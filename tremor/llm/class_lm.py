@@ -2,7 +2,8 @@
 
 Words are assigned to classes by exchange clustering: each word moves to the class that raises the likelihood of the class
 bigrams most. The most frequent words, the anchors, move one at a time; with their classes as a start, all other words of the vocabulary
-move in sweeps over the whole corpus, in tasks, by their counts with the classes before and after them. A text's probability is that of
+move in a sweep over the whole corpus, in tasks, by their counts with the classes before and after them, and then all words in further ones. A sweep that doesn't raise the likelihood is
+dropped, and ends them. A text's probability is that of
 its class transitions, smoothed by the classes' own shares, times that of each word in its class. A word has (c + 0.1) of its
 class's mass, c its training count, and unknown words share one part of 0.1.
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tremor.llm.common import blocks, doc_texts, fold_is, stored, table
 
-#: Words that are clustered, into CLASSES classes; of them, the first ANCHORS by exchange of one word at a time in ANCHOR_SWEEPS sweeps, the others in SWEEPS sweeps.
-VOCABULARY, ANCHORS, CLASSES, ANCHOR_SWEEPS, SWEEPS = 250_000, 1_000, 48, 4, 2
+#: Words that are clustered, into CLASSES classes; of them, the first ANCHORS by exchange of one word at a time in ANCHOR_SWEEPS sweeps; then the others, and from the second of SWEEPS sweeps on all, at once.
+VOCABULARY, ANCHORS, CLASSES, ANCHOR_SWEEPS, SWEEPS = 250_000, 1_000, 48, 4, 3
 #: Words that came less often are not clustered: so few neighbours tell their own texts' classes, not the language's.
 LEAST = 3
 PRIOR = 0.1
@@ -202,6 +203,12 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return own
 
 
+def likelihood(joint: np.ndarray) -> float:
+    """What the classes say of the class bigrams: sum of n log n over them less that of their margins."""
+    xlog = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return xlog(joint) - xlog(joint.sum(0)) - xlog(joint.sum(1))
+
+
 def bigram_table(rows: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
     """n of (of[id before], of[id]) over all texts of rows (ids), a size x size table summed by Spark; ids of which of is size are left out."""
     shared = rows.sparkSession.sparkContext.broadcast(of.astype(np.uint16))
@@ -282,7 +289,8 @@ def sweep(rows: DataFrame, class_of: np.ndarray, joint: np.ndarray, first: int,
 
 
 def learn(rows: DataFrame, counts: DataFrame, words: list[str], n: np.ndarray, anchors: int = ANCHORS, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-    """The model of the training rows (ids, as word_ids gives them for words) and counts (word, n); n: the counts of words. No rows give a model of the end alone."""
+    """The model of the training rows (ids, as word_ids gives them for words) and counts (word, n); n: the counts of words. No rows give a model of the end alone; rows that repeat a doc_id, with one text or several, are
+    learned from each."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size, anchored = len(words), min(anchors + 1, len(words))
     # classes: the end, the clusters, the last marks
@@ -294,12 +302,15 @@ def learn(rows: DataFrame, counts: DataFrame, words: list[str], n: np.ndarray, a
         place = np.full(size + TAILS, anchored, np.int64)
         place[:anchored] = np.arange(anchored)
         class_of[1:anchored] = 1 + exchange(bigram_table(rows, place, anchored)[1:, 1:], classes, ANCHOR_SWEEPS)
-    joint = lambda: bigram_table(rows, np.where(class_of == NONE, width, class_of), width)
-    if size > anchored:
-        for _ in range(sweeps):
-            class_of = sweep(rows, class_of, joint(), anchored, size, range(1, classes + 1))
-        class_of[:size][class_of[:size] == NONE] = 1
-    transitions = joint()
+    joint = lambda of: bigram_table(rows, np.where(of == NONE, width, of), width)
+    transitions, first = joint(class_of), anchored
+    for k in range(sweeps if size > anchored else 0):
+        moved = sweep(rows, class_of, transitions, first, size, range(1, classes + 1))
+        moved[:size][moved[:size] == NONE] = 1
+        table_ = joint(moved)
+        if k and likelihood(table_) <= likelihood(transitions):
+            break  # words that move at once may spoil it: the classes before stay
+        class_of, transitions, first = moved, table_, 1  # anchors move from now on, too
     # the mass of a class: its words' counts and 0.1 for each of its words; classes by last mark have 0.1 more for unknown words
     mass = np.bincount(class_of[:size], n + PRIOR, minlength=width).astype(float)
     mass[tails] = PRIOR
