@@ -166,7 +166,7 @@ def opened(fs: pafs.FileSystem, path: str) -> pa.NativeFile:
 
 
 class MappedIds:
-    """Random access to the ids of local or mounted files, in order, as write_ids lists them (file and n_tokens of each)."""
+    """Random access to the ids of local or mounted files, in order, as write_ids lists them (file and n_tokens of each). Without files there are no sequences, and tokens(0, 0) is empty."""
 
     def __init__(self, files: Sequence[tuple[str, int]]):
         self.readers = [pa.ipc.open_file(pa.memory_map(f)) for f, _ in files]

@@ -40,7 +40,7 @@ def paragraph(text: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """The sections of a text's tree, in order: 'digest{paragraph paragraph ...}' each."""
+    """The sections of a text's tree, in order: 'digest{paragraph paragraph ...}' each. An empty text has one section of one empty leaf; a null one gives null."""
     marked = F.regexp_replace(text, "([.!?|] )", "$1" + CUT)
     nodes = F.array_join(F.transform(F.split(marked, "\n"), paragraph), " ")
     # a paragraph ends its section if its digest ends in 0, 1, 2 or 3
@@ -58,7 +58,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def sections_of(print_: Column) -> Column:
-    """The sections of a fingerprint."""
+    """The sections of a fingerprint, one at least; null of a null one."""
     return F.split(F.substr(print_, F.lit(NODE + 2), F.length(print_) - NODE - 2), r"(?<=\})")
 
 
@@ -109,7 +109,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def differing(a: Column, b: Column) -> Column:
     """Where fingerprint a differs from b: section and paragraph (places from 0, a section's paragraphs counted in it) of each paragraph in
-    a section that b lacks which no such section of b has."""
+    a section that b lacks which no such section of b has. Equal fingerprints give an empty array, a null one null."""
 
     def open_(tree: Column, other: Column) -> Column:
         placed = F.filter(F.transform(tree, lambda s, i: F.struct(i.alias("section"), s.alias("node"))), lambda x: ~F.array_contains(other, x["node"]))
