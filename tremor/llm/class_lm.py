@@ -40,8 +40,8 @@ TAILS = len(MARKS) + 1
 #: The class of words that have none yet.
 NONE = 255
 CAPITALS = {c: c + 32 for c in range(65, 91)}
-#: Cells that a task counts at once.
-AT_ONCE = 8_000_000
+#: Cells that a task counts at once, and words whose cells it counts in a table.
+AT_ONCE, FREQUENT = 8_000_000, 4096
 _words = re.compile("[^\x20\x09-\x0d]+").findall
 
 
@@ -239,7 +239,20 @@ def contexts(rows: DataFrame, class_of: np.ndarray, first: int, end: int, classe
                 at = mine[here] & (c[other] != NONE)
                 yield word[here][at] * (2 * classes) + side * classes + c[other][at]
 
-    counted = rows.select("ids").mapInArrow(lambda batches: summed(cells(batches), ["at", "n"]), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(min(end, FREQUENT) * 2 * classes, np.int64)  # most cells are those of the first words: no sorting for them
+
+        def others() -> Iterator[np.ndarray]:
+            for at in cells(batches):
+                often = at < len(dense)
+                dense[:] += np.bincount(at[often], minlength=len(dense))
+                yield at[~often]
+
+        yield from summed(others(), ["at", "n"])
+        at = np.flatnonzero(dense)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], ["at", "n"])
+
+    counted = rows.select("ids").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     word = F.expr(f"at div {2 * classes}")
     return counted.groupBy(word.alias("word")).agg(F.collect_list(F.struct((F.col("at") - word * 2 * classes).cast("int").alias("cell"), "n")).alias("found"))  # 2 * classes entries at most
 
