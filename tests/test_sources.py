@@ -210,3 +210,20 @@ def test_bucketed_tables_join_where_they_are(spark):
         assert both.count() + lost.count() == spectra.count() and lost.count() == spectra.where("local_id = 2").count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_do_not_grow_with_folders(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}" / "deep" / "er").mkdir(parents=True)
+        (tmp_path / f"f{i}" / "deep" / "er" / "a.csv").write_text("x\n1\n")
+    files = recordings.recording_files(spark, str(tmp_path))
+    assert files.count() == 40 and files.rdd.getNumPartitions() <= 4
+    assert {(r.status, r.rows) for r in io.list_incoming(spark, str(tmp_path)).collect()} == {("PASS", 1)}
+
+
+def test_recordings_are_written_by_folder_in_order(spark, tmp_path):
+    rows = [(f"s={i}", j, f"{i},{j}") for i in range(9) for j in range(20)]
+    lines = spark.createDataFrame(rows[::-1], "folder string, place long, line string").repartition(3)
+    for _ in range(2):  # the same files again
+        assert recordings.write_recordings(lines, f"file://{tmp_path}", header="a,b") == 9
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {f"s={i}/part-0.csv": "a,b\n" + "".join(f"{i},{j}\n" for j in range(20)) for i in range(9)}

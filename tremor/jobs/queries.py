@@ -14,7 +14,9 @@ from tremor.functions import labels as L
 from tremor.operators import checks, features, model, scan, segment, spectrum, training, validate, windows
 from tremor.sources import adapters as ad
 from tremor.sources import io
+from tremor.sources.recordings import write_recordings
 from tremor.sources.shared import new_path
+from tremor.sources.shared import written as stored
 from tremor.sources.tables import write_bucketed
 
 KEYS = ["stream_id", "segment_id", "local_id"]
@@ -561,11 +563,17 @@ def q_write_by_label(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct(*KEYS).alias("windows"))
 
 
+def write_streams(rows: DataFrame, path: str) -> None:
+    """Samples as a CSV recording for each stream, in order of seq."""
+    held = [c for c in rows.columns if c not in ("stream_id", "seq")]
+    lines = rows.select(F.concat(F.lit("stream="), F.col("stream_id").cast("string")).alias("folder"), F.col("seq").alias("place"), F.to_csv(F.struct(*held)).alias("line"))
+    write_recordings(lines, path, header=",".join(held))
+
+
 def q_read_samples(spark: SparkSession, d: str) -> DataFrame:
     """Events written as CSV recordings and read back with their row order."""
     path = new_path(spark, "recordings")
-    rows = ad.event_samples(spark, d).withColumn("stream", F.col("stream_id"))
-    rows.repartition("stream").sortWithinPartitions("stream", "seq").drop("stream_id", "seq").write.partitionBy("stream").option("header", True).csv(path)
+    write_streams(ad.event_samples(spark, d), path)
     back = io.as_samples(io.read_samples(spark, path)).withColumn("stream_id", F.regexp_extract("stream_id", "stream=([0-9]+)", 1).cast("long"))
     return rounded(back.select("stream_id", "seq", "timestamp_ms", "accX_raw", "accZ_filt", "label"), 3)
 
@@ -573,8 +581,7 @@ def q_read_samples(spark: SparkSession, d: str) -> DataFrame:
 def q_list_incoming(spark: SparkSession, d: str) -> DataFrame:
     """The files of recordings written from events, by class."""
     path = new_path(spark, "incoming")
-    rows = ad.event_samples(spark, d)
-    rows.withColumn("stream", F.col("stream_id")).repartition("stream").drop("stream_id").write.partitionBy("stream").option("header", True).csv(path)
+    write_streams(ad.event_samples(spark, d), path)
     listed = io.list_incoming(spark, path).where(F.col("file").contains("part-"))
     return listed.groupBy("status", "reason").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
@@ -585,16 +592,15 @@ FILE_REASONS = "^(not_csv_file|cannot_read_file|empty_file|missing_|label_column
 
 def q_validate_files(spark: SparkSession, d: str) -> DataFrame:
     """Events written as eight kinds of recordings, read back and judged in both modes: whole, without a label column, without labels, with two labels, without a required column, with a header alone, as text, and blank."""
-    path, rows = new_path(spark, "odd-recordings"), ad.event_samples(spark, d).withColumn("stream", F.col("stream_id")).repartition("stream").drop("stream_id")
-    of = lambda kind: rows.where(F.col("stream") % 8 == kind)
-    once = lambda kind, text: of(kind).where("seq = 0").select("stream", F.lit(text).alias("line"))
+    path, rows = new_path(spark, "odd-recordings"), stored(ad.event_samples(spark, d), "samples")
+    of = lambda kind: rows.where(F.col("stream_id") % 8 == kind)
     labels = {0: F.col("label"), 2: F.lit(None).cast("string"), 3: F.when(F.col("seq") % 2 == 0, "healthy").otherwise("obstruction"), 4: F.col("label")}
     kinds = {k: of(k).withColumn("label", label) for k, label in labels.items()} | {1: of(1).drop("label")}
     for k, df in kinds.items():
-        df.sortWithinPartitions("stream", "seq").drop("seq", *["accY_raw"] * (k == 4)).write.partitionBy("stream").option("header", True).csv(f"{path}/kind={k}")
-    for k, text in ((5, ",".join([*VALUES, "label"])), (7, "")):
-        once(k, text).write.partitionBy("stream").option("sep", ";").option("emptyValue", "").csv(f"{path}/kind={k}")
-    once(6, "no recording").write.partitionBy("stream").text(f"{path}/kind=6")
+        write_streams(df.drop(*["accY_raw"] * (k == 4)), f"{path}/kind={k}")
+    for k, text, name in ((5, ",".join([*VALUES, "label"]), "part-0.csv"), (6, "no recording", "part-0.txt"), (7, "", "part-0.csv")):
+        folder = F.concat(F.lit("stream="), F.col("stream_id").cast("string")).alias("folder")
+        write_recordings(of(k).where("seq = 0").select(folder, F.col("seq").alias("place"), F.lit(text).alias("line")), f"{path}/kind={k}", name)
     lines = io.csv_lines(spark, path)
     files, samples = io.file_facts(spark, path, lines), io.as_samples(io.read_samples(spark, path, lines))
     kind = F.regexp_extract("stream_id", "kind=([0-9])", 1).cast("long").alias("kind")

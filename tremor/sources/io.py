@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremor.config import CLASSES, VALUES
 from tremor.functions.labels import label_from_stem, to_number
 from tremor.sources.recordings import recording_files, recording_lines
+from tremor.sources.shared import written
 
 #: Texts that count as missing in recordings.
 MISSING = ("", "na", "n/a", "nan", "null", "none", "<na>", "#n/a", "-nan")
@@ -48,7 +49,7 @@ def file_facts(spark: SparkSession, path: str, lines: DataFrame | None = None) -
 
     Inventory and lines meet in an outer join, so empty files and other files than CSV are rows too.
     """
-    files = recording_files(spark, path)
+    files = written(recording_files(spark, path), "files")
     lines = recording_lines(files.where("is_csv")) if lines is None else lines
     names, own = names_of(F.col("header")), cells(F.col("value"))
     again = F.exists(F.zip_with(names, own, lambda n, c: F.coalesce((n == c) & (n != ""), F.lit(False))), lambda x: x)
