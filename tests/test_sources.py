@@ -6,6 +6,7 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,12 @@ def test_recordings_are_written_by_folder_in_order(spark, tmp_path):
     for _ in range(2):  # the same files again
         assert recordings.write_recordings(lines, f"file://{tmp_path}", header="a,b") == 9
     assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {f"s={i}/part-0.csv": "a,b\n" + "".join(f"{i},{j}\n" for j in range(20)) for i in range(9)}
+
+
+def test_small_files_share_a_batch(tmp_path):
+    for i in range(50):
+        (tmp_path / f"{i:02}.csv").write_text(f"x\n{i}\n")
+    files = [f"file://{tmp_path}/{i:02}.csv" for i in range(50)]
+    splits = pa.RecordBatch.from_pydict({"file": files, "bytes": [len(f"x\n{i}\n") for i in range(50)], "split": [0] * 50, "length": [1 << 20] * 50})
+    read = list(recordings.read_splits(iter([splits])))
+    assert len(read) == 1 and read[0].column("value").to_pylist() == [v for i in range(50) for v in ("x", str(i))] and all(read[0].column("whole").to_pylist())
