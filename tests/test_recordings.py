@@ -246,3 +246,12 @@ def test_ingest_repeats_nothing(spark, tmp_path):
     changed = samples.withColumn("accX_raw", F.col("accX_raw") + 1)
     validate.ingest(changed, report(changed), str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/samples").count() == more.count() + samples.count()
+
+
+def test_labels_from_paths_take_no_lambda(spark):
+    rows = [("imbalanced/x.csv", None, "imbalanced", "imbalanced"), ("a//Healthy.obstruction", "healthy", "healthy", "healthy"), ("blocked_obstruction", "obstruction", "obstruction", "obstruction"), ("healthy/good_clogged.v2.csv", None, "healthy", "healthy"), ("a/good_clogged.csv", None, None, None), ("a/obstruction_healthy.csv", None, None, "healthy"), (".healthy", None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "path string, stem string, every string, first string")
+    p = F.col("path")
+    got = df.select("stem", "every", "first", L.label_from_stem(p).alias("a"), L.label_from_path(p).alias("b"), L.label_from_path_first(p).alias("c"))
+    assert [tuple(r)[3:] for r in got.collect()] == [r[1:] for r in rows]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,30 +21,40 @@ def normalize_label(label: Column) -> Column:
 
 
 def _stem(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1))
+    return F.lower(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
 
 
 def _parent(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1))
+    return F.lower(F.substring_index(F.substring_index(F.concat(F.lit("/"), path), "/", -2), "/", 1))
+
+
+def _named(path: Column, names: dict[str, str]) -> list[Column]:
+    """For each class, whether a name that stands for it is in a file's stem. Plain conditions, since functions over arrays would find the stem anew for each name."""
+    stem = _stem(path)
+    return [reduce(Column.__or__, [F.contains(stem, F.lit(name)) for name, of in names.items() if of == c]) for c in CLASSES]
+
+
+def _first(named: list[Column]) -> Column:
+    return F.coalesce(*[F.when(hit, c) for hit, c in zip(named, CLASSES)])
+
+
+def _only(named: list[Column]) -> Column:
+    return F.when(reduce(Column.__add__, [hit.cast("int") for hit in named]) == 1, _first(named))
 
 
 def label_from_stem(path: Column) -> Column:
     """The class named in a file's stem, if exactly one is."""
-    found = F.filter(F.array(*map(F.lit, CLASSES)), lambda c: F.contains(_stem(path), c))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return _only(_named(path, dict(zip(CLASSES, CLASSES))))
 
 
 def label_from_path(path: Column) -> Column:
     """The folder's name if it is a class, else the class of all aliases in the file's name, if they agree on one."""
-    named = F.filter(F.array(*map(F.lit, ALIASES)), lambda a: F.contains(_stem(path), a))
-    found = F.array_distinct(F.transform(named, lambda a: F.element_at(_map(ALIASES), a)))
-    return F.when(_parent(path).isin(*CLASSES), _parent(path)).when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return F.when(_parent(path).isin(*CLASSES), _parent(path)).otherwise(_only(_named(path, ALIASES)))
 
 
 def label_from_path_first(path: Column) -> Column:
     """The folder's name if it is a class, else the first class, in order, in the file's name."""
-    found = F.filter(F.array(*map(F.lit, CLASSES)), lambda c: F.contains(_stem(path), c))
-    return F.when(_parent(path).isin(*CLASSES), _parent(path)).otherwise(F.get(found, F.lit(0)))
+    return F.when(_parent(path).isin(*CLASSES), _parent(path)).otherwise(_first(_named(path, dict(zip(CLASSES, CLASSES)))))
 
 
 def to_number(text: Column) -> Column:
