@@ -237,3 +237,11 @@ def test_small_files_share_a_batch(tmp_path):
     splits = pa.RecordBatch.from_pydict({"file": files, "bytes": [len(f"x\n{i}\n") for i in range(50)], "split": [0] * 50, "length": [1 << 20] * 50})
     read = list(recordings.read_splits(iter([splits])))
     assert len(read) == 1 and read[0].column("value").to_pylist() == [v for i in range(50) for v in ("x", str(i))] and all(read[0].column("whole").to_pylist())
+
+
+def test_samples_of_a_stream_are_packed_for_the_live_step():
+    ids, seqs, x = ["b", "a", None, "b", "a", None], [5, 1, 0, 2, None, 3], [0.5, 0.1, 0.0, None, 9.0, 0.3]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seqs, pa.int64()), pa.array(x)], names=["stream_id", "seq", "accZ_raw"])
+    (packed,) = live.pack(iter([batch]))
+    got = {r["stream_id"]: (r["seq"], [None if v != v else v for v in r["accZ_raw"]]) for r in packed.to_pylist()}
+    assert packed.num_rows == 3 and got == {"b": ([2, 5], [None, 0.5]), "a": ([1, 2**63 - 1], [0.1, 9.0]), None: ([0, 3], [0.0, 0.3])}

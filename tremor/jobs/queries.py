@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.config import BANDS, CLASSES, VALUES
@@ -644,10 +644,11 @@ def q_stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def streamed_quarters(spark: SparkSession, samples: DataFrame) -> DataFrame:
     """A stream of samples in four batches: the quarters of each recording's real length."""
     source, files = new_path(spark, "live-samples"), spark.sparkContext.defaultParallelism
-    ends = samples.groupBy("stream_id").agg((F.max("seq") + 1).alias("n"))
-    quarters = samples.join(ends, "stream_id").withColumn("quarter", F.floor(F.col("seq") * 4 / F.col("n")))
+    n = F.max("seq").over(Window.partitionBy("stream_id")) + 1
+    quarters = stored(samples.withColumn("quarter", F.floor(F.col("seq") * 4 / n)), "quarters")
     for i in range(4):  # files for each quarter of each recording, in order; a recording's rows of a quarter are in one file
-        quarters.where(F.col("quarter") == i).select(samples.columns).repartition(files, "stream_id").write.mode("append").parquet(source)
+        own = quarters.where(F.col("quarter") == i).select(samples.columns).repartition(files, "stream_id")
+        own.sortWithinPartitions("stream_id", "seq").write.mode("append").parquet(source)
     return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", files).parquet(source)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -53,6 +54,22 @@ def advance(state: State, fresh: np.ndarray, size: int, hop: int, alpha: float |
     return (n, run[:, max(0, min(at, n) - start) :].ravel().tolist(), x0, y0, rms, emitted), out
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples (stream_id, seq, axes) with those of one stream_id in a batch as one row of lists, in order of seq: a row costs the stateful step far more than a number in a list."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0)
+        # keys that are structs or lists have no codes, and their rows stay apart
+        codes = np.arange(len(key)) if pa.types.is_nested(key.type) else key.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        seq = b.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+        order = np.lexsort((seq, codes))
+        starts = np.flatnonzero(np.diff(codes[order], prepend=codes[order[0]] - 1))
+        ends = pa.array(np.append(starts, len(order)), pa.int32())
+        values = [pa.array(seq[order]), *(pa.array(c.fill_null(np.nan).to_numpy(zero_copy_only=False)[order]) for c in b.columns[2:])]
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(order[starts])), *(pa.ListArray.from_arrays(ends, v) for v in values)], names=b.schema.names)
+
+
 class LiveWindows(StatefulProcessor):
     """Keeps each stream's state in the state store. A stream that is silent for so many milliseconds is dropped, and starts anew when it comes again."""
 
@@ -68,8 +85,10 @@ class LiveWindows(StatefulProcessor):
         self.wake(timerValues)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values("seq")
-        state, out = advance(self.live.get() if self.live.exists() else START, np.stack([own[c].to_numpy(float) for c in self.axes]), self.size, self.hop, self.alpha, self.threshold)
+        own = pd.concat(list(rows))
+        order = np.argsort(np.concatenate(own["seq"].to_list()), kind="stable")
+        fresh = np.stack([np.concatenate(own[c].to_list()).astype(float)[order] for c in self.axes])
+        state, out = advance(self.live.get() or START, fresh, self.size, self.hop, self.alpha, self.threshold)
         self.live.update(state)
         self.wake(timerValues)
         if out:
@@ -106,7 +125,9 @@ def live_windows(
     samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     begun = initial.groupBy("stream_id") if initial is not None else None
     processor = LiveWindows(size, hop, tuple(axes), alpha, threshold, silent_ms)
-    return samples.select("stream_id", "seq", *axes).groupBy("stream_id").transformWithStateInPandas(processor, rows_schema, "append", "ProcessingTime" if silent_ms is not None else "None", begun)
+    numbers = samples.select("stream_id", F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("double").alias(c) for c in axes])
+    packed = numbers.mapInArrow(pack, f"stream_id {kind}, seq array<long>, {', '.join(f'`{c}` array<double>' for c in axes)}")
+    return packed.groupBy("stream_id").transformWithStateInPandas(processor, rows_schema, "append", "ProcessingTime" if silent_ms is not None else "None", begun)
 
 
 def live_state(spark: SparkSession, checkpoint: str) -> DataFrame:
