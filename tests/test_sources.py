@@ -245,3 +245,10 @@ def test_samples_of_a_stream_are_packed_for_the_live_step():
     (packed,) = live.pack(iter([batch]))
     got = {r["stream_id"]: (r["seq"], [None if v != v else v for v in r["accZ_raw"]]) for r in packed.to_pylist()}
     assert packed.num_rows == 3 and got == {"b": ([2, 5], [None, 0.5]), "a": ([1, 2**63 - 1], [0.1, 9.0]), None: ([0, 3], [0.0, 0.3])}
+
+
+def test_ingests_read_samples_put_in_order_once(spark, monkeypatch):
+    seen, ingest = [], validate.ingest
+    monkeypatch.setattr(validate, "ingest", lambda s, r, p: (seen.append(s._jdf.queryExecution().optimizedPlan().toString()), ingest(s, r, p))[1])
+    assert sum(r.samples for r in queries.q_ingest(spark, "/root/testdata/sf0.001").collect()) > 0
+    assert len(seen) == 3 and not any("Window" in plan for plan in seen)
