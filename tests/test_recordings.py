@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tremor.config import DEFAULT
+from tremor.config import DEFAULT, VALUES
 from tremor.functions import arrays as A
 from tremor.functions import labels as L
 from tremor.operators import checks, features, scan, segment, spectrum, validate, windows
+from tremor.sources import io
 
 SCHEMA = "stream_id long, seq long, timestamp_ms double, accX_raw double, accY_raw double, accZ_raw double, accZ_filt double, label string"
 P = DEFAULT
@@ -102,6 +103,16 @@ def test_labels_and_numbers(spark):
     assert got == [1.5, 2.0, None, None, None, None, float("inf"), None, 1000.0]
 
 
+def test_texts_of_numbers_are_cast_once(spark):
+    """No text is cast anew to ask whether its number is NaN; whatever a cast would read as NaN is null."""
+    texts = ["NaN", " nan\t", "+NaN", "-NaN\r\n", "\x00nan\x1f", "-nan", "nano", *io.MISSING]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.n for r in df.select(L.to_number(F.col("t")).alias("n")).collect()} == {None}
+    text = spark.range(1).select(F.lit("f").alias("stream_id"), F.col("id").alias("seq"), *[F.col("id").cast("string").alias(c) for c in (*VALUES, "label")])
+    plan = io.as_samples(text)._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert plan.count("try_cast(") == len(VALUES)
+
+
 @pytest.mark.parametrize("chunk", [7, 100, 10_000])
 def test_long_streams_are_segmented_alike(spark, chunk):
     df = recording(0, 400)

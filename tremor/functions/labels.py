@@ -57,11 +57,17 @@ def label_from_path_first(path: Column) -> Column:
     return F.when(_parent(path).isin(*CLASSES), _parent(path)).otherwise(_first(_named(path, dict(zip(CLASSES, CLASSES)))))
 
 
+#: Texts that a cast would read as numbers and that are none: with a trailing d or f, and NaN, after which a cast strips blanks and control characters.
+NO_NUMBER = r"(?i)([0-9.][df]|nan[\x00-\x20]*)$"
+
+
 def to_number(text: Column) -> Column:
-    """A number from text; what is none, NaN included, becomes null. Infinities stay. A trailing d or f makes no number."""
+    """A number from text; what is none, NaN included, becomes null. Infinities stay. A trailing d or f makes no number.
+
+    NaN is told by its text, not by the number, so that the text is cast in one place of the expression and not in each that asks for the number.
+    """
     plain = F.trim(text.cast("string"))
-    number = F.when(~F.lower(plain).rlike(r"[0-9.][df]$"), plain.try_cast("double"))
-    return F.when(F.isnan(number), None).otherwise(number)
+    return F.when(~plain.rlike(NO_NUMBER), plain.try_cast("double"))
 
 
 def confidence_level(confidence: Column, inclusive: bool = False) -> Column:

@@ -67,9 +67,10 @@ def file_facts(spark: SparkSession, path: str, lines: DataFrame | None = None) -
 
 
 def as_samples(text: DataFrame) -> DataFrame:
-    """Numbers from the text of read_samples; columns that no file has are null."""
-    value = lambda c: F.when(~F.lower(F.trim(c)).isin(*MISSING), F.col(c)) if c in text.columns else F.lit(None).cast("string")
-    return text.select("stream_id", "seq", *[to_number(value(c)).alias(c) for c in VALUES], value("label").alias("label"))
+    """Numbers from the text of read_samples; columns that no file has are null. Texts of MISSING are no labels, and no numbers to begin with."""
+    held = lambda c: F.col(c) if c in text.columns else F.lit(None).cast("string")
+    label = F.when(~F.lower(F.trim(held("label"))).isin(*MISSING), held("label"))
+    return text.select("stream_id", "seq", *[to_number(held(c)).alias(c) for c in VALUES], label.alias("label"))
 
 
 def header_rows(text: DataFrame) -> DataFrame:
