@@ -252,3 +252,10 @@ def test_ingests_read_samples_put_in_order_once(spark, monkeypatch):
     monkeypatch.setattr(validate, "ingest", lambda s, r, p: (seen.append(s._jdf.queryExecution().optimizedPlan().toString()), ingest(s, r, p))[1])
     assert sum(r.samples for r in queries.q_ingest(spark, "/root/testdata/sf0.001").collect()) > 0
     assert len(seen) == 3 and not any("Window" in plan for plan in seen)
+
+
+def test_files_are_parsed_and_counted_once_for_both_modes(spark, monkeypatch):
+    seen, with_dt = [], validate.with_dt
+    monkeypatch.setattr(validate, "with_dt", lambda s, *more: (seen.append(s._jdf.queryExecution().optimizedPlan().toString()), with_dt(s, *more))[1])
+    assert {r["mode"] for r in queries.q_validate_files(spark, "/root/testdata/sf0.001").collect()} == {"mock", "real"}
+    assert len(seen) == 1 and "try_cast" not in seen[0]

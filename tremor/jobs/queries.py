@@ -14,7 +14,7 @@ from tremor.functions import labels as L
 from tremor.operators import checks, features, model, scan, segment, spectrum, training, validate, windows
 from tremor.sources import adapters as ad
 from tremor.sources import io
-from tremor.sources.recordings import write_recordings
+from tremor.sources.recordings import recording_files, write_recordings
 from tremor.sources.shared import new_path
 from tremor.sources.shared import written as stored
 from tremor.sources.tables import write_bucketed
@@ -602,14 +602,17 @@ def q_validate_files(spark: SparkSession, d: str) -> DataFrame:
     for k, text, name in ((5, ",".join([*VALUES, "label"]), "part-0.csv"), (6, "no recording", "part-0.txt"), (7, "", "part-0.csv")):
         folder = F.concat(F.lit("stream="), F.col("stream_id").cast("string")).alias("folder")
         write_recordings(of(k).where("seq = 0").select(folder, F.col("seq").alias("place"), F.lit(text).alias("line")), f"{path}/kind={k}", name)
-    lines = io.csv_lines(spark, path)
-    files, samples = io.file_facts(spark, path, lines), io.as_samples(io.read_samples(spark, path, lines))
+    listed = stored(recording_files(spark, path), "files")
+    lines = io.csv_lines(spark, path, listed)
+    files = stored(io.file_facts(spark, path, lines, listed), "file-facts")
+    samples = stored(io.as_samples(io.read_samples(spark, path, lines)), "samples")  # several aggregations read them
     kind = F.regexp_extract("stream_id", "kind=([0-9])", 1).cast("long").alias("kind")
     checked = segment.segment_precheck(samples, files.where("coalesce(early_reason, '') <> 'not_csv_file'")).select("stream_id", F.col("reason").alias("precheck"))
+    facts = stored(validate.stream_facts(samples, ad.EVENTS, files).join(checked, "stream_id", "left"), "stream-facts")
     told = []
     for mode in ("mock", "real"):
-        report = validate.validate(samples, mode, ad.EVENTS, files).join(checked, "stream_id", "left")
         reasons = F.array_join(F.filter("reasons", lambda r: r.rlike(FILE_REASONS)), ";")
+        report = validate.judged(facts, mode, ad.EVENTS)
         told.append(report.groupBy(kind, F.lit(mode).alias("mode"), reasons.alias("reasons"), "precheck").agg(F.count("*").alias("files"), F.sum("total_samples").alias("samples")))
     return told[0].unionByName(told[1])
 

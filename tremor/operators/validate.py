@@ -110,15 +110,8 @@ def label_profile(samples: DataFrame) -> DataFrame:
 FILE_FACTS = "stream_id string, early_reason string, missing_columns string, missing_label boolean, repeated_header boolean, stem_label string"
 
 
-def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, files: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """A row for each stream, and each file without samples: label, the counts of each fault, reasons in a fixed order and status.
-
-    mode "real" makes warnings of uneven intervals, gaps, rate and jitter. Columns that hold text should have gone through to_number. files (io.file_facts) tells what the
-    reader found: files that can't be judged have that reason alone; a file without a label column fails in both modes, with the label in its name; one whose labels are all
-    empty takes the label in its name, which warns in mode "mock" and fails in "real". Streams of one sample end after their label; those with missing columns before it.
-    Statuses: the worst of the reasons, PASS with the reason ok.
-    """
-    real = mode == "real"
+def stream_facts(samples: DataFrame, p: Sampling = DEFAULT, files: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """A row for each stream, and each file without samples: its label, the counts of each fault and what the reader found; judged tells what they mean in a mode."""
     dt = with_dt(samples, chunk)
     facts = dt.groupBy("stream_id").agg(F.count("*").alias("total_samples"), *dt_aggregates(p), *value_aggregates(p))
     facts = with_rates(facts, p).join(duplicate_times(samples), "stream_id").join(label_profile(samples), "stream_id")
@@ -126,8 +119,26 @@ def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, file
         files = samples.sparkSession.createDataFrame([], FILE_FACTS).withColumn("stream_id", F.col("stream_id").cast(dict(samples.dtypes)["stream_id"]))
     facts = facts.join(files.select("stream_id", "early_reason", "missing_columns", "missing_label", "repeated_header", "stem_label"), "stream_id", "full_outer")
     counts = [c for c in facts.columns if c.startswith(("num_", "estimated_", "n_labels", "total_"))]
-    facts = facts.fillna(0, counts).withColumn("label", F.when(F.col("early_reason").isNotNull(), F.lit(None)).when(F.col("n_labels") == 0, F.col("stem_label")).otherwise(F.col("label")))
+    return facts.fillna(0, counts).withColumn("label", F.when(F.col("early_reason").isNotNull(), F.lit(None)).when(F.col("n_labels") == 0, F.col("stem_label")).otherwise(F.col("label")))
+
 
+def validate(samples: DataFrame, mode: str = "mock", p: Sampling = DEFAULT, files: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """A row for each stream, and each file without samples: label, the counts of each fault, reasons in a fixed order and status.
+
+    Columns that hold text should have gone through to_number. files (io.file_facts) tells what the reader found: files that can't be judged have that reason alone. To judge in both
+    modes, store stream_facts and judge them twice.
+    """
+    return judged(stream_facts(samples, p, files, chunk), mode, p)
+
+
+def judged(facts: DataFrame, mode: str = "mock", p: Sampling = DEFAULT) -> DataFrame:
+    """stream_facts with reasons and status; columns that were added to them stay.
+
+    mode "real" makes warnings of uneven intervals, gaps, rate and jitter. A file without a label column fails in both modes, with the label in its name; one whose labels are all
+    empty takes the label in its name, which warns in mode "mock" and fails in "real". Streams of one sample end after their label; those with missing columns before it.
+    Statuses: the worst of the reasons, PASS with the reason ok.
+    """
+    real = mode == "real"
     read = F.col("early_reason").isNull()
     one = read & F.col("missing_columns").isNull()
     two = one & (F.col("total_samples") >= 2)

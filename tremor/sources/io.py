@@ -14,9 +14,9 @@ from tremor.sources.shared import written
 MISSING = ("", "na", "n/a", "nan", "null", "none", "<na>", "#n/a", "-nan")
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, header and value of every line of the CSV files below path that isn't blank; a file's first line is its header and has seq -1. One scan."""
-    return recording_lines(recording_files(spark, path).where("is_csv"))
+def csv_lines(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """file, seq, header and value of every line of the CSV files below path that isn't blank; a file's first line is its header and has seq -1. One scan. files: recording_files of it, if they are listed."""
+    return recording_lines((recording_files(spark, path) if files is None else files).where("is_csv"))
 
 
 def names_of(header: Column) -> Column:
@@ -43,14 +43,14 @@ def read_samples(spark: SparkSession, path: str, lines: DataFrame | None = None)
     return rows.select(*[F.when(F.array_contains("_names", c), cell(c)).alias(c) for c in names if c not in ("stream_id", "seq")], F.col("_file").alias("stream_id"), "seq")
 
 
-def file_facts(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+def file_facts(spark: SparkSession, path: str, lines: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """A row for every file below path: stream_id (the file), bytes, rows, early_reason (why it can't be judged at all: not_csv_file, cannot_read_file, empty_file; else null), missing_columns (those
     of VALUES that it lacks, joined by ', '), missing_label (it has no label column), repeated_header (a row has a cell that is its own column's name) and stem_label (the class in its name).
 
-    Inventory and lines meet in an outer join, so empty files and other files than CSV are rows too.
+    Inventory and lines meet in an outer join, so empty files and other files than CSV are rows too. lines, files: csv_lines and recording_files of path, if they are read and stored already.
     """
-    files = written(recording_files(spark, path), "files")
-    lines = recording_lines(files.where("is_csv")) if lines is None else lines
+    files = written(recording_files(spark, path), "files") if files is None else files
+    lines = csv_lines(spark, path, files) if lines is None else lines
     names, own = names_of(F.col("header")), cells(F.col("value"))
     again = F.exists(F.zip_with(names, own, lambda n, c: F.coalesce((n == c) & (n != ""), F.lit(False))), lambda x: x)
     told = lines.groupBy("file").agg(F.count_if(F.col("seq") >= 0).alias("rows"), F.bool_or(again & (F.col("seq") >= 0)).alias("repeated_header"), F.any_value("header").alias("header"))
